@@ -69,11 +69,24 @@ def next_words(sentences: DataFrame, k: int = 50) -> DataFrame:
     return counts.orderBy(F.desc("n_sentences"), "lang", "new_word").limit(k)
 
 
-def vocabulary_coverage(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """Per document: tokens and distinct words, and how many are already known."""
+def doc_word_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, word, n): occurrences of each normalised word in each document.
+
+    Splitting on spaces and newlines gives the reader's tokens up to the
+    trailing space, which normalisation strips anyway.
+    """
     toks = docs.select("doc_id", "lang", F.explode(F.split("text", "[ \n]", -1)).alias("t"))
     normed = toks.select("doc_id", "lang", word_normalise("t").alias("word")).where(F.col("word") != F.lit(""))
-    per_word = normed.groupBy("doc_id", "lang", "word").agg(F.count(F.lit(1)).alias("_n"))
+    return normed.groupBy("doc_id", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def vocabulary_coverage(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """Per document: tokens and distinct words, and how many are already known."""
+    return coverage_from_counts(doc_word_counts(docs), words)
+
+
+def coverage_from_counts(per_word: DataFrame, words: DataFrame) -> DataFrame:
+    per_word = per_word.withColumnRenamed("n", "_n")
     known = words.select("lang", "word", F.lit(True).alias("_known"))
     j = per_word.join(known, ["lang", "word"], "left")
     is_known = F.col("_known").isNotNull()

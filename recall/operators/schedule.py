@@ -28,7 +28,7 @@ from recall.functions.text import due_at, interval_after
 from recall.operators.cards import accepted
 from recall.operators.ordering import rank_within
 from recall.schema import FIRST_INTERVAL_SECS
-from recall.session import ensure_checkpoint_dir
+from recall.session import ensure_checkpoint_dir, shared_dir
 
 # The per-partition scan below runs in Python workers; ship it by value so
 # executors need numpy/pandas only, not this package.
@@ -49,21 +49,32 @@ def dedupe_reviews(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("card_id", "review_date").agg(F.bool_and("remembered").alias("remembered"))
 
 
-def replay(reviews: DataFrame, hot_fanout: int = HOT_FANOUT) -> DataFrame:
+def replay(reviews: DataFrame, hot_fanout: int | None = None) -> DataFrame:
     """Per card: last_fail, last_review, n_reviews, streak (successes after last_fail).
 
     Two passes: an aggregate finds each card's last failure, then successes are
-    joined to it and counted. Hot cards take a broadcast join (bounded set),
-    the rest a shuffle join, so no task holds a hot card's whole history.
+    joined to it and counted. Hot cards take a broadcast join (fewer than
+    ``hot_fanout`` of them by construction), the rest a shuffle join, so no task
+    holds a hot card's whole history.
+
+    The de-duplicated log and the per-card summary are each read by several
+    branches; they are written once as Parquet work tables under the shared
+    checkpoint folder (columnar re-reads, and nothing to recompute if an
+    executor is lost).
     """
-    r = dedupe_reviews(reviews)
-    per = r.groupBy("card_id").agg(
+    spark = reviews.sparkSession
+    fanout = hot_fanout or HOT_FANOUT
+    work = shared_dir(spark, "replay")
+    dedupe_reviews(reviews).write.parquet(f"{work}/log")
+    r = spark.read.parquet(f"{work}/log")
+    (r.groupBy("card_id").agg(
         F.max(F.when(~F.col("remembered"), F.col("review_date"))).alias("last_fail"),
         F.max("review_date").alias("last_review"),
         F.count(F.lit(1)).alias("n_reviews"),
-    )
+    ).write.parquet(f"{work}/per_card"))
+    per = spark.read.parquet(f"{work}/per_card")
     total = per.agg(F.sum("n_reviews")).scalar()
-    hot = per.where(F.col("n_reviews") * F.lit(hot_fanout) > total).select("card_id", "last_fail")
+    hot = per.where(F.col("n_reviews") * F.lit(fanout) > total).select("card_id", "last_fail")
     succ = r.where(F.col("remembered")).select("card_id", "review_date")
     hot_rows = succ.join(F.broadcast(hot), "card_id", "inner")
     cold_rows = (succ.join(F.broadcast(hot.select("card_id")), "card_id", "left_anti")

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall.functions.text import LANGUAGE_CODES, language_code, word_normalise
-from recall.operators.cards import cards_by_tag
 
 # --- fixed values: articles never taken as vocabulary or as a new word ---
 # Spanish and English come from the application's prompts; French, German and
@@ -33,11 +32,20 @@ def articles_of(lang_col) -> F.Column:
 
 
 def words_add_new(words: DataFrame, new_rows: DataFrame, arrival: list[str], created_at) -> DataFrame:
-    """Insert-if-absent; among new rows of one key the earliest arrival wins."""
-    first = new_rows.groupBy("lang", "word").agg(
-        F.min_by("translation", F.struct(*arrival)).alias("translation"))
-    fresh = first.join(words.select("lang", "word"), ["lang", "word"], "left_anti")
-    return words.unionByName(fresh.withColumn("created_at", created_at))
+    """Insert-if-absent: a stored row wins, else the earliest new row of the key.
+
+    One keyed aggregation over stored and new rows (ranked by (is_new,
+    arrival)), so the vocabulary is read once and partial aggregation absorbs
+    keys repeated in the batch.
+    """
+    rank = F.struct(F.col("_new"), F.col("_arrival"))
+    stored = words.select("lang", "word", "translation", "created_at", F.lit(False).alias("_new"),
+                          F.lit(None).cast(new_rows.select(F.struct(*arrival)).schema[0].dataType).alias("_arrival"))
+    fresh = new_rows.select("lang", "word", "translation", created_at.alias("created_at"),
+                            F.lit(True).alias("_new"), F.struct(*arrival).alias("_arrival"))
+    merged = stored.unionByName(fresh).groupBy("lang", "word").agg(
+        F.min_by(F.struct("translation", "created_at"), rank).alias("_w"))
+    return merged.select("lang", "word", "_w.translation", "_w.created_at")
 
 
 def words_update(words: DataFrame, edits: DataFrame) -> DataFrame:
@@ -80,11 +88,9 @@ def words_from_cards(cards: DataFrame, tags: DataFrame, words: DataFrame, create
     normalised tokens of the answers minus articles (and minus ``exclude``,
     e.g. a table of names); existing words keep their row.
     """
-    per_lang = None
-    for name in LANGUAGE_CODES:
-        part = cards_by_tag(cards.select("id", "answer"), tags, name).select(
-            language_code(F.lit(name)).alias("lang"), "answer")
-        per_lang = part if per_lang is None else per_lang.unionByName(part)
+    lang_tags = tags.where(F.col("tag").isin(*LANGUAGE_CODES)).select(
+        F.col("card_id").alias("id"), language_code(F.col("tag")).alias("lang"))
+    per_lang = cards.select("id", "answer").join(lang_tags, "id", "inner")
     toks = per_lang.select("lang", F.explode(F.split("answer", "[ \n]", -1)).alias("t"))
     extracted = toks.select("lang", word_normalise("t").alias("word")).where(F.col("word") != F.lit(""))
     extracted = extracted.where(~F.array_contains(articles_of(F.col("lang")), F.col("word"))).distinct()

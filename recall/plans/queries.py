@@ -149,8 +149,7 @@ def q_card_drafts(spark, sf):
 
 
 def _mined(spark, sf) -> DataFrame:
-    return mi.new_word_sentences(tb.read_table(spark, sf, "documents", ["doc_id", "lang", "text"]),
-                                 fx.words(spark, sf))
+    return mi.new_word_sentences(fx.documents(spark, sf), fx.words(spark, sf))
 
 
 @query("drafts_from_sentences", with_ctes(["new_word_sentences"], f"""
@@ -175,8 +174,8 @@ def q_cards_all(spark, sf):
     return joined_tags(co.cards_all(fx.cards(spark, sf), fx.flashcard_tags(spark, sf)))
 
 
-def _word_tokens(spark, sf) -> DataFrame:
-    return fx.document_words(spark, sf).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n_occurrences"))
+def _word_tokens(stats: DataFrame) -> DataFrame:
+    return stats.select("lang", "word", "n_occurrences")
 
 
 TOKENS_SQL = "SELECT lang, word, count(*) AS n_occurrences FROM doc_words GROUP BY lang, word"
@@ -186,7 +185,8 @@ TOKENS_SQL = "SELECT lang, word, count(*) AS n_occurrences FROM doc_words GROUP
     SELECT t.lang, t.word, t.n_occurrences, w.translation, w.translation IS NOT NULL AS hit
     FROM ({TOKENS_SQL}) t LEFT JOIN words w ON t.lang = w.lang AND t.word = w.word"""))
 def q_word_lookup(spark, sf):
-    return vo.word_lookup(_word_tokens(spark, sf), fx.words(spark, sf))
+    stats = fx.word_stats(spark, sf)
+    return vo.word_lookup(_word_tokens(stats), fx.words(spark, sf, stats))
 
 
 @query("word_lookup_fallback", with_ctes(["doc_words", "words", "dictionary"], f"""
@@ -197,7 +197,8 @@ def q_word_lookup(spark, sf):
     LEFT JOIN words w ON t.lang = w.lang AND t.word = w.word
     LEFT JOIN dictionary d ON t.lang = d.lang AND t.word = d.word"""))
 def q_word_lookup_fallback(spark, sf):
-    return vo.word_lookup_fallback(_word_tokens(spark, sf), fx.words(spark, sf), fx.dictionary(spark, sf))
+    stats = fx.word_stats(spark, sf)
+    return vo.word_lookup_fallback(_word_tokens(stats), fx.words(spark, sf, stats), fx.dictionary(spark, sf, stats))
 
 
 @query("reviews_quarantine", with_ctes(["reviews_big", "cards"], """
@@ -279,8 +280,8 @@ COVERAGE_SQL = """
 
 @query("vocabulary_coverage", with_ctes(["doc_words", "words"], COVERAGE_SQL))
 def q_vocabulary_coverage(spark, sf):
-    docs = tb.read_table(spark, sf, "documents", ["doc_id", "lang", "text"])
-    return mi.vocabulary_coverage(docs, fx.words(spark, sf))
+    counts = tb.materialize(fx.doc_word_counts(spark, sf), "doc_word_counts")
+    return mi.coverage_from_counts(counts, fx.words(spark, sf, fx.word_stats(spark, sf, counts)))
 
 
 # --- 2.5 table maintenance ---------------------------------------------------------------
@@ -354,8 +355,7 @@ def _new_word_rows_sql() -> str:
     SELECT n.lang, n.word, n.translation, {AS_OF} AS created_at FROM ({_new_word_rows_sql()}) n
     WHERE NOT EXISTS (SELECT 1 FROM words w WHERE w.lang = n.lang AND w.word = n.word)"""))
 def q_words_add_new(spark, sf):
-    docs = tb.read_table(spark, sf, "documents", ["doc_id", "lang", "text"])
-    toks = mi.story_tokens(docs)
+    toks = mi.story_tokens(fx.documents(spark, sf))
     rows = toks.select("lang", tx.word_normalise("token").alias("word"), tx.unicode_trim("token").alias("translation"),
                        "doc_id", "line_no", "word_no").where(F.col("word") != F.lit(""))
     return vo.words_add_new(fx.words(spark, sf), rows, ["doc_id", "line_no", "word_no"], as_of())
@@ -366,7 +366,8 @@ def q_words_add_new(spark, sf):
            w.created_at
     FROM words w LEFT JOIN dictionary d ON w.lang = d.lang AND w.word = d.word"""))
 def q_words_update(spark, sf):
-    return vo.words_update(fx.words(spark, sf), fx.dictionary(spark, sf))
+    stats = fx.word_stats(spark, sf)
+    return vo.words_update(fx.words(spark, sf, stats), fx.dictionary(spark, sf, stats))
 
 
 BENCH_WORDS_SQL = f"""
@@ -565,14 +566,14 @@ def q_prompt_words(spark, sf):
 @query("story_tokens", with_ctes(["doc_tokens"], """
     SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(word_no AS BIGINT) AS word_no, token FROM doc_tokens"""))
 def q_story_tokens(spark, sf):
-    t = mi.story_tokens(tb.read_table(spark, sf, "documents", ["doc_id", "text"]))
+    t = mi.story_tokens(fx.documents(spark, sf, ("doc_id", "text")))
     return t.select("doc_id", F.col("line_no").cast("long"), F.col("word_no").cast("long"), "token")
 
 
 @query("word_normalise", with_ctes(["doc_words"], """
     SELECT lang, word, count(*) AS n FROM doc_words GROUP BY lang, word"""))
 def q_word_normalise(spark, sf):
-    return fx.document_words(spark, sf).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    return fx.word_stats(spark, sf).select("lang", "word", F.col("n_occurrences").alias("n"))
 
 
 def _rich_sql() -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from recall.functions.text import word_normalise
 from recall.schema import FIRST_INTERVAL_SECS
-from recall.sources.tables import read_table
+from recall.sources.tables import materialize, read_table, spread
 
 # --- fixed values of the fixtures ---
 DOC_LANGUAGE_NAMES = {"es": "spanish", "fr": "french", "de": "german", "en": "english"}
@@ -36,7 +36,7 @@ def _lang_name(c):
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    d = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]), "doc_id")
     doc = F.col("doc_id")
     return d.select(
         doc.alias("id"),
@@ -54,7 +54,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flashcard_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source"])
+    d = spread(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source"]), "doc_id")
     doc = F.col("doc_id")
     candidates = F.array(
         _lang_name(F.col("lang")),
@@ -93,18 +93,40 @@ def history_before_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews(spark, sf_dir).where(F.col("review_date") < ts(ANSWERS_FROM))
 
 
+def documents(spark: SparkSession, sf_dir: str, columns=("doc_id", "lang", "text")) -> DataFrame:
+    """The corpus, spread on doc_id when the scan is under-partitioned."""
+    return spread(read_table(spark, sf_dir, "documents", list(columns)), "doc_id")
+
+
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, word): every normalised, non-empty token of every document."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"])
+    d = documents(spark, sf_dir)
     pieces = d.select("doc_id", "lang", F.explode(F.split("text", "[ \n]", -1)).alias("token"))
     return pieces.select("doc_id", "lang", word_normalise("token").alias("word")).where(F.col("word") != F.lit(""))
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, word, n); the one corpus pass every word table below reuses."""
+    from recall.operators.mining import doc_word_counts as counts
+    return counts(documents(spark, sf_dir))
+
+
+def word_stats(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None) -> DataFrame:
+    """(lang, word, n_occurrences, n_docs) over the whole corpus, as a work table.
+
+    Vocabulary, dictionary and token tables all derive from it, often inside
+    one job; it is computed once.
+    """
+    counts = counts if counts is not None else doc_word_counts(spark, sf_dir)
+    stats = counts.groupBy("lang", "word").agg(
+        F.sum("n").alias("n_occurrences"), F.count(F.lit(1)).alias("n_docs"))
+    return materialize(stats, "word_stats")
+
+
+def words(spark: SparkSession, sf_dir: str, stats: DataFrame | None = None) -> DataFrame:
     """Vocabulary: words found in at least ten documents of their language."""
-    per_doc = document_words(spark, sf_dir).select("lang", "word", "doc_id").distinct()
-    frequent = per_doc.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n_docs")).where(
-        F.col("n_docs") >= VOCABULARY_MIN_DOCS)
+    stats = stats if stats is not None else word_stats(spark, sf_dir)
+    frequent = stats.where(F.col("n_docs") >= VOCABULARY_MIN_DOCS)
     n = F.length("word") % 3
     return frequent.select(
         "lang", "word",
@@ -114,9 +136,10 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dictionary(spark: SparkSession, sf_dir: str, stats: DataFrame | None = None) -> DataFrame:
     """Second translation source: every even-length word, translated as ``lang:word``."""
-    w = document_words(spark, sf_dir).select("lang", "word").where(F.length("word") % 2 == 0).distinct()
+    stats = stats if stats is not None else word_stats(spark, sf_dir)
+    w = stats.where(F.length("word") % 2 == 0)
     return w.select("lang", "word", F.concat("lang", F.lit(":"), "word").alias("translation"))
 
 
@@ -133,7 +156,7 @@ def word_list_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rich_text_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six shapes of inline math around real document text (which has no backticks)."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "n_chars"])
+    d = documents(spark, sf_dir, ("doc_id", "text", "n_chars"))
     doc = F.col("doc_id")
     first = F.substring_index("text", "\n", 1)
     x = F.concat(F.col("n_chars").cast("string"), F.lit("/"), (doc + 1).cast("string"))

@@ -18,6 +18,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Hash-spread an under-partitioned input before heavy per-row work.
+
+    A scan of a few large files (one row group each) yields fewer tasks than
+    the cluster has cores; per-row text work would then run on a handful of
+    them. Inputs that already have enough partitions are returned unchanged,
+    so at scale this adds no shuffle. Spreading on ``key`` lets later
+    aggregations keyed by it skip their exchange.
+    """
+    spark = df.sparkSession
+    target = min_partitions or 2 * spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a Parquet work table in the shared folder and read it back.
+
+    For intermediate results that several branches of one job read: each branch
+    scans the table (pruned, columnar) instead of recomputing it, and a lost
+    executor loses nothing.
+    """
+    from recall.session import shared_dir
+    path = shared_dir(df.sparkSession, "work", name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _conform(df: DataFrame, schema) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 

@@ -40,11 +40,13 @@ def test_trace_matches_sequential_fold(spark, seed, parts):
 
 
 @pytest.mark.parametrize("seed,fanout", [(5, 100_000), (6, 3)])
-def test_state_matches_sequential_fold(spark, seed, fanout, monkeypatch):
-    monkeypatch.setattr(sc, "HOT_FANOUT", fanout)
+def test_state_matches_sequential_fold(spark, seed, fanout):
     rows = _history(seed)
     df = spark.createDataFrame(rows, REVIEW)
-    got = {r.card_id: r for r in sc.schedule_state(df).collect()}
+    got = {r.card_id: r for r in sc.replay(df, hot_fanout=fanout).select(
+        "card_id", F.col("last_review").alias("last_reviewed"), "streak",
+        sc.interval_after(F.lit(43200), F.col("last_fail").isNotNull(), F.col("streak")).alias(
+            "review_after_secs")).collect()}
     exp = _expected(rows)
     assert set(got) == set(exp)
     for c, h in exp.items():
