@@ -21,16 +21,17 @@ def run_stream(spark, sf):
     (fx.reviews(spark, sf).repartitionByRange(SOURCE_FILES, "review_date")
      .write.mode("errorifexists").parquet(src))
     paths = rs.ReviewStreamPaths.under(spark)
-    q = rs.stream_reviews(spark, src, fx.cards(spark, sf), paths)
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    for q in rs.stream_reviews(spark, src, fx.cards(spark, sf), paths):
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
     return paths
 
 
 @query("stream_reviews", with_ctes(["dedup_reviews", "cards"], f"""
     , seen AS (SELECT * FROM cards WHERE id IN (SELECT card_id FROM dedup_reviews))
-    {state_with_cards_sql('dedup_reviews', 'seen')}"""))
+    SELECT card_id, last_reviewed, review_after_secs, streak FROM (
+    {state_with_cards_sql('dedup_reviews', 'seen')}) s"""))
 def q_stream_reviews(spark, sf):
     return rs.current_state(spark, run_stream(spark, sf).state)
 

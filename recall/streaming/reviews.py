@@ -1,30 +1,50 @@
-"""Answers as a stream: keep the history and the schedule current.
-
-``readStream`` of review files -> ``foreachBatch``. Each micro-batch
-
-1. appends its de-duplicated rows to the history (one folder per batch id,
-   written with overwrite, so a replayed batch is idempotent);
-2. recomputes the schedule of the cards the batch touched from their *full*
-   history and appends it to a state log (again one folder per batch id);
-3. appends the cards that became due since the previous batch.
-
-Because step 2 replays whole histories, an answer arriving late (after newer
-ones of the same card) still yields the exact sequential result; no watermark
-is needed and nothing is dropped. The current state is the newest state-log
+"""Answers as a stream: keep the schedule current, exactly, with late answers.
+
+Two streaming queries read the answer files:
+
+* the **history** query appends raw answers to the review log with the
+  Parquet file sink (exactly-once through its commit log);
+* the **schedule** query keeps per-card state in Spark's state store with
+  ``groupBy(card).applyInPandasWithState``. The state is what the closed form
+  needs and no more: the last failure, the last review, and the times of the
+  successes after the last failure (the current run). With it an answer that
+  arrives late — older than answers already applied — is placed exactly: a late
+  failure cuts the run at its time, a late success joins the run only if it is
+  after the last failure, a repeated time with a failure keeps the failure. No
+  watermark is used, so nothing is dropped, and no history is re-read.
+
+Each micro-batch's updated cards are appended to a state log (one folder per
+batch id, overwritten on replay, so idempotent) together with the cards that
+became due since the previous batch. The current state is the newest state-log
 row per card (``max_by`` on the batch id, a partial aggregate).
+
+``replay_batches`` is the alternative without the state store: each batch
+recomputes its touched cards from their full history (costlier, but it needs
+nothing but the log).
 """
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from recall.functions.text import interval_after
 from recall.operators.schedule import dedupe_reviews, schedule_state, state_due
 from recall.schema import REVIEW
 from recall.session import shared_dir
 
+try:  # the state function runs in Python workers; ship it by value
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
+
 
 @dataclass
 class ReviewStreamPaths:
@@ -39,7 +59,48 @@ class ReviewStreamPaths:
         return cls(f"{root}/history", f"{root}/state", f"{root}/due", f"{root}/_checkpoint")
 
 
-STATE_COLS = ["card_id", "last_reviewed", "review_after_secs", "n_reviews", "streak"]
+STATE_COLS = ["card_id", "last_reviewed", "review_after_secs", "streak"]
+
+_CARD_STATE = T.StructType([
+    T.StructField("last_fail", T.LongType()),    # µs since epoch, null = never failed
+    T.StructField("last_review", T.LongType()),  # µs since epoch
+    T.StructField("run", T.ArrayType(T.LongType())),  # success times after last_fail
+])
+_UPDATE = T.StructType([
+    T.StructField("card_id", T.LongType()),
+    T.StructField("failed", T.BooleanType()),
+    T.StructField("last_reviewed", T.TimestampNTZType()),
+    T.StructField("streak", T.LongType()),
+    T.StructField("base_secs", T.LongType()),
+])
+
+
+def _advance(key, batches, state):
+    """Fold one card's new answers (in any order) into its state."""
+    if state.exists:
+        last_fail, last_review, run = state.get
+        run = list(run)
+    else:
+        last_fail, last_review, run = None, None, []
+    base = None
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        ts = pdf["review_date"].to_numpy(dtype="datetime64[us]").astype(np.int64)
+        rem = pdf["remembered"].to_numpy(dtype=bool)
+        base = int(pdf["base_secs"].iloc[0])
+        if (~rem).any():
+            f = int(ts[~rem].max())
+            last_fail = f if last_fail is None else max(last_fail, f)
+        top = int(ts.max())
+        last_review = top if last_review is None else max(last_review, top)
+        run.extend(int(t) for t in ts[rem])
+    run = sorted({t for t in run if last_fail is None or t > last_fail})
+    state.update((last_fail, last_review, run))
+    yield pd.DataFrame({
+        "card_id": [int(key[0])], "failed": [last_fail is not None],
+        "last_reviewed": [pd.Timestamp(last_review, unit="us")], "streak": [len(run)], "base_secs": [base],
+    })
 
 
 def current_state(spark: SparkSession, state_path: str) -> DataFrame:
@@ -48,38 +109,65 @@ def current_state(spark: SparkSession, state_path: str) -> DataFrame:
     return latest.select("card_id", *[F.col(f"s.{c}").alias(c) for c in STATE_COLS[1:]])
 
 
-def _apply_batch(spark: SparkSession, cards: DataFrame, paths: ReviewStreamPaths):
+def _log_due(spark: SparkSession, paths: ReviewStreamPaths, batch_id: int, as_of) -> None:
+    """Append the cards that became due in [previous batch's as_of, this as_of)."""
+    since = (spark.read.parquet(paths.due).where(F.col("batch_id") < batch_id).agg(F.max("as_of")).scalar()
+             if batch_id > 0 else None)
+    due = state_due(current_state(spark, paths.state), as_of, since)
+    marker = spark.range(1).select(F.lit(None).cast("long").alias("card_id"),
+                                   F.lit(None).cast("timestamp_ntz").alias("due_at"), as_of.alias("as_of"))
+    out = due.select("card_id", "due_at", as_of.alias("as_of")).unionByName(marker)
+    out.write.mode("overwrite").parquet(f"{paths.due}/batch_id={batch_id}")
+
+
+def _state_sink(spark: SparkSession, paths: ReviewStreamPaths, clock: str):
+    def sink(updates: DataFrame, batch_id: int) -> None:
+        rows = updates.select(
+            "card_id", "last_reviewed",
+            interval_after(F.col("base_secs"), F.col("failed"), F.col("streak")).alias("review_after_secs"),
+            "streak")
+        rows.write.mode("overwrite").parquet(f"{paths.state}/batch_id={batch_id}")
+        # Event-time progress: the newest review applied so far closes this batch's window.
+        as_of = spark.read.parquet(paths.state).agg(F.max("last_reviewed")).scalar()
+        _log_due(spark, paths, batch_id, as_of)
+    return sink
+
+
+def stream_reviews(spark: SparkSession, source_dir: str, cards: DataFrame, paths: ReviewStreamPaths,
+                   files_per_batch: int = 1, available_now: bool = True):
+    """Start the history and schedule queries; returns both StreamingQuery handles.
+
+    Answers of cards missing from ``cards`` are not applied (stream-static inner join).
+    """
+    answers = (spark.readStream.schema(REVIEW).option("maxFilesPerTrigger", files_per_batch)
+               .parquet(source_dir))
+    trigger = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
+    history = (answers.writeStream.format("parquet").option("path", paths.history)
+               .option("checkpointLocation", f"{paths.checkpoint}/history").trigger(**trigger).start())
+    base = cards.select(F.col("id").alias("card_id"), F.col("review_after_secs").alias("base_secs"))
+    updates = (answers.join(base, "card_id", "inner").groupBy("card_id")
+               .applyInPandasWithState(_advance, _UPDATE, _CARD_STATE, "update", "NoTimeout"))
+    schedule = (updates.writeStream.outputMode("update").foreachBatch(_state_sink(spark, paths, "state"))
+                .option("checkpointLocation", f"{paths.checkpoint}/schedule").trigger(**trigger).start())
+    return history, schedule
+
+
+def replay_batches(spark: SparkSession, source_dir: str, cards: DataFrame, paths: ReviewStreamPaths,
+                   files_per_batch: int = 1, available_now: bool = True):
+    """Alternative without the state store: replay touched cards from the full history per batch."""
     def apply(batch: DataFrame, batch_id: int) -> None:
         rows = dedupe_reviews(batch.select(*REVIEW.fieldNames()))
         rows.write.mode("overwrite").parquet(f"{paths.history}/batch_id={batch_id}")
-        written = spark.read.parquet(f"{paths.history}/batch_id={batch_id}")
-        touched = written.select("card_id").distinct()
+        touched = spark.read.parquet(f"{paths.history}/batch_id={batch_id}").select("card_id").distinct()
         history = spark.read.schema(REVIEW).parquet(paths.history)
         state = schedule_state(history.join(touched, "card_id", "left_semi"),
                                cards.join(touched.withColumnRenamed("card_id", "id"), "id", "left_semi"))
-        state.write.mode("overwrite").parquet(f"{paths.state}/batch_id={batch_id}")
-        # Event-time progress: the newest answer seen so far closes this batch's window.
-        bounds = history.agg(F.max("review_date").alias("as_of"))
-        prev = (spark.read.parquet(paths.due).where(F.col("batch_id") < batch_id).agg(F.max("as_of"))
-                if batch_id > 0 else None)
-        as_of = bounds.scalar()
-        since = prev.scalar() if prev is not None else None
-        due = state_due(current_state(spark, paths.state), as_of, since)
-        # Keep one marker row per batch so the next batch finds this window's end.
-        marker = bounds.select(F.lit(None).cast("long").alias("card_id"),
-                               F.lit(None).cast("timestamp_ntz").alias("due_at"), "as_of")
-        out = due.select("card_id", "due_at", as_of.alias("as_of")).unionByName(marker)
-        out.write.mode("overwrite").parquet(f"{paths.due}/batch_id={batch_id}")
-    return apply
-
+        state.select(*STATE_COLS).write.mode("overwrite").parquet(f"{paths.state}/batch_id={batch_id}")
+        _log_due(spark, paths, batch_id, history.agg(F.max("review_date")).scalar())
 
-def stream_reviews(spark: SparkSession, source_dir: str, cards: DataFrame, paths: ReviewStreamPaths,
-                   files_per_batch: int = 1, available_now: bool = True):
-    """Start the stream over review files in ``source_dir``; returns the StreamingQuery."""
     answers = (spark.readStream.schema(REVIEW).option("maxFilesPerTrigger", files_per_batch)
                .parquet(source_dir))
-    writer = (answers.writeStream.foreachBatch(_apply_batch(spark, cards, paths))
-              .option("checkpointLocation", paths.checkpoint))
+    writer = answers.writeStream.foreachBatch(apply).option("checkpointLocation", f"{paths.checkpoint}/replay")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 

@@ -61,12 +61,33 @@ def test_stream_equals_batch_in_any_split(spark):
     # Files in shuffled time order: later answers may arrive before earlier ones.
     spark.createDataFrame(rows, REVIEW).repartition(4).write.parquet(src)
     cards = spark.createDataFrame([(c, "q", "a", None, None, None, t0, 43200, None) for c in range(6)], CARD)
-    paths = rs.ReviewStreamPaths.under(spark)
-    q = rs.stream_reviews(spark, src, cards, paths)
-    q.awaitTermination()
-    streamed = sorted(rs.current_state(spark, paths.state).collect())
     batch = sorted(sc.schedule_state(spark.createDataFrame(rows, REVIEW),
                                      cards.where("id < 5")).select(*rs.STATE_COLS).collect())
-    assert streamed == batch
+    paths = rs.ReviewStreamPaths.under(spark)
+    for q in rs.stream_reviews(spark, src, cards, paths):
+        q.awaitTermination()
+    assert sorted(rs.current_state(spark, paths.state).collect()) == batch
+    assert spark.read.parquet(paths.history).count() == len(rows)
     due = rs.stream_due(spark, paths).collect()
     assert all(r.due_at < r.as_of for r in due)
+    replayed = rs.ReviewStreamPaths.under(spark)
+    rs.replay_batches(spark, src, cards, replayed).awaitTermination()
+    assert sorted(rs.current_state(spark, replayed.state).collect()) == batch
+
+
+def test_late_failure_cuts_the_run(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    early = [(1, t0 + dt.timedelta(hours=h), True) for h in (1, 2, 4, 5)]
+    late = [(1, t0 + dt.timedelta(hours=3), False), (1, t0 + dt.timedelta(hours=2), True)]
+    root = tempfile.mkdtemp(prefix="late-")
+    spark.createDataFrame(early, REVIEW).coalesce(1).write.parquet(root + "/src")
+    cards = spark.createDataFrame([(1, "q", "a", None, None, None, t0, 43200, None)], CARD)
+    paths = rs.ReviewStreamPaths.under(spark)
+    for q in rs.stream_reviews(spark, root + "/src", cards, paths):
+        q.awaitTermination()
+    spark.createDataFrame(late, REVIEW).coalesce(1).write.mode("append").parquet(root + "/src")
+    for q in rs.stream_reviews(spark, root + "/src", cards, paths):
+        q.awaitTermination()
+    got = rs.current_state(spark, paths.state).collect()[0]
+    # Run after the late failure at 03:00: successes at 04:00 and 05:00.
+    assert (got.streak, got.review_after_secs, got.last_reviewed) == (2, 21600 * 4, t0 + dt.timedelta(hours=5))
