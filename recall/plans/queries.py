@@ -269,7 +269,8 @@ def q_schedule_state(spark, sf):
 
 
 COVERAGE_SQL = """
-    SELECT doc_id, lang, sum(n) AS n_tokens, sum(CASE WHEN known THEN n ELSE 0 END) AS n_known,
+    SELECT doc_id, lang, CAST(sum(n) AS BIGINT) AS n_tokens,
+           CAST(sum(CASE WHEN known THEN n ELSE 0 END) AS BIGINT) AS n_known,
            count(*) AS n_distinct, count(*) FILTER (WHERE known) AS n_distinct_known,
            sum(CASE WHEN known THEN n ELSE 0 END) / sum(n) AS known_share
     FROM (SELECT t.doc_id, t.lang, t.word, count(*) AS n, any_value(w.word IS NOT NULL) AS known
@@ -417,10 +418,12 @@ def q_words_from_cards(spark, sf):
 @query("schedule_trace", with_ctes(["dedup_reviews", "cards"], f"""
     , based AS (SELECT d.*, c.review_after_secs AS base_secs FROM dedup_reviews d LEFT JOIN cards c
                 ON d.card_id = c.id)
-    , seg AS (SELECT *, sum(CASE WHEN remembered THEN 0 ELSE 1 END) OVER (PARTITION BY card_id ORDER BY review_date
-                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fails FROM based)
-    , tr AS (SELECT *, sum(CASE WHEN remembered THEN 1 ELSE 0 END) OVER (PARTITION BY card_id, fails
-                       ORDER BY review_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS streak FROM seg)
+    , seg AS (SELECT *, CAST(sum(CASE WHEN remembered THEN 0 ELSE 1 END) OVER (PARTITION BY card_id
+                        ORDER BY review_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS fails
+              FROM based)
+    , tr AS (SELECT *, CAST(sum(CASE WHEN remembered THEN 1 ELSE 0 END) OVER (PARTITION BY card_id, fails
+                       ORDER BY review_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS streak
+             FROM seg)
     SELECT card_id, review_date, remembered, {interval_sql('base_secs', 'fails > 0', 'streak')} AS review_after_secs,
            {due_sql('review_date', interval_sql('base_secs', 'fails > 0', 'streak'))} AS next_due, streak
     FROM tr"""))
