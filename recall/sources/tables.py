@@ -78,15 +78,21 @@ def words_of_language(spark: SparkSession, path: str, lang: str) -> DataFrame:
     return scan_words(spark, path).where(F.col("lang") == F.lit(lang))
 
 
-def write_card_store(cards: DataFrame, tags: DataFrame, reviews: DataFrame, path: str,
-                     buckets: int, mode: str = "overwrite") -> None:
-    """Write the three card relations clustered on the card id.
-
-    Each relation is hash-partitioned on the card key into the same number of
-    files and sorted by it, so later per-card work reads co-located data.
+def save_card_store(cards: DataFrame, tags: DataFrame, reviews: DataFrame, prefix: str, path: str,
+                    buckets: int) -> dict[str, str]:
+    """Save the three card relations as tables bucketed on the card id.
+
+    Same bucket count and key on all three: per-card aggregates and the
+    card/tag/review joins then read co-located buckets and need no exchange.
+    Tables are external (their files live under ``path``, e.g. the shared
+    folder); returns the table names.
     """
-    cards.repartition(buckets, "id").sortWithinPartitions("id").write.mode(mode).parquet(f"{path}/flashcards")
-    tags.repartition(buckets, "card_id").sortWithinPartitions("card_id", "tag").write.mode(mode).parquet(
-        f"{path}/flashcard_tags")
-    reviews.repartition(buckets, "card_id").sortWithinPartitions("card_id", "review_date").write.mode(mode).parquet(
-        f"{path}/review_history")
+    names = {"cards": f"{prefix}_flashcards", "tags": f"{prefix}_flashcard_tags",
+             "reviews": f"{prefix}_review_history"}
+    (cards.write.mode("overwrite").bucketBy(buckets, "id").sortBy("id")
+     .option("path", f"{path}/flashcards").saveAsTable(names["cards"]))
+    (tags.write.mode("overwrite").bucketBy(buckets, "card_id").sortBy("card_id")
+     .option("path", f"{path}/flashcard_tags").saveAsTable(names["tags"]))
+    (reviews.write.mode("overwrite").bucketBy(buckets, "card_id").sortBy("card_id", "review_date")
+     .option("path", f"{path}/review_history").saveAsTable(names["reviews"]))
+    return names
