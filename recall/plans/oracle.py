@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from recall.functions.text import LANGUAGE_CODES, WHITE_SPACE
 from recall.operators.mining import GREETINGS, MAX_WORDS, MIN_WORDS
-from recall.operators.stats import CORPUS_CHUNK_CARDS
 from recall.operators.vocab import ARTICLES
 from recall.schema import FAIL_INTERVAL_SECS, FIRST_INTERVAL_SECS, MAX_INTERVAL_SECS, STREAK_CAP
 from recall.sources.fixtures import ANSWERS_FROM, DEFAULT_AS_OF, DOC_LANGUAGE_NAMES, VOCABULARY_MIN_DOCS

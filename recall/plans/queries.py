@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from recall.functions import text as tx
 from recall.operators import cards as co
+from recall.operators.maintenance import cards_add, cards_update
 from recall.operators import mining as mi
 from recall.operators import schedule as sc
 from recall.operators import stats as st
@@ -295,7 +296,6 @@ def q_vocabulary_coverage(spark, sf):
            array_to_string({_parse_sql('tags_text')}, '|') AS tags
     FROM ({FORMS_SQL}) f"""))
 def q_cards_add(spark, sf):
-    from recall.operators.maintenance import cards_add
     drafts = co.card_drafts(fx.card_forms(spark, sf), as_of())
     new_cards, new_tags = cards_add(fx.cards(spark, sf), drafts, ["item_id"])
     tags = new_tags.groupBy("card_id").agg(F.collect_list(F.struct("_pos", "tag")).alias("_t"))
@@ -319,7 +319,6 @@ def q_cards_add(spark, sf):
     JOIN (SELECT card_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM new_tags GROUP BY card_id) g
       ON c.id = g.card_id"""))
 def q_cards_update(spark, sf):
-    from recall.operators.maintenance import cards_update
     new_cards, new_tags = cards_update(fx.cards(spark, sf), fx.flashcard_tags(spark, sf), fx.card_edits(spark, sf))
     return joined_tags(co.cards_all(new_cards, new_tags))
 
@@ -579,18 +578,13 @@ def q_word_normalise(spark, sf):
     return fx.word_stats(spark, sf).select("lang", "word", F.col("n_occurrences").alias("n"))
 
 
-def _rich_sql() -> str:
-    return f"""
-    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS BIGINT) AS block_no, kind, text
-    FROM (
-      SELECT doc_id, i, 0 AS k, 'raw' AS kind, r AS text, opened OR r <> '' AS keep FROM m
-      UNION ALL
-      SELECT doc_id, i, 1 AS k, 'math' AS kind, body AS text, opened AND (closed OR body <> '') AS keep FROM m
-    ) b WHERE keep"""
-
+def _rich_text_sql() -> str:
+    """The segmenter in DuckDB: the same pattern without possessive quantifiers.
 
-def _rich_ctes() -> str:
-    pat = tx.RICH_TEXT_PATTERN.replace("++", "+").replace("*+", "*")
+    DuckDB's regex engine is linear-time and has no possessive syntax; with a
+    greedy run followed by an optional group the first match is the same.
+    """
+    pat = _sql_literal(tx.RICH_TEXT_PATTERN.replace("++", "+").replace("*+", "*"))
     return f"""WITH inp AS (
       SELECT doc_id, CASE doc_id % 6
         WHEN 0 THEN first || ' ' || x
@@ -601,17 +595,22 @@ def _rich_ctes() -> str:
         ELSE '`math ` ' || first || ' `math ' || x || '`' END AS text
       FROM (SELECT doc_id, split_part(text, chr(10), 1) AS first, n_chars || '/' || (doc_id + 1) AS x
             FROM documents) d),
-    mt AS (SELECT doc_id, unnest(regexp_extract_all(text, {_sql_literal(pat)}, 0)) AS w,
-                  unnest(regexp_extract_all(text, {_sql_literal(pat)}, 1)) AS r,
-                  generate_subscripts(regexp_extract_all(text, {_sql_literal(pat)}, 0), 1) AS i FROM inp),
+    mt AS (SELECT doc_id, unnest(regexp_extract_all(text, {pat}, 0)) AS w,
+                  unnest(regexp_extract_all(text, {pat}, 1)) AS r,
+                  generate_subscripts(regexp_extract_all(text, {pat}, 0), 1) AS i FROM inp),
     m0 AS (SELECT doc_id, i, coalesce(r, '') AS r, substr(w, length(coalesce(r, '')) + 1) AS rest FROM mt),
     m1 AS (SELECT doc_id, i, r, starts_with(rest, '`math ') AS opened, substr(rest, 7) AS tail FROM m0),
     m AS (SELECT doc_id, i, r, opened, ends_with(tail, '`') AS closed,
                  CASE WHEN ends_with(tail, '`') THEN substr(tail, 1, length(tail) - 1) ELSE tail END AS body FROM m1)
-    """
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS BIGINT) AS block_no, kind, text
+    FROM (
+      SELECT doc_id, i, 0 AS k, 'raw' AS kind, r AS text, opened OR r <> '' AS keep FROM m
+      UNION ALL
+      SELECT doc_id, i, 1 AS k, 'math' AS kind, body AS text, opened AND (closed OR body <> '') AS keep FROM m
+    ) b WHERE keep"""
 
 
-@query("rich_text_blocks", _rich_ctes() + _rich_sql())
+@query("rich_text_blocks", _rich_text_sql())
 def q_rich_text_blocks(spark, sf):
     r = fx.rich_text_input(spark, sf)
     b = r.select("doc_id", F.posexplode(tx.rich_text_blocks("text")).alias("block_no", "b"))
