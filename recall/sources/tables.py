@@ -18,17 +18,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None,
+           bytes_per_partition: int = 1 << 19) -> DataFrame:
     """Hash-spread an under-partitioned input before heavy per-row work.
 
     A scan of a few large files (one row group each) yields fewer tasks than
     the cluster has cores; per-row text work would then run on a handful of
-    them. Inputs that already have enough partitions are returned unchanged,
-    so at scale this adds no shuffle. Spreading on ``key`` lets later
-    aggregations keyed by it skip their exchange.
+    them. The target is the smaller of twice the default parallelism and one
+    partition per ``bytes_per_partition`` of estimated input (so a mid-sized
+    input on a big cluster is not shattered into tiny tasks). Inputs that
+    already have that many partitions are returned unchanged, so at scale this
+    adds no shuffle. Spreading on ``key`` lets later aggregations keyed by it
+    skip their exchange.
     """
     spark = df.sparkSession
-    target = min_partitions or 2 * spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    by_size = max(1, -(-size // bytes_per_partition))
+    target = min_partitions or min(2 * spark.sparkContext.defaultParallelism, by_size)
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)
