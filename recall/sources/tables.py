@@ -84,6 +84,28 @@ def words_of_language(spark: SparkSession, path: str, lang: str) -> DataFrame:
     return scan_words(spark, path).where(F.col("lang") == F.lit(lang))
 
 
+def write_cards_by_due(cards: DataFrame, path: str, files: int | None = None, mode: str = "overwrite") -> None:
+    """Write cards with a materialised ``due_at``, range-clustered and sorted on it.
+
+    ``last_reviewed + review_after_secs < as_of`` cannot reach the Parquet
+    reader (arithmetic over two columns); ``due_at < as_of`` can, and with the
+    rows clustered by ``due_at`` most row groups are skipped by their min/max
+    statistics.
+    """
+    from recall.functions.text import due_at
+    n = files or int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (cards.withColumn("due_at", due_at("last_reviewed", "review_after_secs"))
+     .repartitionByRange(n, "due_at").sortWithinPartitions("due_at")
+     .write.mode(mode).parquet(path))
+
+
+def due_cards_from_store(spark: SparkSession, path: str, as_of) -> DataFrame:
+    """Cards due strictly before ``as_of`` from a store written by ``write_cards_by_due``."""
+    from pyspark.sql.types import StructField, StructType, TimestampNTZType
+    schema = StructType([*CARD.fields, StructField("due_at", TimestampNTZType(), True)])
+    return spark.read.schema(schema).parquet(path).where(F.col("due_at") < as_of)
+
+
 def save_card_store(cards: DataFrame, tags: DataFrame, reviews: DataFrame, prefix: str, path: str,
                     buckets: int) -> dict[str, str]:
     """Save the three card relations as tables bucketed on the card id.

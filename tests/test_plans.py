@@ -32,6 +32,20 @@ def test_language_filter_prunes_partitions(spark):
     assert re.search(r"PartitionFilters: \[[^\]]*\(lang#\d+ = es\)", plan)
 
 
+def test_due_filter_reaches_the_scan(spark):
+    root = shared_dir(spark, "by_due")
+    cards = fx.cards(spark, SF001)
+    tb.write_cards_by_due(cards, root, files=4)
+    as_of = fx.ts(fx.DEFAULT_AS_OF)
+    stored = tb.due_cards_from_store(spark, root, as_of)
+    plan = _plan(stored)
+    assert re.search(r"PushedFilters: \[[^\]]*LessThan\(due_at,", plan)
+    expected = co.cards_due(cards, fx.flashcard_tags(spark, SF001), as_of).select("id")
+    tags = fx.flashcard_tags(spark, SF001)
+    got = co.cards_all(stored.drop("due_at"), tags).select("id")
+    assert sorted(got.collect()) == sorted(expected.collect())
+
+
 def test_bucketed_store_joins_without_exchange(spark):
     names = tb.save_card_store(fx.cards(spark, SF001), fx.flashcard_tags(spark, SF001), fx.reviews(spark, SF001),
                                "t_store", shared_dir(spark, "bucketed"), buckets=8)
