@@ -14,6 +14,7 @@ from recall.sources import fixtures as fx
 from recall.streaming import reviews as rs
 
 SOURCE_FILES = 6
+COMPACT_EVERY = 4  # six batches: one snapshot is written and read
 
 
 def run_stream(spark, sf):
@@ -21,7 +22,7 @@ def run_stream(spark, sf):
     (fx.reviews(spark, sf).repartitionByRange(SOURCE_FILES, "review_date")
      .write.mode("errorifexists").parquet(src))
     paths = rs.ReviewStreamPaths.under(spark)
-    for q in rs.stream_reviews(spark, src, fx.cards(spark, sf), paths):
+    for q in rs.stream_reviews(spark, src, fx.cards(spark, sf), paths, compact_every=COMPACT_EVERY):
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))

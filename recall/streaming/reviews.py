@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recall.functions.text import interval_after
+from recall.functions.text import due_at, interval_after
 from recall.operators.schedule import dedupe_reviews, schedule_state, state_due
 from recall.schema import REVIEW
 from recall.session import shared_dir
@@ -52,6 +52,10 @@ class ReviewStreamPaths:
     state: str
     due: str
     checkpoint: str
+    snapshot: str = ""
+
+    def __post_init__(self):
+        self.snapshot = self.snapshot or self.state.rstrip("/") + "_snapshot"
 
     @classmethod
     def under(cls, spark: SparkSession) -> "ReviewStreamPaths":
@@ -59,6 +63,11 @@ class ReviewStreamPaths:
         return cls(f"{root}/history", f"{root}/state", f"{root}/due", f"{root}/_checkpoint")
 
 
+# Every COMPACT_EVERY batches the state log is folded into a snapshot, so no
+# batch reads more than the last snapshot plus COMPACT_EVERY log folders.
+COMPACT_EVERY = 8
+
+
 STATE_COLS = ["card_id", "last_reviewed", "review_after_secs", "streak"]
 
 _CARD_STATE = T.StructType([
@@ -103,38 +112,104 @@ def _advance(key, batches, state):
     })
 
 
-def current_state(spark: SparkSession, state_path: str) -> DataFrame:
-    log = spark.read.parquet(state_path)
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _latest(log: DataFrame) -> DataFrame:
     latest = log.groupBy("card_id").agg(F.max_by(F.struct(*STATE_COLS[1:]), "batch_id").alias("s"))
     return latest.select("card_id", *[F.col(f"s.{c}").alias(c) for c in STATE_COLS[1:]])
 
 
-def _log_due(spark: SparkSession, paths: ReviewStreamPaths, batch_id: int, as_of) -> None:
-    """Append the cards that became due in [previous batch's as_of, this as_of)."""
-    since = (spark.read.parquet(paths.due).where(F.col("batch_id") < batch_id).agg(F.max("as_of")).scalar()
-             if batch_id > 0 else None)
-    due = state_due(current_state(spark, paths.state), as_of, since)
+def _snapshot_before(batch_id: int, every: int) -> int | None:
+    """Id of the newest snapshot written before ``batch_id`` (snapshots end batches every-1, 2*every-1, ...)."""
+    s = (batch_id // every) * every - 1
+    return s if s >= 0 else None
+
+
+def _state_view(spark: SparkSession, paths: ReviewStreamPaths, upto: int, snapshot: int | None):
+    """(snapshot or None, newest log row per card for batches after it up to ``upto``)."""
+    log = spark.read.parquet(paths.state).where(F.col("batch_id") <= upto)
+    snap = None
+    if snapshot is not None:
+        log = log.where(F.col("batch_id") > snapshot)
+        snap = spark.read.parquet(f"{paths.snapshot}/batch_id={snapshot}")
+    return snap, _latest(log)
+
+
+def _merge(snap: DataFrame | None, recent: DataFrame) -> DataFrame:
+    if snap is None:
+        return recent
+    old = snap.select(*STATE_COLS).join(recent.select("card_id"), "card_id", "left_anti")
+    return old.unionByName(recent)
+
+
+def current_state(spark: SparkSession, state_path: str) -> DataFrame:
+    """Current schedule of every card seen by the stream: latest snapshot + newer log."""
+    paths = ReviewStreamPaths(history="", state=state_path, due="", checkpoint="")
+    snapshot = None
+    if _exists(spark, paths.snapshot):
+        snapshot = spark.read.parquet(paths.snapshot).agg(F.max("batch_id")).collect()[0][0]
+    upto = spark.read.parquet(state_path).agg(F.max("batch_id")).collect()[0][0]
+    snap, recent = _state_view(spark, paths, upto, snapshot)
+    return _merge(snap, recent)
+
+
+def _log_due(spark: SparkSession, paths: ReviewStreamPaths, batch_id: int, batch_max, every: int) -> None:
+    """Append the cards that became due in [previous batch's as_of, this as_of).
+
+    The window's end is the newest review applied so far (previous end or this
+    batch's newest). Candidates come from the snapshot — clustered on
+    ``due_at``, so the window filter skips row groups — and from the log since it.
+    """
+    if batch_id > 0:
+        prev = spark.read.parquet(f"{paths.due}/batch_id={batch_id - 1}").where(F.col("card_id").isNull())
+        since = prev.agg(F.max("as_of")).scalar()
+        as_of = F.greatest(since, batch_max)
+    else:
+        since, as_of = None, batch_max
+    snap, recent = _state_view(spark, paths, batch_id, _snapshot_before(batch_id, every))
+    due = state_due(recent, as_of, since)
+    if snap is not None:
+        in_window = F.col("due_at") < as_of
+        if since is not None:
+            in_window = in_window & (F.col("due_at") >= since)
+        old = snap.where(in_window).join(recent.select("card_id"), "card_id", "left_anti")
+        due = old.select(*due.columns).unionByName(due)
     marker = spark.range(1).select(F.lit(None).cast("long").alias("card_id"),
                                    F.lit(None).cast("timestamp_ntz").alias("due_at"), as_of.alias("as_of"))
     out = due.select("card_id", "due_at", as_of.alias("as_of")).unionByName(marker)
     out.write.mode("overwrite").parquet(f"{paths.due}/batch_id={batch_id}")
 
 
-def _state_sink(spark: SparkSession, paths: ReviewStreamPaths, clock: str):
+def _compact(spark: SparkSession, paths: ReviewStreamPaths, batch_id: int, every: int) -> None:
+    """Fold snapshot + log into a new snapshot, range-clustered and sorted on ``due_at``."""
+    snap, recent = _state_view(spark, paths, batch_id, _snapshot_before(batch_id, every))
+    merged = _merge(snap, recent).withColumn("due_at", due_at("last_reviewed", "review_after_secs"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (merged.repartitionByRange(n, "due_at").sortWithinPartitions("due_at")
+     .write.mode("overwrite").parquet(f"{paths.snapshot}/batch_id={batch_id}"))
+
+
+def _state_sink(spark: SparkSession, paths: ReviewStreamPaths, every: int):
     def sink(updates: DataFrame, batch_id: int) -> None:
         rows = updates.select(
             "card_id", "last_reviewed",
             interval_after(F.col("base_secs"), F.col("failed"), F.col("streak")).alias("review_after_secs"),
             "streak")
-        rows.write.mode("overwrite").parquet(f"{paths.state}/batch_id={batch_id}")
-        # Event-time progress: the newest review applied so far closes this batch's window.
-        as_of = spark.read.parquet(paths.state).agg(F.max("last_reviewed")).scalar()
-        _log_due(spark, paths, batch_id, as_of)
+        path = f"{paths.state}/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        batch_max = spark.read.parquet(path).agg(F.max("last_reviewed")).scalar()
+        _log_due(spark, paths, batch_id, batch_max, every)
+        if (batch_id + 1) % every == 0:
+            _compact(spark, paths, batch_id, every)
     return sink
 
 
 def stream_reviews(spark: SparkSession, source_dir: str, cards: DataFrame, paths: ReviewStreamPaths,
-                   files_per_batch: int = 1, available_now: bool = True):
+                   files_per_batch: int = 1, available_now: bool = True, compact_every: int = COMPACT_EVERY):
     """Start the history and schedule queries; returns both StreamingQuery handles.
 
     Answers of cards missing from ``cards`` are not applied (stream-static inner join).
@@ -147,13 +222,13 @@ def stream_reviews(spark: SparkSession, source_dir: str, cards: DataFrame, paths
     base = cards.select(F.col("id").alias("card_id"), F.col("review_after_secs").alias("base_secs"))
     updates = (answers.join(base, "card_id", "inner").groupBy("card_id")
                .applyInPandasWithState(_advance, _UPDATE, _CARD_STATE, "update", "NoTimeout"))
-    schedule = (updates.writeStream.outputMode("update").foreachBatch(_state_sink(spark, paths, "state"))
+    schedule = (updates.writeStream.outputMode("update").foreachBatch(_state_sink(spark, paths, compact_every))
                 .option("checkpointLocation", f"{paths.checkpoint}/schedule").trigger(**trigger).start())
     return history, schedule
 
 
 def replay_batches(spark: SparkSession, source_dir: str, cards: DataFrame, paths: ReviewStreamPaths,
-                   files_per_batch: int = 1, available_now: bool = True):
+                   files_per_batch: int = 1, available_now: bool = True, compact_every: int = COMPACT_EVERY):
     """Alternative without the state store: replay touched cards from the full history per batch."""
     def apply(batch: DataFrame, batch_id: int) -> None:
         rows = dedupe_reviews(batch.select(*REVIEW.fieldNames()))
@@ -162,8 +237,12 @@ def replay_batches(spark: SparkSession, source_dir: str, cards: DataFrame, paths
         history = spark.read.schema(REVIEW).parquet(paths.history)
         state = schedule_state(history.join(touched, "card_id", "left_semi"),
                                cards.join(touched.withColumnRenamed("card_id", "id"), "id", "left_semi"))
-        state.select(*STATE_COLS).write.mode("overwrite").parquet(f"{paths.state}/batch_id={batch_id}")
-        _log_due(spark, paths, batch_id, history.agg(F.max("review_date")).scalar())
+        path = f"{paths.state}/batch_id={batch_id}"
+        state.select(*STATE_COLS).write.mode("overwrite").parquet(path)
+        _log_due(spark, paths, batch_id, spark.read.parquet(path).agg(F.max("last_reviewed")).scalar(),
+                 compact_every)
+        if (batch_id + 1) % compact_every == 0:
+            _compact(spark, paths, batch_id, compact_every)
 
     answers = (spark.readStream.schema(REVIEW).option("maxFilesPerTrigger", files_per_batch)
                .parquet(source_dir))
