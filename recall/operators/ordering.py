@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 
 from recall.session import ensure_checkpoint_dir
 
+# The offsets table is broadcast when it is at most this many rows (measured
+# before the join; a few small columns per row). Larger tables are joined by
+# shuffle, which stays skew-free because a hot group is spread over partitions.
+BROADCAST_SUMMARY_ROWS = 200_000
+
 
 def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], *,
                 num_partitions: int | None = None, position: str = "position",
@@ -42,6 +47,8 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], *,
     if total:
         cols.append(F.sum("_cnt").over(Window.partitionBy(*group_cols)).alias(total))
     summary = summary.select(*cols)
+    if summary.count() <= BROADCAST_SUMMARY_ROWS:
+        summary = F.broadcast(summary)
     out = ranged.join(summary, ["_pid", *group_cols], "inner")
     out = out.withColumn(position, F.col("_mid") - F.col("_first") + F.col("_before") + F.lit(1))
     return out.drop("_pid", "_mid", "_first", "_before")
