@@ -47,7 +47,11 @@ def main() -> None:
             run(fn(spark, sf_dir))
             samples.append(time.perf_counter() - t0)
         times[name] = round(statistics.median(samples), 3)
-    sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    name = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        sf = float(name)
+    except ValueError:
+        sf = name
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf, "cpus": cpus, "repeat": repeat,
                       "spark": spark.version}))

@@ -101,3 +101,20 @@ def test_answers_other_than_y_n_change_nothing(spark):
     new_history, state = sc.reviews_apply(spark.createDataFrame([], REVIEW), answers, cards)
     assert [(r.card_id, r.remembered) for r in new_history.collect()] == [(1, False)]  # card 2 unknown
     assert state.collect()[0].review_after_secs == 21600
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40), st.booleans()), min_size=1, max_size=60),
+       st.integers(1, 6))
+def test_state_property(spark, events, parts):
+    """Replay equals the sequential fold for any history, order and partitioning."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(c, t0 + dt.timedelta(hours=h), r) for c, h, r in events]
+    df = spark.createDataFrame(rows, REVIEW).repartition(parts)
+    got = {r.card_id: (r.last_reviewed, r.review_after_secs, r.streak) for r in sc.schedule_state(df).collect()}
+    exp = {c: (h[-1][0], h[-1][2], h[-1][3]) for c, h in _expected(rows).items()}
+    assert got == exp
