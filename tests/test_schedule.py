@@ -118,3 +118,18 @@ def test_state_property(spark, events, parts):
     got = {r.card_id: (r.last_reviewed, r.review_after_secs, r.streak) for r in sc.schedule_state(df).collect()}
     exp = {c: (h[-1][0], h[-1][2], h[-1][3]) for c, h in _expected(rows).items()}
     assert got == exp
+
+
+def test_trace_carries_state_across_arrow_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        rows = _history(11, n_cards=3, n=300)
+        got = sc.schedule_trace(spark.createDataFrame(rows, REVIEW), num_partitions=2).drop("next_due").collect()
+    finally:
+        spark.conf.set(key, old)
+    flat = {(c, t): (r, s, k) for c, h in _expected(rows).items() for t, r, s, k in h}
+    assert len(got) == len(flat)
+    for row in got:
+        assert flat[(row.card_id, row.review_date)] == (row.remembered, row.review_after_secs, row.streak), row
