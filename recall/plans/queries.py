@@ -505,7 +505,7 @@ def _sentence_response(first_line, first_word, reversed_word, doc) -> F.Column:
            {_xml_sql('body', 'translation')} AS translation,
            CASE WHEN {_xml_sql('body', 'new_sentence')} IS NULL OR {_xml_sql('body', 'new_word')} IS NULL
                   OR {_xml_sql('body', 'translation')} IS NULL THEN 'quarantined' ELSE 'accepted' END AS status
-    FROM (SELECT doc_id, 'Sure!' || chr(10) || '<new_sentence>' || chr(10) || ' ' || split_part(text, chr(10), 1)
+    FROM (SELECT doc_id, 'Sure!' || chr(10) || '<new_sentence>' || chr(10) || ' ' || text
                  || ' ' || chr(10) || '</new_sentence>' || chr(10) || '<new_word>' || split_part(text, ' ', 1)
                  || '</new_word>' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN ''
                  ELSE '<translation> ' || reverse(split_part(text, ' ', 1)) || ' </translation>' END AS body
@@ -513,7 +513,7 @@ def _sentence_response(first_line, first_word, reversed_word, doc) -> F.Column:
 def q_response_sentence(spark, sf):
     d = tb.read_table(spark, sf, "documents", ["doc_id", "text"])
     first_word = F.substring_index("text", " ", 1)
-    body = _sentence_response(F.substring_index("text", "\n", 1), first_word, F.reverse(first_word), F.col("doc_id"))
+    body = _sentence_response(F.col("text"), first_word, F.reverse(first_word), F.col("doc_id"))
     s = d.select("doc_id", tx.response_sentence(body).alias("s"))
     ok = F.col("s.text").isNotNull() & F.col("s.new_word").isNotNull() & F.col("s.translation").isNotNull()
     return s.select("doc_id", "s.text", "s.new_word", "s.translation",
@@ -593,8 +593,7 @@ def _rich_text_sql() -> str:
         WHEN 3 THEN first || ' a `math ' || x
         WHEN 4 THEN first || ' a ``math ' || x || '`'
         ELSE '`math ` ' || first || ' `math ' || x || '`' END AS text
-      FROM (SELECT doc_id, split_part(text, chr(10), 1) AS first, n_chars || '/' || (doc_id + 1) AS x
-            FROM documents) d),
+      FROM (SELECT doc_id, text AS first, n_chars || '/' || (doc_id + 1) AS x FROM documents) d),
     mt AS (SELECT doc_id, unnest(regexp_extract_all(text, {pat}, 0)) AS w,
                   unnest(regexp_extract_all(text, {pat}, 1)) AS r,
                   generate_subscripts(regexp_extract_all(text, {pat}, 0), 1) AS i FROM inp),

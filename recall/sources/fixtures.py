@@ -155,19 +155,19 @@ def word_list_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rich_text_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six shapes of inline math around real document text (which has no backticks)."""
+    """Six shapes of inline math around whole document texts (which have no backticks)."""
     d = documents(spark, sf_dir, ("doc_id", "text", "n_chars"))
     doc = F.col("doc_id")
-    first = F.substring_index("text", "\n", 1)
+    body = F.col("text")
     x = F.concat(F.col("n_chars").cast("string"), F.lit("/"), (doc + 1).cast("string"))
     case = doc % 6
     shaped = (
-        F.when(case == 0, F.concat(first, F.lit(" "), x))
-        .when(case == 1, F.concat(first, F.lit(" What is `math "), x, F.lit("` ?")))
-        .when(case == 2, F.concat(F.lit("`math "), x, F.lit("` "), first))
-        .when(case == 3, F.concat(first, F.lit(" a `math "), x))
-        .when(case == 4, F.concat(first, F.lit(" a ``math "), x, F.lit("`")))
-        .otherwise(F.concat(F.lit("`math ` "), first, F.lit(" `math "), x, F.lit("`")))
+        F.when(case == 0, F.concat(body, F.lit(" "), x))
+        .when(case == 1, F.concat(body, F.lit(" What is `math "), x, F.lit("` ?")))
+        .when(case == 2, F.concat(F.lit("`math "), x, F.lit("` "), body))
+        .when(case == 3, F.concat(body, F.lit(" a `math "), x))
+        .when(case == 4, F.concat(body, F.lit(" a ``math "), x, F.lit("`")))
+        .otherwise(F.concat(F.lit("`math ` "), body, F.lit(" `math "), x, F.lit("`")))
     )
     return d.select(doc, shaped.alias("text"))
 
