@@ -192,10 +192,10 @@ def schedule_trace(reviews: DataFrame, base_secs: int | None = FIRST_INTERVAL_SE
               .sortWithinPartitions("card_id", "review_date").checkpoint(eager=True))
     local = ranged.mapInPandas(_local_scan, _LOCAL)
 
-    # Boundary summaries, computed JVM-side from the same range partitions
-    # (the exchange is reused): the last card of each partition carries its
-    # run-end state into the next partition(s). All tables below have at most
-    # one row per partition.
+    # Boundary summaries, computed JVM-side from the same checkpointed
+    # partitions (map-side joins against tables of at most one row per
+    # partition): the last card of each partition carries its run-end state
+    # into the next partition(s).
     pidded = ranged.withColumn("_pid", F.spark_partition_id())
     edges = pidded.groupBy("_pid").agg(F.min("card_id").alias("_first"), F.max("card_id").alias("_last"))
     last_runs = pidded.join(F.broadcast(edges.select("_pid", F.col("_last").alias("card_id"))), ["_pid", "card_id"])
