@@ -253,6 +253,19 @@ def answers_to_reviews(answers: DataFrame) -> DataFrame:
                     (F.col("answer") == F.lit(ANSWER_YES)).alias("remembered"))
 
 
+def answers_quarantine(answers: DataFrame, cards: DataFrame) -> DataFrame:
+    """Answers ``reviews_apply`` does not apply, with the reason.
+
+    ``unknown_card``: the card does not exist (a foreign-key violation in the
+    application); ``no_change``: the answer is neither 'y' nor 'n'.
+    """
+    known = cards.select(F.col("id").alias("card_id")).distinct().withColumn("_known", F.lit(True))
+    j = answers.join(known, "card_id", "left")
+    reason = (F.when(F.col("_known").isNull(), F.lit("unknown_card"))
+              .when(~F.col("answer").isin(ANSWER_YES, ANSWER_NO) | F.col("answer").isNull(), F.lit("no_change")))
+    return j.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("_known")
+
+
 def reviews_apply(history: DataFrame, answers: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Apply a batch of answers.
 

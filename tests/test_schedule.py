@@ -101,6 +101,8 @@ def test_answers_other_than_y_n_change_nothing(spark):
     new_history, state = sc.reviews_apply(spark.createDataFrame([], REVIEW), answers, cards)
     assert [(r.card_id, r.remembered) for r in new_history.collect()] == [(1, False)]  # card 2 unknown
     assert state.collect()[0].review_after_secs == 21600
+    rejected = sorted((r.card_id, r.answer, r.reason) for r in sc.answers_quarantine(answers, cards).collect())
+    assert rejected == [(1, "?", "no_change"), (2, "y", "unknown_card")]
 
 
 from hypothesis import given, settings  # noqa: E402
