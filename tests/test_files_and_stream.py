@@ -75,6 +75,10 @@ def test_stream_equals_batch_in_any_split(spark):
     for q in rs.stream_reviews(spark, src, cards, plain, compact_every=1000):
         q.awaitTermination()
     assert sorted(rs.stream_due(spark, plain).collect()) == sorted(due)
+    coarse = rs.ReviewStreamPaths.under(spark)
+    for q in rs.stream_reviews(spark, src, cards, coarse, files_per_batch=3):
+        q.awaitTermination()
+    assert sorted(rs.current_state(spark, coarse.state).collect()) == batch
     replayed = rs.ReviewStreamPaths.under(spark)
     rs.replay_batches(spark, src, cards, replayed).awaitTermination()
     assert sorted(rs.current_state(spark, replayed.state).collect()) == batch
