@@ -14,7 +14,11 @@ from recall.schema import CARD_COLUMNS, DRAFT_SOURCE, FIRST_INTERVAL_SECS
 
 
 def tags_by_card(tags: DataFrame) -> DataFrame:
-    """(card_id, tags): sorted, distinct tags of every card that has one."""
+    """(card_id, tags): sorted, distinct tags of every card that has one.
+
+    Partial aggregation de-duplicates map-side, so a card's group holds at
+    most one entry per distinct tag of the store however many bridge rows it has.
+    """
     return tags.groupBy("card_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
 
 
