@@ -1,7 +1,8 @@
 """Headline queries at one scale, warm session, median of repeated runs.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 3). Prints one JSON line.
+BENCH_REPEAT (default 3), BENCH_SHUFFLE_PARTITIONS (default 2 x cpus).
+Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2),
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, cpus * 2)))
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=partitions,
                           extra={"spark.driver.memory": "16g", "spark.sql.files.maxPartitionBytes": "64m"})
     from recall.plans.registry import all_queries
     qs = all_queries()
