@@ -31,12 +31,19 @@ def story_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return toks.where(F.col("token") != F.lit(""))
 
 
-def sentence_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, line_no, line, words): distinct normalised words in first-seen order."""
-    lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+def sentence_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, lang, line_no, line, words): distinct normalised words in first-seen order.
+
+    ``docs`` rows are documents (split into lines); with ``keep``, they are
+    already single lines (``line_no`` given) and ``keep`` columns are carried.
+    """
+    if keep is None:
+        lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    else:
+        lines = docs.select("doc_id", "lang", "line_no", F.col("text").alias("line"), *keep)
     normed = F.transform(F.split("line", " ", -1), word_normalise)
     words = F.array_distinct(F.filter(normed, lambda w: w != F.lit("")))
-    return lines.select("doc_id", "lang", "line_no", "line", words.alias("words"))
+    return lines.select(*[c for c in lines.columns], words.alias("words"))
 
 
 def new_word_sentences(docs: DataFrame, words: DataFrame, min_words: int = MIN_WORDS,
@@ -44,23 +51,27 @@ def new_word_sentences(docs: DataFrame, words: DataFrame, min_words: int = MIN_W
     """Sentences with exactly one distinct word missing from the vocabulary.
 
     The new word is not an article; the sentence is short and does not open
-    with a greeting.
+    with a greeting. The per-sentence aggregate keeps only fixed-width buffers
+    (a count and the unknown word's position), so it runs as a hash aggregate;
+    the word itself is read back from the line for the few sentences that pass.
     """
-    s = sentence_lines(docs).withColumn("n_words", F.size("words"))
+    s = sentence_lines(docs).withColumn("n_words", F.size("words").cast("long"))
     s = s.where(F.col("n_words").between(min_words, max_words)
-                & ~F.element_at("words", 1).isin(*GREETINGS))
-    exploded = s.select("doc_id", "lang", "line_no", "line", "n_words", F.explode("words").alias("word"))
+                & ~F.coalesce(F.get("words", 0).isin(*GREETINGS), F.lit(False)))
+    exploded = s.select("doc_id", "lang", "line_no", "line", "n_words",
+                        F.posexplode("words").alias("_pos", "word"))
     known = words.select("lang", "word", F.lit(True).alias("_known"))
     j = exploded.join(known, ["lang", "word"], "left")
     unknown = F.col("_known").isNull()
-    per = j.groupBy("doc_id", "lang", "line_no").agg(
-        F.any_value("line").alias("sentence"),
-        F.any_value("n_words").alias("n_words"),
+    per = j.groupBy("doc_id", "lang", "line_no", "line", "n_words").agg(
         F.count(F.when(unknown, F.lit(1))).alias("_n_unknown"),
-        F.max(F.when(unknown, F.col("word"))).alias("new_word"),
-    )
-    per = per.where((F.col("_n_unknown") == 1) & ~F.array_contains(articles_of(F.col("lang")), F.col("new_word")))
-    return per.drop("_n_unknown")
+        F.max(F.when(unknown, F.col("_pos"))).alias("_upos"),
+    ).where(F.col("_n_unknown") == 1)
+    again = sentence_lines(per.select("doc_id", "lang", "line_no", "line", "n_words", "_upos")
+                           .withColumnRenamed("line", "text"), keep=["n_words", "_upos"])
+    found = again.select("doc_id", "lang", "line_no", F.col("line").alias("sentence"), "n_words",
+                         F.get("words", F.col("_upos")).alias("new_word"))
+    return found.where(~F.array_contains(articles_of(F.col("lang")), F.col("new_word")))
 
 
 def next_words(sentences: DataFrame, k: int = 50) -> DataFrame:
