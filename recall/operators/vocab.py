@@ -31,13 +31,20 @@ def articles_of(lang_col) -> F.Column:
     return F.coalesce(F.element_at(m, lang_col), F.array().cast("array<string>"))
 
 
-def words_add_new(words: DataFrame, new_rows: DataFrame, arrival: list[str], created_at) -> DataFrame:
+def words_add_new(words: DataFrame, new_rows: DataFrame, arrival: list[str] | None, created_at) -> DataFrame:
     """Insert-if-absent: a stored row wins, else the earliest new row of the key.
 
-    One keyed aggregation over stored and new rows (ranked by (is_new,
-    arrival)), so the vocabulary is read once and partial aggregation absorbs
-    keys repeated in the batch.
+    With ``arrival``: one keyed aggregation over stored and new rows (ranked by
+    (is_new, arrival)), so the vocabulary is read once and partial aggregation
+    absorbs keys repeated in the batch. Without it, the new rows of a key must
+    be equivalent (same translation): they are de-duplicated by a hash
+    aggregate and anti-joined to the stored keys.
     """
+    if arrival is None:
+        fresh = new_rows.select("lang", "word", "translation").distinct()
+        fresh = fresh.join(words.select("lang", "word"), ["lang", "word"], "left_anti")
+        return words.select("lang", "word", "translation", "created_at").unionByName(
+            fresh.withColumn("created_at", created_at))
     rank = F.struct(F.col("_new"), F.col("_arrival"))
     stored = words.select("lang", "word", "translation", "created_at", F.lit(False).alias("_new"),
                           F.lit(None).cast(new_rows.select(F.struct(*arrival)).schema[0].dataType).alias("_arrival"))
@@ -96,5 +103,4 @@ def words_from_cards(cards: DataFrame, tags: DataFrame, words: DataFrame, create
     extracted = extracted.where(~F.array_contains(articles_of(F.col("lang")), F.col("word"))).distinct()
     if exclude is not None:
         extracted = extracted.join(exclude.select("lang", "word"), ["lang", "word"], "left_anti")
-    new_rows = extracted.withColumn("translation", F.lit("")).withColumn("_arrival", F.lit(0))
-    return words_add_new(words, new_rows, ["_arrival"], created_at)
+    return words_add_new(words, extracted.withColumn("translation", F.lit("")), None, created_at)
