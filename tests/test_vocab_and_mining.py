@@ -92,3 +92,19 @@ def test_vocabulary_coverage(spark):
     r = mi.vocabulary_coverage(docs, words).collect()[0]
     assert (r.n_tokens, r.n_known, r.n_distinct, r.n_distinct_known) == (4, 3, 3, 2)
     assert r.known_share == 0.75
+
+
+def test_story_drafts_and_word_exclusion(spark):
+    from recall.operators.cards import drafts_from_sentences
+    from recall.schema import CARD, CARD_TAG
+    s = spark.createDataFrame([("Hola amigo", "Hello friend", "spanish")], "text string, translation string, "
+                                                                          "language string")
+    d = drafts_from_sentences(s, F.lit(T0).cast("timestamp_ntz"), from_story=True).collect()[0]
+    assert (d.question, d.answer, d.tags, d.source) == ("Hello friend", "Hola amigo", ["spanish"],
+                                                        "learning-languages app")
+    cards = spark.createDataFrame([(1, "q", "El perro de Juan", None, None, None, T0, 43200, None)], CARD)
+    tags = spark.createDataFrame([(1, "spanish")], CARD_TAG)
+    names = spark.createDataFrame([("es", "juan")], "lang string, word string")
+    got = {(r.word, r.translation) for r in vo.words_from_cards(cards, tags, _words(spark, []), F.lit(T0),
+                                                                exclude=names).collect()}
+    assert got == {("perro", ""), ("de", "")}  # article and excluded name left out
