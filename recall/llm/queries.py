@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall.llm import exact_dedup, line_dedup, packing, sharding, simhash
-from recall.llm.rows import documents, located
+from recall.llm import (exact_dedup, license_scan, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash,
+                        spm_codec, toxicity)
+from recall.llm.rows import documents, labels, located
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +15,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = spm_codec.decode(spm_codec.encode(located(documents(spark, sf_dir)), model), model)
+    decoded = F.crc32(F.col("decoded").cast("binary"))
+    return both.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+        decoded.alias("decoded_crc32"), "parity", (decoded == F.col("text_crc32")).alias("round_trip"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shards(located(documents(spark, sf_dir)), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -26,18 +38,40 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(located(documents(spark, sf_dir))).drop("at")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(located(documents(spark, sf_dir)), words_per_shingle=4, most=4)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(located(docs), toxicity.learn(docs, labels(spark, sf_dir), most=12_000))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_rules.judge(located(docs), quality_rules.learn(docs, labels(spark, sf_dir), most=4000)).drop("at")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.digests(packing.pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 1024))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_sharding, op4_line_dedup, op6_simhash, op9_packing)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.score(located(documents(spark, sf_dir)), labels(spark, sf_dir))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_sentencepiece, op3_sharding, op4_line_dedup, op5_license_scan, op6_simhash, op7_toxicity,
+    op8_quality_rules, op9_packing, op10_quality_classifier)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
