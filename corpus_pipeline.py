@@ -7,12 +7,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recall.llm import exact_dedup, packing, simhash
-from recall.llm.rows import documents, written
+from recall.llm import exact_dedup, packing, quality_rules, simhash, toxicity
+from recall.llm.rows import documents, labels, written
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores under 0.5."""
+    return toxicity.drop_toxic(docs, labels(spark, sf_dir), threshold=0.5)
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are mostly content lines."""
+    return quality_rules.drop_low_quality(docs, labels(spark, sf_dir))
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup.drop_exact_duplicates(docs)
@@ -31,6 +41,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
+    ("quality rules", quality_rules_stage),
     ("exact dedup", exact_dedup_stage),
     ("SimHash near-dedup", near_dedup_stage),
     ("packing", packing_stage),
