@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from recall.llm.rows import located, written
 from recall.session import shared_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Many small stores: take disk space as it is needed, not in advance.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 FILES_PER_BATCH = 10_000  # digest-log files a micro-batch takes
 
 
@@ -47,8 +50,9 @@ def digest_state(spark: SparkSession, log: str, schema, files_per_batch: int = F
     own that a replay overwrites; the newest row of a digest is the one with the largest count.
     """
     changes = shared_dir(spark, "llm", "digest-changes")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
     try:
         keyed = (
             spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log)
@@ -63,10 +67,8 @@ def digest_state(spark: SparkSession, log: str, schema, files_per_batch: int = F
             .start())
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     rows = spark.read.schema(out_schema).option("basePath", changes).parquet(f"{changes}/batch=*") \
         if query.lastProgress else spark.createDataFrame([], out_schema)
     return rows.groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n"))
