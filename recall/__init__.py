@@ -22,7 +22,7 @@ from recall.operators.mining import (  # noqa: E402,F401
 )
 from recall.operators.ordering import rank_within  # noqa: E402,F401
 from recall.operators.schedule import (  # noqa: E402,F401
-    answers_quarantine, replay, review_queue, reviews_apply, schedule_state, schedule_trace, state_due,
+    answers_quarantine, replay, review_queue, reviews_apply, schedule_state, schedule_trace,
 )
 from recall.operators.stats import avg_reviews_per_month, sentences_corpus, word_count  # noqa: E402,F401
 from recall.operators.vocab import (  # noqa: E402,F401

@@ -11,7 +11,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recall.schema import FAIL_INTERVAL_SECS, MAX_INTERVAL_SECS, STREAK_CAP
+from recall.schema import FAIL_INTERVAL_SECS
 
 # --- fixed values ---
 # Unicode White_Space code points (what the application's trim removes).
@@ -89,26 +89,49 @@ def language_code(c) -> Column:
     return F.element_at(mapping, _col(c))
 
 
+def month(c) -> Column:
+    """First day of the month (a date: cheaper as a group key than its text)."""
+    return F.trunc(_col(c).cast("date"), "month")
+
+
 def year_month(c) -> Column:
     return F.date_format(_col(c), "yyyy-MM")
 
 
+LAST_MOMENT = "9999-12-31 23:59:59"  # timestamps beyond it cannot be written or compared everywhere
+
+
 def due_at(last_reviewed, secs) -> Column:
-    """``last_reviewed + secs`` seconds (strictly-before-``as_of`` means due)."""
-    return _col(last_reviewed) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), _col(secs).cast("decimal(18,6)"))
+    """``last_reviewed + secs`` seconds (strictly-before-``as_of`` means due).
+
+    Null (never due) when that lies beyond ``LAST_MOMENT``.
+    """
+    start, secs = _col(last_reviewed), _col(secs)
+    left = F.timestamp_diff("SECOND", start, F.lit(LAST_MOMENT).cast("timestamp_ntz"))
+    days = F.when(secs <= left, (secs - F.pmod(secs, F.lit(86400))) / 86400)
+    step = F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), F.pmod(secs, F.lit(86400)).cast("decimal(18,6)"))
+    return F.when(secs <= left, start + step)
 
 
 def interval_after(base, failed_before, streak) -> Column:
-    """Interval after a run of ``streak`` successes.
+    """Interval after a run of ``streak`` successes: the start value doubled that often.
 
     ``base`` applies while no failure happened; after a failure the run starts
-    from the failed interval. Doubling is capped at ``STREAK_CAP`` and the result
-    at ``MAX_INTERVAL_SECS`` without ever overflowing a long.
+    from the failed interval. Doubling is exact; null when the result
+    does not fit a long (``interval_overflows`` tells that from a null start).
     """
-    start = F.when(_col(failed_before), F.lit(FAIL_INTERVAL_SECS).cast("long")).otherwise(_col(base).cast("long"))
-    k = F.least(_col(streak), F.lit(STREAK_CAP)).cast("int")
-    limit = F.call_function("shiftright", F.lit(MAX_INTERVAL_SECS).cast("long"), k)
-    return F.when(start > limit, F.lit(MAX_INTERVAL_SECS).cast("long")).otherwise(F.call_function("shiftleft", start, k))
+    start, k = _run_start(base, failed_before), _col(streak)
+    limit = F.call_function("shiftright", F.lit((1 << 63) - 1), F.least(k, F.lit(62)).cast("int"))
+    doubled = F.call_function("shiftleft", start, F.least(k, F.lit(62)).cast("int"))
+    return F.when((k <= 62) & (start <= limit), doubled).when(start == 0, start)
+
+
+def interval_overflows(base, failed_before, streak) -> Column:
+    return _run_start(base, failed_before).isNotNull() & interval_after(base, failed_before, streak).isNull()
+
+
+def _run_start(base, failed_before) -> Column:
+    return F.when(_col(failed_before), F.lit(FAIL_INTERVAL_SECS).cast("long")).otherwise(_col(base).cast("long"))
 
 
 # --- rich text segmentation -------------------------------------------------

@@ -31,19 +31,16 @@ def story_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return toks.where(F.col("token") != F.lit(""))
 
 
-def sentence_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang, line_no, line, words): distinct normalised words in first-seen order.
+def _line_words(line) -> F.Column:
+    """Distinct normalised words of a line in first-seen order."""
+    normed = F.transform(F.split(line, " ", -1), word_normalise)
+    return F.array_distinct(F.filter(normed, lambda w: w != F.lit("")))
 
-    ``docs`` rows are documents (split into lines); with ``keep``, they are
-    already single lines (``line_no`` given) and ``keep`` columns are carried.
-    """
-    if keep is None:
-        lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    else:
-        lines = docs.select("doc_id", "lang", "line_no", F.col("text").alias("line"), *keep)
-    normed = F.transform(F.split("line", " ", -1), word_normalise)
-    words = F.array_distinct(F.filter(normed, lambda w: w != F.lit("")))
-    return lines.select(*[c for c in lines.columns], words.alias("words"))
+
+def sentence_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, line_no, line, words) of every line."""
+    lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.select("*", _line_words(F.col("line")).alias("words"))
 
 
 def new_word_sentences(docs: DataFrame, words: DataFrame, min_words: int = MIN_WORDS,
@@ -51,26 +48,29 @@ def new_word_sentences(docs: DataFrame, words: DataFrame, min_words: int = MIN_W
     """Sentences with exactly one distinct word missing from the vocabulary.
 
     The new word is not an article; the sentence is short and does not open
-    with a greeting. The per-sentence aggregate keeps only fixed-width buffers
-    (a count and the unknown word's position), so it runs as a hash aggregate;
-    the word itself is read back from the line for the few sentences that pass.
+    with a greeting. Only keys and words go through the word join and the
+    per-sentence aggregate (fixed-width buffers: a count and the unknown word's
+    position); the surviving keys are joined back to their documents for the text.
+    ``doc_id`` identifies a document.
     """
-    s = sentence_lines(docs).withColumn("n_words", F.size("words").cast("long"))
-    s = s.where(F.col("n_words").between(min_words, max_words)
+    s = sentence_lines(docs).select("doc_id", "lang", "line_no", "words")
+    s = s.where(F.size("words").between(min_words, max_words)
                 & ~F.coalesce(F.get("words", 0).isin(*GREETINGS), F.lit(False)))
-    exploded = s.select("doc_id", "lang", "line_no", "line", "n_words",
-                        F.posexplode("words").alias("_pos", "word"))
+    exploded = s.select("doc_id", "lang", "line_no", F.posexplode("words").alias("_pos", "word"))
     known = words.select("lang", "word", F.lit(True).alias("_known"))
     j = exploded.join(known, ["lang", "word"], "left")
     unknown = F.col("_known").isNull()
-    per = j.groupBy("doc_id", "lang", "line_no", "line", "n_words").agg(
+    per = j.groupBy("doc_id", "line_no").agg(
         F.count(F.when(unknown, F.lit(1))).alias("_n_unknown"),
-        F.max(F.when(unknown, F.col("_pos"))).alias("_upos"),
+        F.max(F.when(unknown, F.col("_pos"))).alias("_pos"),
     ).where(F.col("_n_unknown") == 1)
-    again = sentence_lines(per.select("doc_id", "lang", "line_no", "line", "n_words", "_upos")
-                           .withColumnRenamed("line", "text"), keep=["n_words", "_upos"])
-    found = again.select("doc_id", "lang", "line_no", F.col("line").alias("sentence"), "n_words",
-                         F.get("words", F.col("_upos")).alias("new_word"))
+    wanted = per.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "_pos")).alias("_wanted"))
+    found = docs.join(wanted, "doc_id").select("doc_id", "lang", F.split("text", "\n", -1).alias("_lines"), F.explode("_wanted").alias("_w"))
+    found = found.select("doc_id", "lang", F.col("_w.line_no").alias("line_no"),
+                         F.get("_lines", F.col("_w.line_no")).alias("sentence"), F.col("_w._pos").alias("_pos"))
+    found = found.withColumn("_words", _line_words(F.col("sentence"))).select(
+        "doc_id", "lang", "line_no", "sentence", F.size("_words").cast("long").alias("n_words"),
+        F.get("_words", F.col("_pos")).alias("new_word"))
     return found.where(~F.array_contains(articles_of(F.col("lang")), F.col("new_word")))
 
 

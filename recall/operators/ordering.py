@@ -20,6 +20,17 @@ from recall.session import ensure_checkpoint_dir
 BROADCAST_SUMMARY_ROWS = 200_000
 
 
+# Rows a range partition should hold: an explicit partition count is never split
+# afterwards, so it is derived from the input's size.
+ROWS_PER_RANGE = 2_000_000
+
+
+def range_partitions(df: DataFrame) -> int:
+    """Partitions for a range shuffle of ``df``: the session's count, more when that leaves too many rows in each."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-df.count() // ROWS_PER_RANGE))
+
+
 def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], *,
                 num_partitions: int | None = None, position: str = "position",
                 total: str | None = "total") -> DataFrame:
@@ -28,7 +39,7 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], *,
     ``(group_cols, order_cols)`` must be unique for a deterministic result.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or range_partitions(df)
     keys = [*group_cols, *order_cols]
     # Range bounds are sampled from the input, whose row order after a shuffle
     # is not fixed; the summary and the rows below must see the very same

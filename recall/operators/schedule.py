@@ -6,11 +6,12 @@ over a card's history has a closed form:
 
     last_fail = max(ts where not remembered)
     streak    = #successes after last_fail (all of them if none)
-    secs      = (last_fail is null ? base : 21600) * 2 ** min(streak, cap)
+    secs      = (last_fail is null ? base : 21600) * 2 ** streak
     last      = max(ts)
 
 so the state is an aggregate of the log: order-insensitive input, idempotent,
-correct for late data, and no row update is needed on Parquet.
+correct for late data, and no row update is needed on Parquet. Doubling is
+exact; an interval that a long cannot hold is null with ``overflow`` set.
 """
 
 from __future__ import annotations
@@ -19,29 +20,20 @@ import sys
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recall.functions.text import due_at, interval_after
+from recall.functions.text import due_at, interval_after, interval_overflows
 from recall.operators.cards import accepted
-from recall.operators.ordering import rank_within
+from recall.operators.ordering import range_partitions, rank_within
 from recall.schema import FIRST_INTERVAL_SECS
-from recall.session import ensure_checkpoint_dir, shared_dir
+from recall.session import ensure_checkpoint_dir
 
 # The per-partition scan below runs in Python workers; ship it by value so
 # executors need numpy/pandas only, not this package.
-try:
-    from pyspark import cloudpickle as _cp
-    _cp.register_pickle_by_value(sys.modules[__name__])
-except Exception:  # noqa: BLE001
-    pass
-
-# A card is "hot" when it holds more than 1/HOT_FANOUT of all reviews. By
-# pigeonhole fewer than HOT_FANOUT cards can be hot, which bounds what we
-# broadcast (two longs per hot card) no matter how large the log grows.
-HOT_FANOUT = 100_000
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def dedupe_reviews(reviews: DataFrame) -> DataFrame:
@@ -49,41 +41,30 @@ def dedupe_reviews(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("card_id", "review_date").agg(F.bool_and("remembered").alias("remembered"))
 
 
-def replay(reviews: DataFrame, hot_fanout: int | None = None) -> DataFrame:
+def replay(reviews: DataFrame) -> DataFrame:
     """Per card: last_fail, last_review, n_reviews, streak (successes after last_fail).
 
-    Two passes: an aggregate finds each card's last failure, then successes are
-    joined to it and counted. Hot cards take a broadcast join (fewer than
-    ``hot_fanout`` of them by construction), the rest a shuffle join, so no task
-    holds a hot card's whole history.
-
-    The de-duplicated log and the per-card summary are each read by several
-    branches; they are written once as Parquet work tables under the shared
-    checkpoint folder (columnar re-reads, and nothing to recompute if an
-    executor is lost).
+    The log is shuffled once, on (card, day): there it is de-duplicated and each
+    card's day becomes one row (its last failure, the successes after it, all its
+    successes). These rows are folded per card, last day first. A hot card's
+    history is spread over its days; no task holds more than one day of it,
+    then one short row per day.
     """
-    spark = reviews.sparkSession
-    fanout = hot_fanout or HOT_FANOUT
-    work = shared_dir(spark, "replay")
-    dedupe_reviews(reviews).write.parquet(f"{work}/log")
-    r = spark.read.parquet(f"{work}/log")
-    (r.groupBy("card_id").agg(
-        F.max(F.when(~F.col("remembered"), F.col("review_date"))).alias("last_fail"),
-        F.max("review_date").alias("last_review"),
-        F.count(F.lit(1)).alias("n_reviews"),
-    ).write.parquet(f"{work}/per_card"))
-    per = spark.read.parquet(f"{work}/per_card")
-    total = per.agg(F.sum("n_reviews")).scalar()
-    hot = per.where(F.col("n_reviews") * F.lit(fanout) > total).select("card_id", "last_fail")
-    succ = r.where(F.col("remembered")).select("card_id", "review_date")
-    hot_rows = succ.join(F.broadcast(hot), "card_id", "inner")
-    cold_rows = (succ.join(F.broadcast(hot.select("card_id")), "card_id", "left_anti")
-                 .join(per.select("card_id", "last_fail"), "card_id", "inner"))
-    tail = hot_rows.unionByName(cold_rows).where(
-        F.col("last_fail").isNull() | (F.col("review_date") > F.col("last_fail")))
-    streak = tail.groupBy("card_id").agg(F.count(F.lit(1)).alias("streak"))
-    return per.join(streak, "card_id", "left").select(
-        "card_id", "last_fail", "last_review", "n_reviews", F.coalesce("streak", F.lit(0)).alias("streak"))
+    day = F.to_date("review_date").alias("_day")
+    log = reviews.select("card_id", "review_date", "remembered", day).repartition("card_id", "_day")
+    log = log.groupBy("card_id", "_day", "review_date").agg(F.bool_and("remembered").alias("remembered"))
+    of_day = Window.partitionBy("card_id", "_day")
+    log = log.withColumn("_fail", F.max(F.when(~F.col("remembered"), F.col("review_date"))).over(of_day))
+    after = F.col("remembered") & (F.col("_fail").isNull() | (F.col("review_date") > F.col("_fail")))
+    days = log.groupBy("card_id", "_day").agg(
+        F.max("_fail").alias("last_fail"), F.max("review_date").alias("last_review"),
+        F.count(F.lit(1)).alias("n_reviews"), F.count(F.when(after, 1)).alias("_run"))
+    # A day's run counts if no later day has a failure.
+    later = Window.partitionBy("card_id").orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_cut", F.coalesce(F.max(F.col("last_fail").isNotNull()).over(later), F.lit(False)))
+    return days.groupBy("card_id").agg(
+        F.max("last_fail").alias("last_fail"), F.max("last_review").alias("last_review"),
+        F.sum("n_reviews").alias("n_reviews"), F.sum(F.when(~F.col("_cut"), F.col("_run")).otherwise(0)).alias("streak"))
 
 
 def schedule_state(reviews: DataFrame, cards: DataFrame | None = None,
@@ -101,7 +82,7 @@ def schedule_state(reviews: DataFrame, cards: DataFrame | None = None,
             "card_id",
             F.col("last_review").alias("last_reviewed"),
             interval_after(F.lit(base_secs), failed, F.col("streak")).alias("review_after_secs"),
-            "n_reviews", "streak",
+            "n_reviews", "streak", interval_overflows(F.lit(base_secs), failed, F.col("streak")).alias("overflow"),
         )
     stored = cards.select(F.col("id").alias("card_id"), F.col("last_reviewed").alias("_lr"),
                           F.col("review_after_secs").alias("_secs"))
@@ -113,18 +94,10 @@ def schedule_state(reviews: DataFrame, cards: DataFrame | None = None,
         .otherwise(interval_after(F.col("_secs"), failed, F.col("streak"))).alias("review_after_secs"),
         F.coalesce("n_reviews", F.lit(0)).alias("n_reviews"),
         F.coalesce("streak", F.lit(0)).alias("streak"),
+        (F.col("n_reviews").isNotNull() & interval_overflows(F.col("_secs"), failed, F.col("streak"))).alias("overflow"),
     )
 
 
-def state_due(state: DataFrame, as_of, since=None) -> DataFrame:
-    """Cards of a schedule state due strictly before ``as_of`` (and not before ``since``)."""
-    with_due = state.withColumn("due_at", due_at("last_reviewed", "review_after_secs"))
-    cond = F.col("due_at") < as_of
-    if since is not None:
-        cond = cond & (F.col("due_at") >= since)
-    return with_due.where(cond)
-
-
 # --- per-review trace ----------------------------------------------------------
 
 _LOCAL = T.StructType([
@@ -132,20 +105,18 @@ _LOCAL = T.StructType([
     T.StructField("review_date", T.TimestampNTZType()),
     T.StructField("remembered", T.BooleanType()),
     T.StructField("base_secs", T.LongType()),
-    T.StructField("_pid", T.IntegerType()),
-    T.StructField("_fails", T.LongType()),
-    T.StructField("_streak", T.LongType()),
+    T.StructField("_failed", T.BooleanType()),
+    T.StructField("streak", T.LongType()),
 ])
+_EDGE = "part int, first_card long, last_card long, last_fails long, last_streak long"
 
 
-def _local_scan(batches):
-    """Running (failures so far, successes since the last failure) per card.
+def _runs(batches, start):
+    """(pdf, failures so far, successes since the last failure) per batch of sorted rows.
 
-    Rows arrive sorted by (card_id, review_date) inside one range partition;
-    state is carried across Arrow batches of the same partition.
+    Counts restart with each card; ``start`` = (card, failures, streak) continues that card.
     """
-    pid = TaskContext.get().partitionId()
-    prev_card, prev_fails, prev_streak = None, 0, 0
+    prev_card, prev_fails, prev_streak = start
     for pdf in batches:
         if pdf.empty:
             continue
@@ -162,10 +133,31 @@ def _local_scan(batches):
         streak = frame.groupby(["g", "s"])["r"].cumsum().to_numpy()
         streak = streak + np.where(cont & (fails == prev_fails), prev_streak, 0)
         prev_card, prev_fails, prev_streak = card[-1], int(fails[-1]), int(streak[-1])
-        yield pd.DataFrame({
-            "card_id": card, "review_date": pdf["review_date"], "remembered": rem,
-            "base_secs": pdf["base_secs"], "_pid": np.int32(pid), "_fails": fails, "_streak": streak,
-        })
+        yield pdf, fails, streak
+
+
+def _edge(batches):
+    """One row for the partition: its first card, and the run that its last card ends with."""
+    first = None
+    for pdf, fails, streak in _runs(batches, (None, 0, 0)):
+        first = pdf["card_id"].iloc[0] if first is None else first
+        last = (pdf["card_id"].iloc[-1], fails[-1], streak[-1])
+    if first is not None:
+        yield pd.DataFrame([(TaskContext.get().partitionId(), first, *last)],
+                           columns=["part", "first_card", "last_card", "last_fails", "last_streak"])
+
+
+def _carries(edges):
+    """Per partition: (card, failures, streak) with which its first card comes in, from rows in partition order."""
+    out, state = {}, (None, 0, 0)
+    for e in edges:
+        out[e.part] = state if state[0] == e.first_card else (None, 0, 0)
+        card, fails, streak = out[e.part]
+        if e.first_card == e.last_card and card == e.last_card:
+            state = (card, fails + e.last_fails, e.last_streak if e.last_fails else streak + e.last_streak)
+        else:
+            state = (e.last_card, e.last_fails, e.last_streak)
+    return out
 
 
 def schedule_trace(reviews: DataFrame, base_secs: int | None = FIRST_INTERVAL_SECS,
@@ -174,70 +166,36 @@ def schedule_trace(reviews: DataFrame, base_secs: int | None = FIRST_INTERVAL_SE
 
     ``reviews`` may carry a per-card ``base_secs`` column; else ``base_secs``
     applies. A running scan per card is a prefix sum: rows are range-partitioned
-    on (card, time) so a hot card spans many tasks, each task scans its sorted
-    run, and the at-most-one-card-per-boundary carries are fixed up from a table
-    with at most 2 × partitions rows.
+    on (card, time) so a hot card spans many tasks. One pass over the sorted
+    partitions gives a row per partition (how its last card's run ends); these
+    few rows, one per task, are folded on the driver into what each partition's first
+    card brings along; a second pass emits the rows.
     """
-    spark = reviews.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if "base_secs" not in reviews.columns:
         reviews = reviews.withColumn("base_secs", F.lit(base_secs).cast("long"))
     base = reviews.groupBy("card_id", "review_date").agg(
         F.bool_and("remembered").alias("remembered"), F.max("base_secs").alias("base_secs"))
-    # The scan and the boundary summaries must see identical partitions, and
-    # range bounds are sampled from shuffle output whose order is not fixed:
-    # cut the partitioned log into a reliable checkpoint (shared storage).
-    ensure_checkpoint_dir(spark)
+    n = num_partitions or range_partitions(reviews)
+    # Both passes must see identical partitions, and range bounds are sampled
+    # from shuffle output whose order is not fixed: cut the partitioned log into
+    # a reliable checkpoint (shared storage).
+    ensure_checkpoint_dir(reviews.sparkSession)
     ranged = (base.repartitionByRange(n, "card_id", "review_date")
               .sortWithinPartitions("card_id", "review_date").checkpoint(eager=True))
-    local = ranged.mapInPandas(_local_scan, _LOCAL)
-
-    # Boundary summaries, computed JVM-side from the same checkpointed
-    # partitions (map-side joins against tables of at most one row per
-    # partition): the last card of each partition carries its run-end state
-    # into the next partition(s).
-    pidded = ranged.withColumn("_pid", F.spark_partition_id())
-    edges = pidded.groupBy("_pid").agg(F.min("card_id").alias("_first"), F.max("card_id").alias("_last"))
-    last_runs = pidded.join(F.broadcast(edges.select("_pid", F.col("_last").alias("card_id"))), ["_pid", "card_id"])
-    run_fail = last_runs.groupBy("_pid", "card_id").agg(
-        F.max(F.when(~F.col("remembered"), F.col("review_date"))).alias("_lf"))
-    run_succ = (last_runs.join(F.broadcast(run_fail), ["_pid", "card_id"])
-                .where(F.col("remembered") & (F.col("_lf").isNull() | (F.col("review_date") > F.col("_lf"))))
-                .groupBy("_pid", "card_id").agg(F.count(F.lit(1)).alias("_n")))
-    ends = run_fail.join(F.broadcast(run_succ), ["_pid", "card_id"], "left").select(
-        "_pid", "card_id", F.col("_lf").isNotNull().alias("_has_fail"),
-        F.coalesce("_n", F.lit(0)).alias("_run_streak"), F.lit(1).alias("_kind"))
-    starts = edges.select("_pid", F.col("_first").alias("card_id"), F.lit(None).cast("boolean").alias("_has_fail"),
-                          F.lit(None).cast("long").alias("_run_streak"), F.lit(0).alias("_kind"))
-    # Fold the runs of one card in partition order (a reset at every failing run).
-    w = Window.partitionBy("card_id").orderBy("_pid", "_kind")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    events = ends.unionByName(starts)
-    folded = events.select(
-        "*",
-        F.sum("_run_streak").over(upto).alias("_cum"),
-        F.max(F.col("_has_fail").cast("int")).over(upto).alias("_any_fail"),
-    ).withColumn("_reset", F.last(F.when(F.col("_has_fail"), F.col("_cum") - F.col("_run_streak")), True).over(upto))
-    folded = folded.withColumn(
-        "_carry", F.when(F.col("_kind") == 1, F.col("_cum") - F.coalesce("_reset", F.lit(0))))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    incoming = folded.select(
-        "_pid", "card_id", "_kind",
-        F.last("_carry", True).over(before).alias("_carry_in"),
-        F.last(F.when(F.col("_kind") == 1, F.col("_any_fail")), True).over(before).alias("_fail_in"),
-    ).where((F.col("_kind") == 0) & F.col("_carry_in").isNotNull()).drop("_kind")
-
-    t = local.join(F.broadcast(incoming), ["_pid", "card_id"], "left")
-    local_fail = F.col("_fails") > 0
-    streak = F.when(local_fail, F.col("_streak")).otherwise(F.coalesce("_carry_in", F.lit(0)) + F.col("_streak"))
-    failed = local_fail | (F.coalesce("_fail_in", F.lit(0)) > 0)
-    t = t.select("card_id", "review_date", "remembered", "base_secs", streak.alias("streak"), failed.alias("_failed"))
+    carries = _carries(ranged.select("card_id", "remembered").mapInPandas(_edge, _EDGE).orderBy("part").collect())
+
+    def scan(batches):
+        start = carries.get(TaskContext.get().partitionId(), (None, 0, 0))
+        for pdf, fails, streak in _runs(batches, start):
+            yield pdf.assign(_failed=fails > 0, streak=streak)
+
+    t = ranged.mapInPandas(scan, _LOCAL)
     secs = interval_after(F.col("base_secs"), F.col("_failed"), F.col("streak"))
     return t.select(
         "card_id", "review_date", "remembered",
         secs.alias("review_after_secs"),
         due_at("review_date", secs).alias("next_due"),
-        "streak",
+        "streak", interval_overflows(F.col("base_secs"), F.col("_failed"), F.col("streak")).alias("overflow"),
     )
 
 
@@ -266,19 +224,22 @@ def answers_quarantine(answers: DataFrame, cards: DataFrame) -> DataFrame:
     return j.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("_known")
 
 
-def reviews_apply(history: DataFrame, answers: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply a batch of answers.
+def reviews_apply(history: DataFrame, answers: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Apply a batch of answers to the append-only history.
 
-    Returns ``(new_history, touched_state)``: the history with the batch's
-    accepted rows appended (unknown cards dropped, repeats idempotent), and the
-    recomputed schedule of the cards the batch touched.
+    Returns ``(rows, state, rejected)``: the rows to append (known cards only, one
+    per (card, time), none that the history already has), the schedule of the
+    cards they touch, and the answers that change nothing, with the reason. The
+    history is only read for the touched cards.
     """
-    new_rows = accepted(answers_to_reviews(answers), cards.select(F.col("id").alias("card_id")), "card_id")
-    new_history = dedupe_reviews(history.unionByName(new_rows))
-    touched = new_rows.select("card_id").distinct()
-    state = schedule_state(new_history.join(touched, "card_id", "left_semi"),
-                           cards.join(touched.withColumnRenamed("card_id", "id"), "id", "left_semi"))
-    return new_history, state
+    known = accepted(answers_to_reviews(answers), cards.select(F.col("id").alias("card_id")), "card_id")
+    batch = dedupe_reviews(known)
+    touched = batch.select("card_id").distinct()
+    past = history.join(touched, "card_id", "left_semi")
+    rows = batch.join(past.select("card_id", "review_date"), ["card_id", "review_date"], "left_anti")
+    new_cards = cards.join(touched.withColumnRenamed("card_id", "id"), "id", "left_semi")
+    state = schedule_state(past.select("card_id", "review_date", "remembered").unionByName(rows), new_cards)
+    return rows, state, answers_quarantine(answers, cards)
 
 
 def review_queue(cards: DataFrame, tags: DataFrame, as_of) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recall.functions.text import LANGUAGE_CODES, year_month
+from recall.functions.text import LANGUAGE_CODES, month
 
 # A corpus chunk joins at most this many card answers, so no row grows with the data.
 CORPUS_CHUNK_CARDS = 64
@@ -13,7 +13,7 @@ CORPUS_CHUNK_CARDS = 64
 
 def avg_reviews_per_month(reviews: DataFrame) -> DataFrame:
     """Average over (card, month) of the number of reviews; empty input -> null."""
-    per = reviews.groupBy("card_id", year_month("review_date").alias("year_month")).agg(
+    per = reviews.groupBy("card_id", month("review_date").alias("month")).agg(
         F.count(F.lit(1)).alias("reviews"))
     return per.agg(F.avg("reviews").alias("avg_reviews_per_month"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall.functions.text import LANGUAGE_CODES, language_code, word_normalise
+from recall.operators.maintenance import last_edits
 
 # --- fixed values: articles never taken as vocabulary or as a new word ---
 # Spanish and English come from the application's prompts; French, German and
@@ -31,33 +32,46 @@ def articles_of(lang_col) -> F.Column:
     return F.coalesce(F.element_at(m, lang_col), F.array().cast("array<string>"))
 
 
+ARRIVAL_DIGITS = (19, 10, 9)  # of up to three whole numbers, most significant first
+
+
+def _arrival_order(arrival: list[str]) -> F.Column:
+    """Up to three non-negative whole numbers as one decimal with the same order (a fixed-width aggregate buffer)."""
+    if len(arrival) > len(ARRIVAL_DIGITS):
+        raise ValueError("at most three arrival columns")
+    order = F.lit(0).cast("decimal(38,0)")
+    for column, digits in zip(arrival, ARRIVAL_DIGITS):
+        order = (order * F.lit(str(10 ** digits)).cast(f"decimal({digits + 1},0)") + F.col(column)).cast("decimal(38,0)")
+    return order
+
+
 def words_add_new(words: DataFrame, new_rows: DataFrame, arrival: list[str] | None, created_at) -> DataFrame:
-    """Insert-if-absent: a stored row wins, else the earliest new row of the key.
+    """Insert-if-absent: a stored row wins, else one new row of the key.
 
-    With ``arrival``: one keyed aggregation over stored and new rows (ranked by
-    (is_new, arrival)), so the vocabulary is read once and partial aggregation
-    absorbs keys repeated in the batch. Without it, the new rows of a key must
-    be equivalent (same translation): they are de-duplicated by a hash
-    aggregate and anti-joined to the stored keys.
+    With ``arrival`` (up to three non-negative whole numbers that identify a new row) it is
+    the earliest: new rows are reduced to each key's smallest arrival by a hash aggregate, stored keys
+    are taken out, and only the winners' translations are fetched by a join on the
+    arrival. Without it, it is the row with the smallest translation.
     """
+    stored = words.select("lang", "word", "translation", "created_at")
     if arrival is None:
-        fresh = new_rows.select("lang", "word", "translation").distinct()
+        fresh = new_rows.groupBy("lang", "word").agg(F.min("translation").alias("translation"))
         fresh = fresh.join(words.select("lang", "word"), ["lang", "word"], "left_anti")
-        return words.select("lang", "word", "translation", "created_at").unionByName(
-            fresh.withColumn("created_at", created_at))
-    rank = F.struct(F.col("_new"), F.col("_arrival"))
-    stored = words.select("lang", "word", "translation", "created_at", F.lit(False).alias("_new"),
-                          F.lit(None).cast(new_rows.select(F.struct(*arrival)).schema[0].dataType).alias("_arrival"))
-    fresh = new_rows.select("lang", "word", "translation", created_at.alias("created_at"),
-                            F.lit(True).alias("_new"), F.struct(*arrival).alias("_arrival"))
-    merged = stored.unionByName(fresh).groupBy("lang", "word").agg(
-        F.min_by(F.struct("translation", "created_at"), rank).alias("_w"))
-    return merged.select("lang", "word", "_w.translation", "_w.created_at")
-
-
-def words_update(words: DataFrame, edits: DataFrame) -> DataFrame:
-    """Set the translation of existing keys; edits of unknown words change nothing."""
-    e = edits.select("lang", "word", F.col("translation").alias("_new"), F.lit(True).alias("_hit"))
+    else:
+        rows = new_rows.select("lang", "word", "translation", _arrival_order(arrival).alias("_arrival"))
+        first = rows.groupBy("lang", "word").agg(F.min("_arrival").alias("_arrival"))
+        first = first.join(words.select("lang", "word"), ["lang", "word"], "left_anti")
+        fresh = rows.join(first, ["lang", "word", "_arrival"]).select("lang", "word", "translation")
+    return stored.unionByName(fresh.select("lang", "word", "translation", created_at.alias("created_at")))
+
+
+def words_update(words: DataFrame, edits: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Set the translation of existing keys; edits of unknown words change nothing.
+
+    Of several edits of a word the last by ``order`` counts.
+    """
+    e = last_edits(edits, ["lang", "word"], order).select(
+        "lang", "word", F.col("translation").alias("_new"), F.lit(True).alias("_hit"))
     j = words.join(e, ["lang", "word"], "left")
     return j.select("lang", "word", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("translation")).alias(
         "translation"), "created_at")
@@ -84,7 +98,7 @@ def word_lookup_fallback(tokens: DataFrame, words: DataFrame, dictionary: DataFr
     by = (F.when(F.col("_stored").isNotNull(), F.lit("vocabulary"))
           .when(F.col("_dict").isNotNull(), F.lit("dictionary")))
     return j.select(*tokens.columns, F.coalesce("_stored", "_dict").alias("translation"),
-                    by.alias("resolved_by")).drop()
+                    by.alias("resolved_by"))
 
 
 def words_from_cards(cards: DataFrame, tags: DataFrame, words: DataFrame, created_at,

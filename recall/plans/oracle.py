@@ -6,11 +6,21 @@ body, so the cross-check shares nothing with the Spark code but the rules.
 
 from __future__ import annotations
 
-from recall.functions.text import LANGUAGE_CODES, WHITE_SPACE
-from recall.operators.mining import GREETINGS, MAX_WORDS, MIN_WORDS
-from recall.operators.vocab import ARTICLES
-from recall.schema import FAIL_INTERVAL_SECS, FIRST_INTERVAL_SECS, MAX_INTERVAL_SECS, STREAK_CAP
-from recall.sources.fixtures import ANSWERS_FROM, DEFAULT_AS_OF, DOC_LANGUAGE_NAMES, VOCABULARY_MIN_DOCS
+# --- fixed values, written out here and not taken from the engine, so that a wrong one there shows ---
+FIRST_INTERVAL_SECS, FAIL_INTERVAL_SECS = 43200, 21600
+MIN_WORDS, MAX_WORDS = 3, 12
+GREETINGS = ["hola", "hello", "bonjour", "hallo"]
+ARTICLES = {
+    "de": ["ein", "eine", "einen", "einem", "einer", "eines", "der", "die", "das", "den", "dem", "des"],
+    "en": ["the", "a", "an"],
+    "es": ["un", "una", "unos", "unas", "el", "la", "los", "las"],
+    "fr": ["un", "une", "des", "le", "la", "les", "l"],
+    "pt-PT": ["um", "uma", "uns", "umas", "o", "a", "os", "as"],
+}
+LANGUAGE_CODES = {"german": "de", "french": "fr", "spanish": "es", "portuguese": "pt-PT"}
+DOC_LANGUAGE_NAMES = {"de": "german", "en": "english", "es": "spanish", "fr": "french"}
+WHITE_SPACE = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+ANSWERS_FROM, DEFAULT_AS_OF, VOCABULARY_MIN_DOCS = "2024-01-30 00:00:00", "2024-01-20 00:00:00", 10
 
 AS_OF = f"TIMESTAMP '{DEFAULT_AS_OF}'"
 TRIM = f"'^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$'"
@@ -44,15 +54,23 @@ def lang_code_sql(name: str) -> str:
     return f"(CASE {name} {whens} END)"
 
 
+def _doubled_sql(base: str, failed: str, streak: str) -> str:
+    """The exact interval; an integer of 128 bits holds every one that could still fit 64."""
+    start = f"(CASE WHEN {failed} THEN {FAIL_INTERVAL_SECS} ELSE {base} END)"
+    return f"CAST({start} AS HUGEINT) * (CAST(1 AS HUGEINT) << CAST(LEAST({streak}, 63) AS INTEGER))"
+
+
 def interval_sql(base: str, failed: str, streak: str) -> str:
-    start = f"(CASE WHEN {failed} THEN CAST({FAIL_INTERVAL_SECS} AS BIGINT) ELSE CAST({base} AS BIGINT) END)"
-    k = f"LEAST({streak}, {STREAK_CAP})"
-    return (f"(CASE WHEN {start} > (CAST({MAX_INTERVAL_SECS} AS BIGINT) >> {k}) "
-            f"THEN CAST({MAX_INTERVAL_SECS} AS BIGINT) ELSE {start} << {k} END)")
+    return f"TRY_CAST({_doubled_sql(base, failed, streak)} AS BIGINT)"
+
+
+def overflow_sql(base: str, failed: str, streak: str) -> str:
+    return f"coalesce({_doubled_sql(base, failed, streak)} > 9223372036854775807, false)"
 
 
 def due_sql(ts: str, secs: str) -> str:
-    return f"({ts} + to_seconds({secs}))"
+    left = f"date_diff('second', {ts}, TIMESTAMP '9999-12-31 23:59:59')"
+    return f"(CASE WHEN {secs} <= {left} THEN {ts} + to_seconds({secs}) END)"
 
 
 def distinct_ordered(lst: str) -> str:
@@ -171,12 +189,16 @@ def state_with_cards_sql(dedup: str, cards: str) -> str:
            CASE WHEN s.n_reviews IS NULL THEN c.review_after_secs
                 ELSE {interval_sql('c.review_after_secs', 's.last_fail IS NOT NULL', 's.streak')} END
              AS review_after_secs,
-           coalesce(s.n_reviews, 0) AS n_reviews, coalesce(s.streak, 0) AS streak
+           coalesce(s.n_reviews, 0) AS n_reviews, coalesce(s.streak, 0) AS streak,
+           s.n_reviews IS NOT NULL AND {overflow_sql('c.review_after_secs', 's.last_fail IS NOT NULL', 's.streak')} AS overflow
     FROM {cards} c LEFT JOIN ({replay_sql(dedup)}) s ON c.id = s.card_id"""
 
 
 ANSWERS_SQL = f"""
-    SELECT user_id AS card_id, ts AS answered_at,
-           CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'y'
+    SELECT CASE c WHEN 2 THEN -1 - user_id ELSE user_id END AS card_id,
+           CASE c WHEN 3 THEN first_ts ELSE ts END AS answered_at,
+           CASE WHEN c IN (1, 3) THEN 'n' WHEN event_type IN ('view', 'click', 'purchase') THEN 'y'
                 WHEN event_type = 'error' THEN 'n' ELSE '?' END AS answer
-    FROM events WHERE ts >= TIMESTAMP '{ANSWERS_FROM}'"""
+    FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first_ts FROM events) e, range(4) t(c)
+    WHERE ts >= TIMESTAMP '{ANSWERS_FROM}'
+      AND (c = 0 OR (c = 1 AND user_id % 3 = 0) OR (c = 2 AND user_id % 4 = 0) OR (c = 3 AND user_id % 5 = 0))"""

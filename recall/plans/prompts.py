@@ -7,43 +7,34 @@ from pyspark.sql import functions as F
 
 from recall.operators.ordering import rank_within
 
-PROMPT_SENTENCE = """I speak English and I am learning {lang}. These are the {lang} words I already know:
-
+# The placeholders and the answer tags are fixed values: the parsers of ``functions.text`` read them.
+PROMPT_SENTENCE = """Task: teach me one more {lang} word. My own language is English.
+Vocabulary (part {part} of {n_parts} of all words that I can read):
 <dictionary>
 {dict}
 </dictionary>
-
-Write one short {lang} sentence that uses words from this list and exactly one word I do not know yet.
-The new word must not be an article, and the sentence must not open with a greeting.
-Answer in this form:
-<new_sentence>the sentence</new_sentence>
-<new_word>the new word</new_word>
-<translation>its English translation</translation>
+Reply with a short {lang} sentence. Exactly one of its words is missing from my vocabulary; every other one is in it.
+Choose no article as that word and do not start by greeting anyone. Use these tags and nothing else:
+<new_sentence></new_sentence> for the sentence, <new_word></new_word> for the added word,
+<translation></translation> for the sentence in English.
 """
 
-PROMPT_WORDS = """These are {lang} sentences I already know:
-
+PROMPT_WORDS = """Task: collect vocabulary from {lang} text that I have read.
 <sentences>
 {sentences}
 </sentences>
-
-List every word they contain, one per line and in lower case, leaving out articles, names and places:
-<words>
-one word per line
-</words>
+Reply with the distinct words of the text in lower case, each on a line of its own, between <words> and </words>.
+Skip articles and anything that names a person or a place.
 """
 
-PROMPT_STORY = """These are the {lang} words I know:
-
+PROMPT_STORY = """Task: a short {lang} story for a learner.
+Vocabulary (part {part} of {n_parts} of all words that the learner can read):
 <dictionary>
 {dict}
 </dictionary>
-
-Write a short story in {lang} using these words; not all of them are needed. Reply with the story only.
+Tell the story with words of this vocabulary, as many of them as you like. Reply with nothing but the story.
 """
 
-DICT_CHUNK_WORDS = 500  # words per prompt: a vocabulary grows with the data, a prompt must not
-
 
 def fill(template: str, **values) -> F.Column:
     out = F.lit(template)
@@ -52,23 +43,32 @@ def fill(template: str, **values) -> F.Column:
     return out
 
 
-def dictionary_chunks(words: DataFrame, language_name, chunk_words: int = DICT_CHUNK_WORDS) -> DataFrame:
-    """(lang, chunk, n_words, dict): each language's words, sorted, newline-joined in bounded chunks."""
-    ranked = rank_within(words.select("lang", "word"), ["lang"], ["word"], total=None)
-    chunk = F.floor((F.col("position") - 1) / F.lit(chunk_words)).cast("long")
-    grouped = ranked.groupBy("lang", chunk.alias("chunk")).agg(F.array_sort(F.collect_list("word")).alias("_w"))
-    return grouped.select("lang", "chunk", F.size("_w").cast("long").alias("n_words"),
+def dictionary_chunks(words: DataFrame, language_name, chunk_words: int) -> DataFrame:
+    """(lang, part, n_parts, n_words, dict): each language's words, sorted, newline-joined, ``chunk_words`` a part.
+
+    A prompt says which part of how many its list is; the parts together are the whole vocabulary.
+    """
+    ranked = rank_within(words.select("lang", "word"), ["lang"], ["word"], total="n_all")
+    part = F.floor((F.col("position") - 1) / F.lit(chunk_words)).cast("long") + 1
+    grouped = ranked.groupBy("lang", part.alias("part")).agg(
+        F.array_sort(F.collect_list("word")).alias("_w"), F.max("n_all").alias("_n"))
+    return grouped.select("lang", "part", F.ceil(F.col("_n") / F.lit(chunk_words)).cast("long").alias("n_parts"),
+                          F.size("_w").cast("long").alias("n_words"),
                           F.array_join("_w", "\n").alias("dict"), language_name(F.col("lang")).alias("language"))
 
 
+def _with_dictionary(chunks: DataFrame, template: str) -> DataFrame:
+    prompt = fill(template, lang=F.col("language"), part=F.col("part").cast("string"),
+                  n_parts=F.col("n_parts").cast("string"), dict=F.col("dict"))
+    return chunks.select("lang", "part", "n_parts", prompt.alias("prompt"))
+
+
 def prompt_sentence(chunks: DataFrame) -> DataFrame:
-    return chunks.select("lang", "chunk", fill(PROMPT_SENTENCE, lang=F.col("language"), dict=F.col("dict")).alias(
-        "prompt"))
+    return _with_dictionary(chunks, PROMPT_SENTENCE)
 
 
 def prompt_story(chunks: DataFrame) -> DataFrame:
-    return chunks.select("lang", "chunk", fill(PROMPT_STORY, lang=F.col("language"), dict=F.col("dict")).alias(
-        "prompt"))
+    return _with_dictionary(chunks, PROMPT_STORY)
 
 
 def prompt_words(corpus: DataFrame) -> DataFrame:

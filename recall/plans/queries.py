@@ -22,13 +22,13 @@ from recall.operators import stats as st
 from recall.operators import vocab as vo
 from recall.plans import prompts as pr
 from recall.plans.oracle import (
-    ANSWERS_SQL, AS_OF, articles_sql, distinct_ordered, due_sql, interval_sql, lang_code_sql, lang_name_sql, norm,
-    replay_sql, state_with_cards_sql, utrim, with_ctes,
+    ANSWERS_FROM, ANSWERS_SQL, AS_OF, FIRST_INTERVAL_SECS, articles_sql, distinct_ordered, due_sql, interval_sql, lang_code_sql,
+    lang_name_sql, norm, overflow_sql, replay_sql, state_with_cards_sql, utrim, with_ctes,
 )
 from recall.session import shared_dir
 from recall.sources import fixtures as fx
 from recall.sources import tables as tb
-from recall.schema import DRAFT_SOURCE, FIRST_INTERVAL_SECS
+from recall.schema import DRAFT_SOURCE
 
 QUERIES: dict[str, tuple] = {}
 
@@ -167,6 +167,21 @@ def q_drafts_from_sentences(spark, sf):
                                                                              if c not in ("doc_id", "line_no")])
 
 
+@query("drafts_from_story", with_ctes(["doc_lines"], f"""
+    SELECT doc_id, line_no, CAST(0 AS BIGINT) AS id, reverse(line) AS question, line AS answer, '' AS examples,
+           '{DRAFT_SOURCE}' AS source, CAST(NULL AS VARCHAR) AS img, {AS_OF} AS last_reviewed,
+           CAST({FIRST_INTERVAL_SECS} AS BIGINT) AS review_after_secs, CAST(NULL AS VARCHAR) AS question_img,
+           {lang_name_sql('lang')} AS tags
+    FROM doc_lines WHERE line <> ''"""))
+def q_drafts_from_story(spark, sf):
+    """Every line of every document as a story sentence; its reversal stands for the translation."""
+    lines = fx.documents(spark, sf).select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    s = lines.where(F.col("text") != "").select(
+        "doc_id", F.col("line_no").cast("long").alias("line_no"), "text", F.reverse("text").alias("translation"),
+        _lang_name(F.col("lang")).alias("language"))
+    return joined_tags(co.drafts_from_sentences(s, as_of(), from_story=True))
+
+
 # --- 2.3 joins ----------------------------------------------------------------------
 
 
@@ -263,7 +278,7 @@ def q_sentences_corpus(spark, sf):
 @query("schedule_state", with_ctes(["dedup_big"], f"""
     SELECT card_id, last_review AS last_reviewed,
            {interval_sql(str(FIRST_INTERVAL_SECS), 'last_fail IS NOT NULL', 'streak')} AS review_after_secs,
-           n_reviews, streak
+           n_reviews, streak, {overflow_sql(str(FIRST_INTERVAL_SECS), 'last_fail IS NOT NULL', 'streak')} AS overflow
     FROM ({replay_sql('dedup_big')}) s"""))
 def q_schedule_state(spark, sf):
     return sc.schedule_state(fx.reviews_big(spark, sf))
@@ -306,37 +321,60 @@ def q_cards_add(spark, sf):
         "question_img", "tags")
 
 
+def _edited_sql(columns: list[str]) -> str:
+    return ",\n           ".join(f"CASE WHEN e.id IS NOT NULL THEN e.{c} ELSE c.{c} END AS {c}" for c in columns)
+
+
 @query("cards_update", with_ctes(["cards", "flashcard_tags"], f"""
-    , edits AS (SELECT id, 'edited: ' || question AS question, answer, CAST(NULL AS VARCHAR) AS examples,
-                       source, img, question_img FROM cards WHERE id % 20 = 0)
-    , new_cards AS (SELECT c.id, CASE WHEN e.id IS NOT NULL THEN e.question ELSE c.question END AS question, CASE WHEN e.id IS NOT NULL THEN e.answer ELSE c.answer END AS answer, CASE WHEN e.id IS NOT NULL THEN e.examples ELSE c.examples END AS examples, CASE WHEN e.id IS NOT NULL THEN e.source ELSE c.source END AS source,
-                           CASE WHEN e.id IS NOT NULL THEN e.img ELSE c.img END AS img, c.last_reviewed, c.review_after_secs,
-                           CASE WHEN e.id IS NOT NULL THEN e.question_img ELSE c.question_img END AS question_img
-                    FROM cards c LEFT JOIN edits e ON e.id = c.id)
+    , edits AS (SELECT id, CASE WHEN id % 40 = 0 THEN 'edited 2: ' ELSE 'edited 1: ' END || question AS question, answer,
+                       CAST(NULL AS VARCHAR) AS examples, source, img, question_img,
+                       CASE WHEN id % 40 = 0 THEN 'edited2' ELSE 'edited1' END AS mark FROM cards WHERE id % 20 = 0)
+    , new_cards AS (
+    SELECT c.id, {_edited_sql(["question", "answer", "examples", "source", "img", "question_img"])},
+           c.last_reviewed, c.review_after_secs
+    FROM cards c LEFT JOIN edits e ON e.id = c.id)
     , new_tags AS (SELECT card_id, tag FROM flashcard_tags WHERE card_id NOT IN (SELECT id FROM edits)
-                   UNION SELECT id, 'edited' FROM edits UNION SELECT id, source FROM edits)
+                   UNION SELECT id, mark FROM edits UNION SELECT id, source FROM edits)
     SELECT c.*, g.tags FROM new_cards c
     JOIN (SELECT card_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM new_tags GROUP BY card_id) g
       ON c.id = g.card_id"""))
 def q_cards_update(spark, sf):
-    new_cards, new_tags = cards_update(fx.cards(spark, sf), fx.flashcard_tags(spark, sf), fx.card_edits(spark, sf))
+    new_cards, new_tags = cards_update(fx.cards(spark, sf), fx.flashcard_tags(spark, sf), fx.card_edits(spark, sf), ["edit_no"])
     return joined_tags(co.cards_all(new_cards, new_tags))
 
 
-@query("reviews_apply", with_ctes(["reviews", "cards"], f"""
+APPLY_CTES = f"""
     , answers AS ({ANSWERS_SQL})
-    , new_rows AS (SELECT card_id, answered_at AS review_date, answer = 'y' AS remembered FROM answers
-                   WHERE answer IN ('y', 'n') AND card_id IN (SELECT id FROM cards))
-    , history AS (SELECT card_id, review_date, bool_and(remembered) AS remembered FROM (
-                    SELECT * FROM reviews WHERE review_date < TIMESTAMP '{fx.ANSWERS_FROM}'
-                    UNION ALL SELECT * FROM new_rows) u GROUP BY card_id, review_date)
-    , touched AS (SELECT DISTINCT card_id FROM new_rows)
-    , th AS (SELECT * FROM history WHERE card_id IN (SELECT card_id FROM touched))
-    , tc AS (SELECT * FROM cards WHERE id IN (SELECT card_id FROM touched))
+    , past AS (SELECT * FROM reviews WHERE review_date < TIMESTAMP '{ANSWERS_FROM}')
+    , new_rows AS (SELECT card_id, answered_at AS review_date, bool_and(answer = 'y') AS remembered FROM answers
+                   WHERE answer IN ('y', 'n') AND card_id IN (SELECT id FROM cards) GROUP BY ALL)
+    , appended AS (SELECT * FROM new_rows n WHERE NOT EXISTS (
+                     SELECT 1 FROM past p WHERE p.card_id = n.card_id AND p.review_date = n.review_date))"""
+
+
+@query("reviews_apply", with_ctes(["reviews", "cards"], f"""{APPLY_CTES}
+    , th AS (SELECT * FROM (SELECT * FROM past UNION ALL SELECT * FROM appended) u
+             WHERE card_id IN (SELECT card_id FROM new_rows))
+    , tc AS (SELECT * FROM cards WHERE id IN (SELECT card_id FROM new_rows))
     {state_with_cards_sql('th', 'tc')}"""))
 def q_reviews_apply(spark, sf):
-    _, state = sc.reviews_apply(fx.history_before_answers(spark, sf), fx.answers(spark, sf), fx.cards(spark, sf))
-    return state
+    return _applied(spark, sf)[1]
+
+
+@query("reviews_apply_rows", with_ctes(["reviews", "cards"], f"""{APPLY_CTES}
+    SELECT card_id, review_date, remembered, 'appended' AS outcome FROM appended
+    UNION ALL
+    SELECT card_id, answered_at, answer = 'y', CASE WHEN card_id NOT IN (SELECT id FROM cards) THEN 'unknown_card' ELSE 'no_change' END
+    FROM answers WHERE answer NOT IN ('y', 'n') OR card_id NOT IN (SELECT id FROM cards)"""))
+def q_reviews_apply_rows(spark, sf):
+    rows, _, rejected = _applied(spark, sf)
+    return rows.withColumn("outcome", F.lit("appended")).unionByName(rejected.select(
+        "card_id", F.col("answered_at").alias("review_date"), (F.col("answer") == "y").alias("remembered"),
+        F.col("reason").alias("outcome")))
+
+
+def _applied(spark, sf):
+    return sc.reviews_apply(fx.history_before_answers(spark, sf), fx.answers(spark, sf), fx.cards(spark, sf))
 
 
 def _new_word_rows_sql() -> str:
@@ -362,12 +400,13 @@ def q_words_add_new(spark, sf):
 
 
 @query("words_update", with_ctes(["words", "dictionary"], """
-    SELECT w.lang, w.word, CASE WHEN d.word IS NOT NULL THEN d.translation ELSE w.translation END AS translation,
+    SELECT w.lang, w.word, CASE WHEN d.word IS NULL THEN w.translation
+                                WHEN length(d.word) > 6 THEN d.translation || '/2' ELSE d.translation || '/1' END AS translation,
            w.created_at
     FROM words w LEFT JOIN dictionary d ON w.lang = d.lang AND w.word = d.word"""))
 def q_words_update(spark, sf):
     stats = fx.word_stats(spark, sf)
-    return vo.words_update(fx.words(spark, sf, stats), fx.dictionary(spark, sf, stats))
+    return vo.words_update(fx.words(spark, sf, stats), fx.word_edits(spark, sf, stats), ["edit_no"])
 
 
 BENCH_WORDS_SQL = f"""
@@ -408,7 +447,7 @@ def _words_from_cards_sql() -> str:
 
 @query("words_from_cards", with_ctes(["cards", "flashcard_tags", "words"], _words_from_cards_sql()))
 def q_words_from_cards(spark, sf):
-    return vo.words_from_cards(fx.cards(spark, sf), fx.flashcard_tags(spark, sf), fx.words(spark, sf), as_of())
+    return vo.words_from_cards(tb.spread(fx.cards(spark, sf), "id"), fx.flashcard_tags(spark, sf), fx.words(spark, sf), as_of())
 
 
 # --- 2.6 windows, ordering --------------------------------------------------------------------
@@ -424,7 +463,8 @@ def q_words_from_cards(spark, sf):
                        ORDER BY review_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS streak
              FROM seg)
     SELECT card_id, review_date, remembered, {interval_sql('base_secs', 'fails > 0', 'streak')} AS review_after_secs,
-           {due_sql('review_date', interval_sql('base_secs', 'fails > 0', 'streak'))} AS next_due, streak
+           {due_sql('review_date', interval_sql('base_secs', 'fails > 0', 'streak'))} AS next_due, streak,
+           {overflow_sql('base_secs', 'fails > 0', 'streak')} AS overflow
     FROM tr"""))
 def q_schedule_trace(spark, sf):
     base = fx.cards(spark, sf).select(F.col("id").alias("card_id"), F.col("review_after_secs").alias("base_secs"))
@@ -524,13 +564,17 @@ def _sql_literal(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+DICT_CHUNK_WORDS = 500
+
+
 def _dict_chunks_sql() -> str:
     return f"""
-    SELECT lang, CAST(floor((position - 1) / {pr.DICT_CHUNK_WORDS}) AS BIGINT) AS chunk,
-           count(*) AS n_words, string_agg(word, chr(10) ORDER BY word) AS dict,
-           any_value({lang_name_sql('lang')}) AS language
-    FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY word) AS position FROM words) r
-    GROUP BY lang, chunk"""
+    SELECT lang, CAST(floor((position - 1) / {DICT_CHUNK_WORDS}) AS BIGINT) + 1 AS part,
+           CAST(ceil(any_value(n) / {DICT_CHUNK_WORDS}) AS BIGINT) AS n_parts,
+           string_agg(word, chr(10) ORDER BY word) AS dict, any_value({lang_name_sql('lang')}) AS language
+    FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY word) AS position,
+                 count(*) OVER (PARTITION BY lang) AS n FROM words) r
+    GROUP BY lang, part"""
 
 
 def _fill_sql(template: str, **values) -> str:
@@ -540,20 +584,21 @@ def _fill_sql(template: str, **values) -> str:
     return out
 
 
+def _with_dictionary_sql(template: str) -> str:
+    filled = _fill_sql(template, lang="language", part="CAST(part AS VARCHAR)", n_parts="CAST(n_parts AS VARCHAR)", dict="dict")
+    return f"SELECT lang, part, n_parts, {filled} AS prompt FROM ({_dict_chunks_sql()}) c"
+
+
 def _dict_chunks(spark, sf) -> DataFrame:
-    return pr.dictionary_chunks(fx.words(spark, sf), _lang_name)
+    return pr.dictionary_chunks(fx.words(spark, sf), _lang_name, DICT_CHUNK_WORDS)
 
 
-@query("prompt_sentence", with_ctes(["words"], f"""
-    SELECT lang, chunk, {_fill_sql(pr.PROMPT_SENTENCE, lang='language', dict='dict')} AS prompt
-    FROM ({_dict_chunks_sql()}) c"""))
+@query("prompt_sentence", with_ctes(["words"], _with_dictionary_sql(pr.PROMPT_SENTENCE)))
 def q_prompt_sentence(spark, sf):
     return pr.prompt_sentence(_dict_chunks(spark, sf))
 
 
-@query("prompt_story", with_ctes(["words"], f"""
-    SELECT lang, chunk, {_fill_sql(pr.PROMPT_STORY, lang='language', dict='dict')} AS prompt
-    FROM ({_dict_chunks_sql()}) c"""))
+@query("prompt_story", with_ctes(["words"], _with_dictionary_sql(pr.PROMPT_STORY)))
 def q_prompt_story(spark, sf):
     return pr.prompt_story(_dict_chunks(spark, sf))
 
@@ -579,34 +624,26 @@ def q_word_normalise(spark, sf):
 
 
 def _rich_text_sql() -> str:
-    """The segmenter in DuckDB: the same pattern without possessive quantifiers.
+    """The segmenter in DuckDB, written out from the rules.
 
-    DuckDB's regex engine is linear-time and has no possessive syntax; with a
-    greedy run followed by an optional group the first match is the same.
+    Documents have no backtick, so the blocks of each of the fixture's six shapes are known by the rules: an
+    opener ends the raw text before it, a backtick ends the body, and a backtick right before an opener breaks it.
     """
-    pat = _sql_literal(tx.RICH_TEXT_PATTERN.replace("++", "+").replace("*+", "*"))
-    return f"""WITH inp AS (
-      SELECT doc_id, CASE doc_id % 6
-        WHEN 0 THEN first || ' ' || x
-        WHEN 1 THEN first || ' What is `math ' || x || '` ?'
-        WHEN 2 THEN '`math ' || x || '` ' || first
-        WHEN 3 THEN first || ' a `math ' || x
-        WHEN 4 THEN first || ' a ``math ' || x || '`'
-        ELSE '`math ` ' || first || ' `math ' || x || '`' END AS text
-      FROM (SELECT doc_id, text AS first, n_chars || '/' || (doc_id + 1) AS x FROM documents) d),
-    mt AS (SELECT doc_id, unnest(regexp_extract_all(text, {pat}, 0)) AS w,
-                  unnest(regexp_extract_all(text, {pat}, 1)) AS r,
-                  generate_subscripts(regexp_extract_all(text, {pat}, 0), 1) AS i FROM inp),
-    m0 AS (SELECT doc_id, i, coalesce(r, '') AS r, substr(w, length(coalesce(r, '')) + 1) AS rest FROM mt),
-    m1 AS (SELECT doc_id, i, r, starts_with(rest, '`math ') AS opened, substr(rest, 7) AS tail FROM m0),
-    m AS (SELECT doc_id, i, r, opened, ends_with(tail, '`') AS closed,
-                 CASE WHEN ends_with(tail, '`') THEN substr(tail, 1, length(tail) - 1) ELSE tail END AS body FROM m1)
-    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS BIGINT) AS block_no, kind, text
-    FROM (
-      SELECT doc_id, i, 0 AS k, 'raw' AS kind, r AS text, opened OR r <> '' AS keep FROM m
-      UNION ALL
-      SELECT doc_id, i, 1 AS k, 'math' AS kind, body AS text, opened AND (closed OR body <> '') AS keep FROM m
-    ) b WHERE keep"""
+    return """WITH inp AS (
+      SELECT doc_id, doc_id % 6 AS shape, text AS first, n_chars || '/' || (doc_id + 1) AS x FROM documents),
+    blocks AS (
+      SELECT doc_id, unnest(CASE shape
+        WHEN 0 THEN [{'kind': 'raw', 'text': first || ' ' || x}]
+        WHEN 1 THEN [{'kind': 'raw', 'text': first || ' What is '}, {'kind': 'math', 'text': x}, {'kind': 'raw', 'text': ' ?'}]
+        WHEN 2 THEN [{'kind': 'raw', 'text': ''}, {'kind': 'math', 'text': x}, {'kind': 'raw', 'text': ' ' || first}]
+        WHEN 3 THEN [{'kind': 'raw', 'text': first || ' a '}, {'kind': 'math', 'text': x}]
+        WHEN 4 THEN [{'kind': 'raw', 'text': first || ' a ``math ' || x || '`'}]
+        ELSE [{'kind': 'raw', 'text': ''}, {'kind': 'math', 'text': ''}, {'kind': 'raw', 'text': ' ' || first || ' '},
+              {'kind': 'math', 'text': x}] END) AS b,
+        generate_subscripts(CASE shape WHEN 0 THEN [0] WHEN 4 THEN [0] WHEN 3 THEN [0, 0]
+                            WHEN 5 THEN [0, 0, 0, 0] ELSE [0, 0, 0] END, 1) - 1 AS block_no
+      FROM inp)
+    SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, b.kind AS kind, b.text AS text FROM blocks"""
 
 
 @query("rich_text_blocks", _rich_text_sql())

@@ -4,13 +4,5 @@ from __future__ import annotations
 
 
 def all_queries() -> dict[str, tuple]:
-    from recall.plans import queries  # noqa: F401  (registers on import)
-    try:
-        from recall.plans import file_queries  # noqa: F401
-    except ImportError:
-        pass
-    try:
-        from recall.plans import stream_queries  # noqa: F401
-    except ImportError:
-        pass
+    from recall.plans import file_queries, queries, stream_queries  # noqa: F401  (register on import)
     return dict(queries.QUERIES)

@@ -8,10 +8,7 @@ from pyspark.sql import types as T
 FIRST_INTERVAL_SECS = 43200  # a new card waits 12 hours
 FAIL_INTERVAL_SECS = 21600  # a forgotten card waits 6 hours
 GROWTH_FACTOR = 2  # a remembered card doubles its interval
-# --- our own limits (documented divergence: the application overflows) ---
-STREAK_CAP = 24  # doublings beyond 24 are not applied
-MAX_INTERVAL_SECS = 999_999_999_999  # make_dt_interval breaks at 10**12 s
-
+# --- fixed value: the stored source of generated cards ---
 DRAFT_SOURCE = "learning-languages app"
 
 CARD = T.StructType(

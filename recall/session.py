@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -33,22 +35,43 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint directory of the session; a local one only when unset."""
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Only a local master may do without the setting (tests, single-machine runs): it gets a
+    temporary folder. On a cluster each machine would write to its own disk, so
+    that is an error.
+    """
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
     if not base:
         conf = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="recall-ckpt-"))
         base = sc.getCheckpointDir()
     return base
 
 
+_work_folders: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A fresh folder under the cluster's checkpoint directory.
+    """A fresh folder for work tables under the shared checkpoint folder.
 
-    The checkpoint directory (``spark.checkpoint.dir``) is the shared folder a
-    cluster names for lineage cuts; written tables and stream state go below it.
-    Only when it is unset (local runs, tests) do we pick a local one.
+    It lasts as long as results may still read it: until ``clean_work_folders`` or the end of the
+    program.
     """
-    base = ensure_checkpoint_dir(spark)
-    return "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
+    if not _work_folders:
+        atexit.register(clean_work_folders)
+    path = "/".join([ensure_checkpoint_dir(spark).rstrip("/"), *parts, uuid.uuid4().hex])
+    _work_folders.append((spark, path))
+    return path
+
+
+def clean_work_folders() -> None:
+    """Delete the work tables made so far; results that still read them must have been written."""
+    for spark, path in _work_folders:
+        if spark.sparkContext._jsc is not None:  # the session is still running
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _work_folders.clear()

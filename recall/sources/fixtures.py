@@ -12,7 +12,6 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall.functions.text import word_normalise
 from recall.schema import FIRST_INTERVAL_SECS
 from recall.sources.tables import materialize, read_table, spread
 
@@ -36,7 +35,7 @@ def _lang_name(c):
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]), "doc_id")
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
     doc = F.col("doc_id")
     return d.select(
         doc.alias("id"),
@@ -54,7 +53,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flashcard_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source"]), "doc_id")
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source"])
     doc = F.col("doc_id")
     candidates = F.array(
         _lang_name(F.col("lang")),
@@ -83,10 +82,27 @@ def reviews_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "events", ["user_id", "ts", "event_type"]).where(F.col("ts") >= ts(ANSWERS_FROM))
+    """The last day's events as answers, some again with the other answer, some again for an unknown card.
+
+    Every third user's answers are repeated at the same time (a repeated pair keeps the failure),
+    every fourth user's under a card id that no document has, every fifth user's at the user's
+    first event of the month, which the history already holds.
+    """
+    e = read_table(spark, sf_dir, "events", ["user_id", "ts", "event_type"])
+    first = e.groupBy("user_id").agg(F.min("ts").alias("first_ts"))
+    last_day = e.where(F.col("ts") >= ts(ANSWERS_FROM)).join(first, "user_id")
     answer = (F.when(F.col("event_type").isin(*REMEMBERED_EVENTS), F.lit("y"))
               .when(F.col("event_type") == F.lit("error"), F.lit("n")).otherwise(F.lit("?")))
-    return e.select(F.col("user_id").alias("card_id"), F.col("ts").alias("answered_at"), answer.alias("answer"))
+    user = F.col("user_id")
+
+    def row(card, at, given):
+        return F.struct(card.alias("card_id"), at.alias("answered_at"), given.alias("answer"))
+
+    rows = F.array(row(user, F.col("ts"), answer),
+                   F.when(user % 3 == 0, row(user, F.col("ts"), F.lit("n"))),
+                   F.when(user % 4 == 0, row(-1 - user, F.col("ts"), answer)),
+                   F.when(user % 5 == 0, row(user, F.col("first_ts"), F.lit("n"))))
+    return last_day.select(F.explode(F.array_compact(rows)).alias("r")).select("r.*")
 
 
 def history_before_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,13 +114,6 @@ def documents(spark: SparkSession, sf_dir: str, columns=("doc_id", "lang", "text
     return spread(read_table(spark, sf_dir, "documents", list(columns)), "doc_id")
 
 
-def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, word): every normalised, non-empty token of every document."""
-    d = documents(spark, sf_dir)
-    pieces = d.select("doc_id", "lang", F.explode(F.split("text", "[ \n]", -1)).alias("token"))
-    return pieces.select("doc_id", "lang", word_normalise("token").alias("word")).where(F.col("word") != F.lit(""))
-
-
 def doc_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, word, n); the one corpus pass every word table below reuses."""
     from recall.operators.mining import doc_word_counts as counts
@@ -173,16 +182,19 @@ def rich_text_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def card_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits of every twentieth card: new question, examples set to a real null, new tags."""
+    """Edits of every twentieth card, in order ``edit_no``; every fortieth is edited twice.
+
+    New question, examples set to a real null, new tags; a second edit changes the question again.
+    """
     c = cards(spark, sf_dir).where(F.col("id") % 20 == 0)
+    times = F.when(F.col("id") % 40 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     return c.select(
-        "id",
-        F.concat(F.lit("edited: "), F.col("question")).alias("question"),
-        "answer",
+        "id", F.explode(times).alias("edit_no"),
+        "question", "answer",
         F.lit(None).cast("string").alias("examples"),
         "source", "img", "question_img",
-        F.array(F.lit("edited"), F.col("source")).alias("tags"),
-    )
+    ).withColumn("question", F.concat(F.lit("edited "), F.col("edit_no").cast("string"), F.lit(": "), F.col("question"))).withColumn(
+        "tags", F.array(F.concat(F.lit("edited"), F.col("edit_no").cast("string")), F.col("source")))
 
 
 def card_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,3 +216,11 @@ def imported_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bridge rows imported from the parts catalogue: (part key as card id, brand)."""
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_brand"])
     return p.select(F.col("p_partkey").alias("card_id"), F.col("p_brand").alias("tag"))
+
+
+def word_edits(spark: SparkSession, sf_dir: str, stats: DataFrame | None = None) -> DataFrame:
+    """Edits of the dictionary's words in order ``edit_no``: each word once, long words twice."""
+    d = dictionary(spark, sf_dir, stats)
+    times = F.when(F.length("word") > 6, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return d.select("lang", "word", "translation", F.explode(times).alias("edit_no")).withColumn(
+        "translation", F.concat("translation", F.lit("/"), F.col("edit_no").cast("string")))

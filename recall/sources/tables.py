@@ -18,33 +18,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None,
-           bytes_per_partition: int = 1 << 19) -> DataFrame:
-    """Hash-spread an under-partitioned input before heavy per-row work.
-
-    A scan of a few large files (one row group each) yields fewer tasks than
-    the cluster has cores; per-row text work would then run on a handful of
-    them. The target is the smaller of twice the default parallelism and one
-    partition per ``bytes_per_partition`` of estimated input (so a mid-sized
-    input on a big cluster is not shattered into tiny tasks). Inputs that
-    already have that many partitions are returned unchanged, so at scale this
-    adds no shuffle. Spreading on ``key`` lets later aggregations keyed by it
-    skip their exchange.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan of fewer files than the cluster has cores before heavy per-row work.
+
+    One file of one row group cannot be split by the reader, so its text would be tokenised by
+    one task. A table of many files is returned as it is: at scale this adds no shuffle.
     """
-    spark = df.sparkSession
-    cap = 2 * spark.sparkContext.defaultParallelism
-    try:  # the optimizer's size estimate (not exposed by the public Python API)
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        by_size = max(1, -(-size // bytes_per_partition))
-    except Exception:  # noqa: BLE001
-        by_size = cap
-    target = min_partitions or min(cap, by_size)
-    try:
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # noqa: BLE001  (no RDD view: leave the input as it is)
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if len(df.inputFiles()) < cores else df
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -100,17 +81,18 @@ def write_cards_by_due(cards: DataFrame, path: str, files: int | None = None, mo
     statistics.
     """
     from recall.functions.text import due_at
-    n = files or int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from recall.operators.ordering import range_partitions
+    n = files or range_partitions(cards.select("id"))
+    # The id is the second key: cards due at one time may fill many files.
     (cards.withColumn("due_at", due_at("last_reviewed", "review_after_secs"))
-     .repartitionByRange(n, "due_at").sortWithinPartitions("due_at")
+     .repartitionByRange(n, "due_at", "id").sortWithinPartitions("due_at", "id")
      .write.mode(mode).parquet(path))
 
 
-def due_cards_from_store(spark: SparkSession, path: str, as_of) -> DataFrame:
-    """Cards due strictly before ``as_of`` from a store written by ``write_cards_by_due``."""
+def scan_cards_by_due(spark: SparkSession, path: str) -> DataFrame:
+    """Cards with their stored ``due_at`` (``write_cards_by_due``); ``cards_due`` filters it in the scan."""
     from pyspark.sql.types import StructField, StructType, TimestampNTZType
-    schema = StructType([*CARD.fields, StructField("due_at", TimestampNTZType(), True)])
-    return spark.read.schema(schema).parquet(path).where(F.col("due_at") < as_of)
+    return spark.read.schema(StructType([*CARD.fields, StructField("due_at", TimestampNTZType(), True)])).parquet(path)
 
 
 def save_card_store(cards: DataFrame, tags: DataFrame, reviews: DataFrame, prefix: str, path: str,

@@ -1,257 +1,220 @@
-"""Answers as a stream: keep the schedule current, exactly, with late answers.
-
-Two streaming queries read the answer files:
-
-* the **history** query appends raw answers to the review log with the
-  Parquet file sink (exactly-once through its commit log);
-* the **schedule** query keeps per-card state in Spark's state store with
-  ``groupBy(card).applyInPandasWithState``. The state is what the closed form
-  needs and no more: the last failure, the last review, and the times of the
-  successes after the last failure (the current run). With it an answer that
-  arrives late — older than answers already applied — is placed exactly: a late
-  failure cuts the run at its time, a late success joins the run only if it is
-  after the last failure, a repeated time with a failure keeps the failure. No
-  watermark is used, so nothing is dropped, and no history is re-read.
-
-Each micro-batch's updated cards are appended to a state log (one folder per
-batch id, overwritten on replay, so idempotent) together with the cards that
-became due since the previous batch. The current state is the newest state-log
-row per card (``max_by`` on the batch id, a partial aggregate).
-
-``replay_batches`` is the alternative without the state store: each batch
-recomputes its touched cards from their full history (costlier, but it needs
-nothing but the log).
+"""Answers as a stream: keep history, schedules and due cards current, exactly, with late answers.
+
+One streaming query reads the answer files; each micro-batch does, in order:
+
+* **history**: the batch's rows of known cards, one per (card, time), none that the history already
+  has, are appended (one folder per batch id); rows of unknown cards go to the rejected log;
+* **state**: a card's state is what the closed form needs and no more — its last failure, last
+  review, number of reviews and current run — so it never grows. Answers newer than the card's last review
+  are folded into it; a card that got a late answer is replayed from its history;
+* **due**: the cards that came due, each due time once. Cards whose state changed are
+  looked at whatever their due time, all other cards (also those without any answer) in the
+  window since the previous batch.
+
+All folders are named by batch id and overwritten on replay, so a repeated batch changes nothing. The
+state log is folded into a snapshot clustered on the due time every ``COMPACT_EVERY`` batches; a batch
+reads the newest snapshot and the named log folders after it, nothing older. Only late answers
+make a batch read history. No watermark is used, so nothing is dropped.
 """
 
 from __future__ import annotations
 
-import sys
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from recall.functions.text import due_at, interval_after
-from recall.operators.schedule import dedupe_reviews, schedule_state, state_due
+from recall.functions.text import due_at, interval_after, interval_overflows
+from recall.operators.cards import accepted, quarantined
+from recall.operators.ordering import range_partitions
+from recall.operators.schedule import dedupe_reviews, replay
 from recall.schema import REVIEW
 from recall.session import shared_dir
 
-try:  # the state function runs in Python workers; ship it by value
-    from pyspark import cloudpickle as _cp
-    _cp.register_pickle_by_value(sys.modules[__name__])
-except Exception:  # noqa: BLE001
-    pass
+# Every COMPACT_EVERY batches the state log is folded into a snapshot, so no
+# batch reads more than the last snapshot plus COMPACT_EVERY log folders.
+COMPACT_EVERY = 8
+
+STATE = ("card_id long, base_secs long, last_fail timestamp_ntz, last_reviewed timestamp_ntz, review_after_secs long, "
+         "n_reviews long, streak long, overflow boolean, due_at timestamp_ntz")
+DUE = "card_id long, due_at timestamp_ntz, as_of timestamp_ntz"
+STATE_COLS = ["card_id", "last_reviewed", "review_after_secs", "streak", "overflow"]
 
 
 @dataclass
 class ReviewStreamPaths:
-    history: str
-    state: str
-    due: str
-    checkpoint: str
-    snapshot: str = ""
+    root: str
 
     def __post_init__(self):
-        self.snapshot = self.snapshot or self.state.rstrip("/") + "_snapshot"
+        self.history, self.rejected, self.state, self.snapshot, self.due, self.checkpoint = (
+            f"{self.root}/{name}" for name in ("history", "rejected", "state", "snapshot", "due", "_checkpoint"))
 
     @classmethod
     def under(cls, spark: SparkSession) -> "ReviewStreamPaths":
-        root = shared_dir(spark, "review_stream")
-        return cls(f"{root}/history", f"{root}/state", f"{root}/due", f"{root}/_checkpoint")
+        return cls(shared_dir(spark, "review_stream"))
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Ids of the batch folders below ``path``."""
+    fs, p = _folder(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(p) if "batch_id=" in f.getPath().getName())
+
+
+def _read(spark: SparkSession, path: str, schema, ids) -> DataFrame:
+    """The named batch folders, with ``batch_id``."""
+    paths = [f"{path}/batch_id={i}" for i in ids]
+    if not paths:
+        return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0))
+    return spark.read.schema(schema).option("basePath", path).parquet(*paths).withColumn("batch_id", F.col("batch_id").cast("int"))
+
+
+def _write(df: DataFrame, path: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def _snapshot_before(batch_id: int, every: int) -> int:
+    """Id of the newest snapshot written before ``batch_id``: -1 (the stored cards), every-1, 2*every-1, ..."""
+    return (batch_id // every) * every - 1
+
+
+def _view(spark: SparkSession, paths: ReviewStreamPaths, upto: int, snapshot: int) -> tuple[DataFrame, DataFrame]:
+    """(snapshot, newest log row per card for the batches after it up to ``upto``)."""
+    old = _read(spark, paths.snapshot, STATE, [snapshot]).drop("batch_id")
+    log = _read(spark, paths.state, STATE, range(snapshot + 1, upto + 1))
+    values = [c for c in old.columns if c != "card_id"]
+    newest = log.groupBy("card_id").agg(F.max_by(F.struct(*values), "batch_id").alias("_s"))
+    return old, newest.select("card_id", "_s.*")
+
+
+def _with_schedule(state: DataFrame) -> DataFrame:
+    failed = F.col("last_fail").isNotNull()
+    secs = interval_after(F.col("base_secs"), failed, F.col("streak"))
+    return state.select(
+        "card_id", "base_secs", "last_fail", "last_reviewed", secs.alias("review_after_secs"), "n_reviews", "streak",
+        interval_overflows(F.col("base_secs"), failed, F.col("streak")).alias("overflow")).withColumn(
+            "due_at", due_at("last_reviewed", "review_after_secs"))
+
+
+def _stored(cards: DataFrame) -> DataFrame:
+    """The stored schedule of every card, as the state before any answer."""
+    none = F.lit(None).cast("timestamp_ntz")
+    return cards.select(
+        F.col("id").alias("card_id"), F.col("review_after_secs").alias("base_secs"), none.alias("last_fail"), "last_reviewed",
+        "review_after_secs", F.lit(0).cast("long").alias("n_reviews"), F.lit(0).cast("long").alias("streak"),
+        F.lit(False).alias("overflow"), due_at("last_reviewed", "review_after_secs").alias("due_at"))
+
+
+def _write_snapshot(state: DataFrame, paths: ReviewStreamPaths, batch_id: int) -> None:
+    """Range-clustered on ``due_at`` (the due window then skips row groups); the id splits equal times."""
+    n = range_partitions(state.select("card_id"))
+    _write(state.repartitionByRange(n, "due_at", "card_id").sortWithinPartitions("due_at", "card_id"), paths.snapshot, batch_id)
+
+
+def _apply(spark: SparkSession, paths: ReviewStreamPaths, every: int, batch: DataFrame, batch_id: int) -> None:
+    snapshot = _snapshot_before(batch_id, every)
+    old, newest = _view(spark, paths, batch_id - 1, snapshot)
+    cards = _read(spark, paths.snapshot, STATE, [-1]).select("card_id")
+    incoming = batch.select("card_id", "review_date", "remembered")
+    _write(quarantined(incoming, cards, "card_id"), paths.rejected, batch_id)
+    rows = dedupe_reviews(accepted(incoming, cards, "card_id"))
+    touched = rows.select("card_id").distinct()
+    before = old.join(touched, "card_id", "left_semi").join(newest.select("card_id"), "card_id", "left_anti").unionByName(
+        newest.join(touched, "card_id", "left_semi"))
+
+    # Only rows not newer than the card's last review can repeat a stored one.
+    seen = before.select("card_id", F.when(F.col("n_reviews") > 0, F.col("last_reviewed")).alias("_seen"))
+    rows = rows.join(seen, "card_id")
+    is_late = F.coalesce(F.col("review_date") <= F.col("_seen"), F.lit(False))
+    late = rows.where(is_late).drop("_seen")
+    any_late = not late.isEmpty()
+    if any_late:
+        past = _read(spark, paths.history, REVIEW, range(batch_id)).join(late.select("card_id").distinct(), "card_id", "left_semi")
+        late = late.join(past.select("card_id", "review_date"), ["card_id", "review_date"], "left_anti")
+    _write(rows.where(~is_late).drop("_seen").unionByName(late), paths.history, batch_id)
+
+    added = _read(spark, paths.history, REVIEW, [batch_id]).drop("batch_id")
+    change = replay(added).select("card_id", F.col("last_fail").alias("_fail"), F.col("last_review").alias("_last"),
+                                  F.col("n_reviews").alias("_n"), F.col("streak").alias("_run"))
+    folded = before.join(change, "card_id").select(
+        "card_id", "base_secs", F.coalesce("_fail", "last_fail").alias("last_fail"), F.col("_last").alias("last_reviewed"),
+        (F.col("n_reviews") + F.col("_n")).alias("n_reviews"),
+        F.when(F.col("_fail").isNull(), F.col("streak") + F.col("_run")).otherwise(F.col("_run")).alias("streak"))
+    if any_late:
+        behind = added.join(before.where("n_reviews > 0").select("card_id", F.col("last_reviewed").alias("_seen")), "card_id").where(
+            F.col("review_date") <= F.col("_seen")).select("card_id").distinct()
+        whole = _read(spark, paths.history, REVIEW, range(batch_id + 1)).drop("batch_id").join(behind, "card_id", "left_semi")
+        again = before.select("card_id", "base_secs").join(replay(whole), "card_id").select(
+            "card_id", "base_secs", "last_fail", F.col("last_review").alias("last_reviewed"), "n_reviews", "streak")
+        folded = folded.join(behind, "card_id", "left_anti").unionByName(again)
+    _write(_with_schedule(folded), paths.state, batch_id)
+    _log_due(spark, paths, batch_id, added, snapshot)
+    if (batch_id + 1) % every == 0:
+        old, newest = _view(spark, paths, batch_id, snapshot)
+        _write_snapshot(old.join(newest.select("card_id"), "card_id", "left_anti").unionByName(newest), paths, batch_id)
+        for i in (i for i in _batches(spark, paths.state) if i <= snapshot):  # no later batch or replay reads these
+            fs, p = _folder(spark, f"{paths.state}/batch_id={i}")
+            fs.delete(p, True)
+
+
+def _log_due(spark: SparkSession, paths: ReviewStreamPaths, batch_id: int, added: DataFrame, snapshot: int) -> None:
+    """Append the cards that came due by this batch's ``as_of``, the newest review applied so far.
+
+    A null card marks the batch's ``as_of``.
+    """
+    past = _read(spark, paths.due, DUE, range(batch_id))
+    since = past.where(F.col("card_id").isNull() & (F.col("batch_id") == batch_id - 1)).agg(F.max("as_of")).first()[0]
+    newest_review = added.agg(F.max("review_date")).first()[0]
+    as_of = max((t for t in (since, newest_review) if t is not None), default=None)
+    end, begin = F.lit(as_of).cast("timestamp_ntz"), F.lit(since).cast("timestamp_ntz")
+    old, newest = _view(spark, paths, batch_id, snapshot)
+    changed = _read(spark, paths.state, STATE, [batch_id])
+    in_window = (F.col("due_at") < end) & ((F.col("due_at") >= begin) if since is not None else F.lit(True))
+    columns = ["card_id", "due_at"]
+    # The window reaches the snapshot's scan as a pushed filter.
+    same = old.where(in_window).select(*columns).join(newest.select("card_id"), "card_id", "left_anti").unionByName(
+        newest.where(in_window).select(*columns).join(changed.select("card_id"), "card_id", "left_anti"))
+    reported = past.where(F.col("card_id").isNotNull()).select(*columns)
+    moved = changed.where(F.col("due_at") < end).select(*columns).join(reported, columns, "left_anti")
+    marker = spark.range(1).select(F.lit(None).cast("long").alias("card_id"), F.lit(None).cast("timestamp_ntz").alias("due_at"))
+    _write(same.unionByName(moved).unionByName(marker).withColumn("as_of", end), paths.due, batch_id)
 
 
-# Every COMPACT_EVERY batches the state log is folded into a snapshot, so no
-# batch reads more than the last snapshot plus COMPACT_EVERY log folders.
-COMPACT_EVERY = 8
+def stream_reviews(spark: SparkSession, source_dir: str, cards: DataFrame, paths: ReviewStreamPaths,
+                   files_per_batch: int | None = 1, available_now: bool = True, compact_every: int = COMPACT_EVERY):
+    """Start the query; returns its handle. A new stream begins from the cards' stored schedules."""
+    if not _batches(spark, paths.snapshot):
+        _write_snapshot(_stored(cards), paths, -1)
+    reader = spark.readStream.schema(REVIEW)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    trigger = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
+    return (reader.parquet(source_dir).writeStream.trigger(**trigger)
+            .foreachBatch(lambda batch, i: _apply(batch.sparkSession, paths, compact_every, batch, i))
+            .option("checkpointLocation", paths.checkpoint).start())
 
 
-STATE_COLS = ["card_id", "last_reviewed", "review_after_secs", "streak"]
-
-_CARD_STATE = T.StructType([
-    T.StructField("last_fail", T.LongType()),    # µs since epoch, null = never failed
-    T.StructField("last_review", T.LongType()),  # µs since epoch
-    T.StructField("run", T.ArrayType(T.LongType())),  # success times after last_fail
-])
-_UPDATE = T.StructType([
-    T.StructField("card_id", T.LongType()),
-    T.StructField("failed", T.BooleanType()),
-    T.StructField("last_reviewed", T.TimestampNTZType()),
-    T.StructField("streak", T.LongType()),
-    T.StructField("base_secs", T.LongType()),
-])
-
-
-def _advance(key, batches, state):
-    """Fold one card's new answers (in any order) into its state."""
-    if state.exists:
-        last_fail, last_review, run = state.get
-        run = list(run)
-    else:
-        last_fail, last_review, run = None, None, []
-    base = None
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        ts = pdf["review_date"].to_numpy(dtype="datetime64[us]").astype(np.int64)
-        rem = pdf["remembered"].to_numpy(dtype=bool)
-        base = int(pdf["base_secs"].iloc[0])
-        if (~rem).any():
-            f = int(ts[~rem].max())
-            last_fail = f if last_fail is None else max(last_fail, f)
-        top = int(ts.max())
-        last_review = top if last_review is None else max(last_review, top)
-        run.extend(int(t) for t in ts[rem])
-    run = sorted({t for t in run if last_fail is None or t > last_fail})
-    state.update((last_fail, last_review, run))
-    yield pd.DataFrame({
-        "card_id": [int(key[0])], "failed": [last_fail is not None],
-        "last_reviewed": [pd.Timestamp(last_review, unit="us")], "streak": [len(run)], "base_secs": [base],
-    })
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _latest(log: DataFrame) -> DataFrame:
-    latest = log.groupBy("card_id").agg(F.max_by(F.struct(*STATE_COLS[1:]), "batch_id").alias("s"))
-    return latest.select("card_id", *[F.col(f"s.{c}").alias(c) for c in STATE_COLS[1:]])
-
-
-def _snapshot_before(batch_id: int, every: int) -> int | None:
-    """Id of the newest snapshot written before ``batch_id`` (snapshots end batches every-1, 2*every-1, ...)."""
-    s = (batch_id // every) * every - 1
-    return s if s >= 0 else None
-
-
-def _state_view(spark: SparkSession, paths: ReviewStreamPaths, upto: int, snapshot: int | None):
-    """(snapshot or None, newest log row per card for batches after it up to ``upto``)."""
-    log = spark.read.parquet(paths.state).where(F.col("batch_id") <= upto)
-    snap = None
-    if snapshot is not None:
-        log = log.where(F.col("batch_id") > snapshot)
-        snap = spark.read.parquet(f"{paths.snapshot}/batch_id={snapshot}")
-    return snap, _latest(log)
-
-
-def _merge(snap: DataFrame | None, recent: DataFrame) -> DataFrame:
-    if snap is None:
-        return recent
-    old = snap.select(*STATE_COLS).join(recent.select("card_id"), "card_id", "left_anti")
-    return old.unionByName(recent)
-
-
-def current_state(spark: SparkSession, state_path: str) -> DataFrame:
-    """Current schedule of every card seen by the stream: latest snapshot + newer log."""
-    paths = ReviewStreamPaths(history="", state=state_path, due="", checkpoint="")
-    snapshot = None
-    if _exists(spark, paths.snapshot):
-        snapshot = spark.read.parquet(paths.snapshot).agg(F.max("batch_id")).collect()[0][0]
-    upto = spark.read.parquet(state_path).agg(F.max("batch_id")).collect()[0][0]
-    snap, recent = _state_view(spark, paths, upto, snapshot)
-    return _merge(snap, recent)
-
-
-def _log_due(spark: SparkSession, paths: ReviewStreamPaths, batch_id: int, batch_max, every: int) -> None:
-    """Append the cards that became due in [previous batch's as_of, this as_of).
-
-    The window's end is the newest review applied so far (previous end or this
-    batch's newest). Candidates come from the snapshot — clustered on
-    ``due_at``, so the window filter skips row groups — and from the log since it.
-    """
-    if batch_id > 0:
-        prev = spark.read.parquet(f"{paths.due}/batch_id={batch_id - 1}").where(F.col("card_id").isNull())
-        since = prev.agg(F.max("as_of")).scalar()
-        as_of = F.greatest(since, batch_max)
-    else:
-        since, as_of = None, batch_max
-    snap, recent = _state_view(spark, paths, batch_id, _snapshot_before(batch_id, every))
-    due = state_due(recent, as_of, since)
-    if snap is not None:
-        in_window = F.col("due_at") < as_of
-        if since is not None:
-            in_window = in_window & (F.col("due_at") >= since)
-        old = snap.where(in_window).join(recent.select("card_id"), "card_id", "left_anti")
-        due = old.select(*due.columns).unionByName(due)
-    marker = spark.range(1).select(F.lit(None).cast("long").alias("card_id"),
-                                   F.lit(None).cast("timestamp_ntz").alias("due_at"), as_of.alias("as_of"))
-    out = due.select("card_id", "due_at", as_of.alias("as_of")).unionByName(marker)
-    out.write.mode("overwrite").parquet(f"{paths.due}/batch_id={batch_id}")
-
-
-def _compact(spark: SparkSession, paths: ReviewStreamPaths, batch_id: int, every: int) -> None:
-    """Fold snapshot + log into a new snapshot, range-clustered and sorted on ``due_at``."""
-    snap, recent = _state_view(spark, paths, batch_id, _snapshot_before(batch_id, every))
-    merged = _merge(snap, recent).withColumn("due_at", due_at("last_reviewed", "review_after_secs"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (merged.repartitionByRange(n, "due_at").sortWithinPartitions("due_at")
-     .write.mode("overwrite").parquet(f"{paths.snapshot}/batch_id={batch_id}"))
-
-
-def _state_sink(spark: SparkSession, paths: ReviewStreamPaths, every: int):
-    def sink(updates: DataFrame, batch_id: int) -> None:
-        rows = updates.select(
-            "card_id", "last_reviewed",
-            interval_after(F.col("base_secs"), F.col("failed"), F.col("streak")).alias("review_after_secs"),
-            "streak")
-        path = f"{paths.state}/batch_id={batch_id}"
-        rows.write.mode("overwrite").parquet(path)
-        batch_max = spark.read.parquet(path).agg(F.max("last_reviewed")).scalar()
-        _log_due(spark, paths, batch_id, batch_max, every)
-        if (batch_id + 1) % every == 0:
-            _compact(spark, paths, batch_id, every)
-    return sink
+def current_state(spark: SparkSession, paths: ReviewStreamPaths) -> DataFrame:
+    """Current schedule of every card that the stream has seen an answer of."""
+    last = _batches(spark, paths.state)[-1]
+    snapshot = max(i for i in _batches(spark, paths.snapshot) if i <= last)
+    old, newest = _view(spark, paths, last, snapshot)
+    merged = old.join(newest.select("card_id"), "card_id", "left_anti").unionByName(newest)
+    return merged.where("n_reviews > 0").select(*STATE_COLS)
 
 
-def stream_reviews(spark: SparkSession, source_dir: str, cards: DataFrame, paths: ReviewStreamPaths,
-                   files_per_batch: int = 1, available_now: bool = True, compact_every: int = COMPACT_EVERY):
-    """Start the history and schedule queries; returns both StreamingQuery handles.
-
-    Answers of cards missing from ``cards`` are not applied (stream-static inner join).
-    """
-    answers = (spark.readStream.schema(REVIEW).option("maxFilesPerTrigger", files_per_batch)
-               .parquet(source_dir))
-    trigger = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
-    history = (answers.writeStream.format("parquet").option("path", paths.history)
-               .option("checkpointLocation", f"{paths.checkpoint}/history").trigger(**trigger).start())
-    base = cards.select(F.col("id").alias("card_id"), F.col("review_after_secs").alias("base_secs"))
-    updates = (answers.join(base, "card_id", "inner").groupBy("card_id")
-               .applyInPandasWithState(_advance, _UPDATE, _CARD_STATE, "update", "NoTimeout"))
-    schedule = (updates.writeStream.outputMode("update").foreachBatch(_state_sink(spark, paths, compact_every))
-                .option("checkpointLocation", f"{paths.checkpoint}/schedule").trigger(**trigger).start())
-    return history, schedule
-
-
-def replay_batches(spark: SparkSession, source_dir: str, cards: DataFrame, paths: ReviewStreamPaths,
-                   files_per_batch: int = 1, available_now: bool = True, compact_every: int = COMPACT_EVERY):
-    """Alternative without the state store: replay touched cards from the full history per batch."""
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        rows = dedupe_reviews(batch.select(*REVIEW.fieldNames()))
-        rows.write.mode("overwrite").parquet(f"{paths.history}/batch_id={batch_id}")
-        touched = spark.read.parquet(f"{paths.history}/batch_id={batch_id}").select("card_id").distinct()
-        history = spark.read.schema(REVIEW).parquet(paths.history)
-        state = schedule_state(history.join(touched, "card_id", "left_semi"),
-                               cards.join(touched.withColumnRenamed("card_id", "id"), "id", "left_semi"))
-        path = f"{paths.state}/batch_id={batch_id}"
-        state.select(*STATE_COLS).write.mode("overwrite").parquet(path)
-        _log_due(spark, paths, batch_id, spark.read.parquet(path).agg(F.max("last_reviewed")).scalar(),
-                 compact_every)
-        if (batch_id + 1) % compact_every == 0:
-            _compact(spark, paths, batch_id, compact_every)
-
-    answers = (spark.readStream.schema(REVIEW).option("maxFilesPerTrigger", files_per_batch)
-               .parquet(source_dir))
-    writer = answers.writeStream.foreachBatch(apply).option("checkpointLocation", f"{paths.checkpoint}/replay")
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+def history(spark: SparkSession, paths: ReviewStreamPaths) -> DataFrame:
+    """The review history that the stream has appended."""
+    return _read(spark, paths.history, REVIEW, _batches(spark, paths.history))
 
 
 def stream_due(spark: SparkSession, paths: ReviewStreamPaths) -> DataFrame:
-    """(batch_id, card_id, due_at, as_of): cards that became due in each batch's window."""
-    return spark.read.parquet(paths.due).where(F.col("card_id").isNotNull()).select(
-        "batch_id", "card_id", "due_at", "as_of")
+    """(batch_id, card_id, due_at, as_of): each due time of a card once, in the first batch that has passed it."""
+    rows = _read(spark, paths.due, DUE, _batches(spark, paths.due))
+    return rows.where(F.col("card_id").isNotNull()).select(F.col("batch_id").cast("long").alias("batch_id"), "card_id", "due_at", "as_of")

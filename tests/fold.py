@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-from recall.schema import FAIL_INTERVAL_SECS, MAX_INTERVAL_SECS, STREAK_CAP
+LARGEST = 9_223_372_036_854_775_807
 
 
 def fold(history, base):
     """history: [(ts, remembered)] -> list of (ts, remembered, secs, streak) after each answer.
 
-    Repeated timestamps: the failure wins.
+    One step per answer: remembered doubles the interval, forgotten sets it to six
+    hours. An interval beyond 64 bits is reported as None. Repeated timestamps: the failure wins.
     """
     by_ts = {}
     for t, r in history:
         by_ts[t] = by_ts.get(t, True) and r
-    out, secs_base, streak, failed = [], base, 0, False
+    out, secs, streak = [], base, 0
     for t in sorted(by_ts):
         if by_ts[t]:
-            streak += 1
+            secs, streak = secs * 2, streak + 1
         else:
-            failed, streak = True, 0
-        start = FAIL_INTERVAL_SECS if failed else base
-        k = min(streak, STREAK_CAP)
-        secs = MAX_INTERVAL_SECS if start > (MAX_INTERVAL_SECS >> k) else start << k
-        out.append((t, by_ts[t], secs, streak))
+            secs, streak = 21600, 0
+        out.append((t, by_ts[t], secs if secs <= LARGEST else None, streak))
     return out

@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from recall.operators import schedule as sc
@@ -42,8 +43,42 @@ def test_load_card_files_tags_from_folders(spark):
     assert len(bad) == 1 and bad[0].path.endswith("bad.toml") and bad[0].tag == "math"
 
 
+@pytest.mark.parametrize("tag", ["", "a b", "x,y", "k=v", "tag=z", "50%", "%41", "c++", "é ü"])
+def test_tags_survive_folder_names(spark, tag):
+    t = dt.datetime(2024, 2, 3, 4, 5, 6, 123456)
+    cards = spark.createDataFrame([(1, "q", "a", None, "src", None, t, 86400, None)], CARD)
+    root = tempfile.mkdtemp(prefix="cards-")
+    cf.write_card_toml(cards.withColumn("tag", F.lit(tag)), root + "/toml")
+    cf.write_card_files(cards, spark.createDataFrame([(1, tag)], "card_id long, tag string"), root + "/json")
+    for got in (cf.load_card_files(spark, root + "/toml", glob="*.txt").collect(), cf.read_card_files(spark, root + "/json").collect()):
+        assert [(r.id, r.tag, r.last_reviewed) for r in got] == [(1, tag, t)]
+    if tag and not tag.startswith("tag="):  # a hand-made folder is the tag as it stands
+        os.makedirs(f"{root}/own/{tag}")
+        with open(f"{root}/own/{tag}/1.toml", "w") as f:
+            f.write(CARD_TOML.format(id=1))
+        assert [r.tag for r in cf.load_card_files(spark, root + "/own").collect()] == [tag]
+
+
+@pytest.mark.parametrize("missing", ["id", "question", "answer", "last_reviewed", "review_after_secs", "tags"])
+def test_a_card_file_without_a_required_field_is_quarantined(spark, missing):
+    root = tempfile.mkdtemp(prefix="cards-")
+    os.makedirs(root + "/t")
+    with open(root + "/t/1.toml", "w") as f:
+        f.write("\n".join(x for x in CARD_TOML.format(id=1).split("\n") if not x.startswith(missing + " ")))
+    row = cf.load_card_files(spark, root).collect()[0]
+    assert missing in row.error and row.id is None and row.question is None
+
+
+def test_a_tag_gets_few_files(spark):
+    t = dt.datetime(2024, 2, 3)
+    cards = spark.createDataFrame([(i, "q", "a", None, "s", None, t, 86400, None) for i in range(200)], CARD).repartition(8)
+    root = tempfile.mkdtemp(prefix="cards-") + "/out"
+    cf.write_card_toml(cards.withColumn("tag", (F.col("id") % 3).cast("string")), root)
+    assert all(len([f for f in files if f.endswith(".txt")]) <= 1 for _, _, files in os.walk(root))
+
+
 def test_toml_round_trip(spark):
-    t = dt.datetime(2024, 2, 3, 4, 5, 6, 789)
+    t = dt.datetime(2024, 2, 3, 4, 5, 6, 123456)
     cards = spark.createDataFrame([(1, 'say "hi"\n\ttab\\', "a\u007f", None, "src", None, t, 86400, "qi.png")], CARD)
     root = tempfile.mkdtemp(prefix="cards-") + "/out"
     cf.write_card_toml(cards.withColumn("tag", F.lit("x,y")), root)
@@ -54,49 +89,85 @@ def test_toml_round_trip(spark):
         'say "hi"\n\ttab\\', "a\u007f", None, t, "qi.png", "x,y")
 
 
+T0 = dt.datetime(2024, 1, 1)
+
+
+def hours(h):
+    return T0 + dt.timedelta(hours=h)
+
+
+def cards_of(spark, ids, secs=43200):
+    return spark.createDataFrame([(c, "q", "a", None, None, None, T0, secs, None) for c in ids], CARD)
+
+
+def run_batches(spark, batches, cards, compact_every=8):
+    """One micro-batch for each list of rows."""
+    paths, src = rs.ReviewStreamPaths.under(spark), tempfile.mkdtemp(prefix="src-") + "/reviews"
+    for rows in batches:
+        spark.createDataFrame(rows, REVIEW).coalesce(1).write.mode("append").parquet(src)
+        rs.stream_reviews(spark, src, cards, paths, files_per_batch=None, compact_every=compact_every).awaitTermination()
+    return paths
+
+
 def test_stream_equals_batch_in_any_split(spark):
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [(c, t0 + dt.timedelta(hours=h), (c * h) % 3 != 0) for c in range(5) for h in range(0, 60, 3)]
+    rows = [(c, hours(h), (c * h) % 3 != 0) for c in range(5) for h in range(0, 60, 3)]
     src = tempfile.mkdtemp(prefix="src-") + "/reviews"
     # Files in shuffled time order: later answers may arrive before earlier ones.
     spark.createDataFrame(rows, REVIEW).repartition(4).write.parquet(src)
-    cards = spark.createDataFrame([(c, "q", "a", None, None, None, t0, 43200, None) for c in range(6)], CARD)
-    batch = sorted(sc.schedule_state(spark.createDataFrame(rows, REVIEW),
-                                     cards.where("id < 5")).select(*rs.STATE_COLS).collect())
-    paths = rs.ReviewStreamPaths.under(spark)
-    for q in rs.stream_reviews(spark, src, cards, paths, compact_every=2):
-        q.awaitTermination()
-    assert sorted(rs.current_state(spark, paths.state).collect()) == batch
-    assert spark.read.parquet(paths.history).count() == len(rows)
-    due = rs.stream_due(spark, paths).collect()
-    assert all(r.due_at < r.as_of for r in due)
-    # Compaction changes where state is read from, never the answer.
-    plain = rs.ReviewStreamPaths.under(spark)
-    for q in rs.stream_reviews(spark, src, cards, plain, compact_every=1000):
-        q.awaitTermination()
-    assert sorted(rs.stream_due(spark, plain).collect()) == sorted(due)
-    coarse = rs.ReviewStreamPaths.under(spark)
-    for q in rs.stream_reviews(spark, src, cards, coarse, files_per_batch=3):
-        q.awaitTermination()
-    assert sorted(rs.current_state(spark, coarse.state).collect()) == batch
-    replayed = rs.ReviewStreamPaths.under(spark)
-    rs.replay_batches(spark, src, cards, replayed).awaitTermination()
-    assert sorted(rs.current_state(spark, replayed.state).collect()) == batch
-
-
-def test_late_failure_cuts_the_run(spark):
-    t0 = dt.datetime(2024, 1, 1)
-    early = [(1, t0 + dt.timedelta(hours=h), True) for h in (1, 2, 4, 5)]
-    late = [(1, t0 + dt.timedelta(hours=3), False), (1, t0 + dt.timedelta(hours=2), True)]
-    root = tempfile.mkdtemp(prefix="late-")
-    spark.createDataFrame(early, REVIEW).coalesce(1).write.parquet(root + "/src")
-    cards = spark.createDataFrame([(1, "q", "a", None, None, None, t0, 43200, None)], CARD)
-    paths = rs.ReviewStreamPaths.under(spark)
-    for q in rs.stream_reviews(spark, root + "/src", cards, paths):
-        q.awaitTermination()
-    spark.createDataFrame(late, REVIEW).coalesce(1).write.mode("append").parquet(root + "/src")
-    for q in rs.stream_reviews(spark, root + "/src", cards, paths):
-        q.awaitTermination()
-    got = rs.current_state(spark, paths.state).collect()[0]
+    cards = cards_of(spark, range(6))
+    batch = sorted(sc.schedule_state(spark.createDataFrame(rows, REVIEW), cards.where("id < 5")).select(*rs.STATE_COLS).collect())
+    due = []
+    for every, files in ((2, 1), (1000, 1), (8, 3)):
+        paths = rs.ReviewStreamPaths.under(spark)
+        rs.stream_reviews(spark, src, cards, paths, files_per_batch=files, compact_every=every).awaitTermination()
+        assert sorted(rs.current_state(spark, paths).collect()) == batch
+        assert sorted(r[:3] for r in rs.history(spark, paths).select(*REVIEW.fieldNames()).collect()) == sorted(rows)
+        due.append(sorted(rs.stream_due(spark, paths).collect()))
+        assert all(r.due_at < r.as_of for r in due[-1])
+    assert due[0] == due[1]  # compaction changes where state is read from, never the answer
+
+
+def test_every_due_time_is_reported_once(spark):
+    """A late failure, a late success and a card without any answer."""
+    first = [(1, hours(1), True), (1, hours(30), True), (2, hours(2), False), (9, hours(200), True)]
+    late = [(1, hours(20), False), (2, hours(3), True)]
+    paths = run_batches(spark, [first, late, [(3, hours(300), True)]], cards_of(spark, (1, 2, 3, 9)), compact_every=2)
+    got = sorted((r.batch_id, r.card_id, r.due_at) for r in rs.stream_due(spark, paths).collect())
+    assert got == sorted([
+        (0, 1, hours(30 + 48)), (0, 2, hours(2 + 6)), (0, 3, hours(12)),  # batch 0 sees all cards up to hour 200
+        (1, 1, hours(30 + 12)), (1, 2, hours(3 + 12)),                    # new due times after the late answers
+        (2, 9, hours(200 + 24))])
+
+
+def test_late_answers_are_placed_in_time(spark):
+    early = [(1, hours(h), True) for h in (1, 2, 4, 5)]
+    late = [(1, hours(3), False), (1, hours(2), True)]
+    paths = run_batches(spark, [early, late], cards_of(spark, [1]))
+    got = rs.current_state(spark, paths).collect()[0]
     # Run after the late failure at 03:00: successes at 04:00 and 05:00.
-    assert (got.streak, got.review_after_secs, got.last_reviewed) == (2, 21600 * 4, t0 + dt.timedelta(hours=5))
+    assert (got.streak, got.review_after_secs, got.last_reviewed) == (2, 21600 * 4, hours(5))
+    assert rs.history(spark, paths).count() == 5
+
+
+def test_history_obeys_its_keys(spark):
+    rows = [(1, hours(1), True), (1, hours(1), False), (7, hours(1), True)]
+    paths = run_batches(spark, [rows, [(1, hours(1), True), (1, hours(2), True)]], cards_of(spark, [1]))
+    assert sorted((r.card_id, r.review_date, r.remembered) for r in rs.history(spark, paths).collect()) == [
+        (1, hours(1), False), (1, hours(2), True)]
+    assert [r.card_id for r in spark.read.parquet(paths.rejected).collect()] == [7]
+
+
+def test_state_does_not_grow_with_a_run(spark):
+    rows = [(1, hours(h), True) for h in range(40)]
+    paths = run_batches(spark, [rows[:20], rows[20:]], cards_of(spark, [1]))
+    state = spark.read.parquet(paths.state)
+    assert state.count() == 2 and all("array" not in t for _, t in state.dtypes)
+    assert rs.current_state(spark, paths).first().streak == 40
+
+
+def test_a_repeated_batch_changes_nothing(spark):
+    rows = [(1, hours(1), True), (2, hours(2), False)]
+    paths = run_batches(spark, [rows, [(1, hours(0), False)]], cards_of(spark, [1, 2]))
+    before = [sorted(x.collect(), key=str) for x in (rs.current_state(spark, paths), rs.history(spark, paths), rs.stream_due(spark, paths))]
+    rs._apply(spark, paths, 8, spark.createDataFrame([(1, hours(0), False)], REVIEW), 1)
+    assert before == [sorted(x.collect(), key=str) for x in (rs.current_state(spark, paths), rs.history(spark, paths), rs.stream_due(spark, paths))]

@@ -31,19 +31,34 @@ def _expected(rows, base=43200):
 def test_trace_matches_sequential_fold(spark, seed, parts):
     rows = _history(seed)
     df = spark.createDataFrame(rows, REVIEW)
-    got = sc.schedule_trace(df, num_partitions=parts).drop("next_due").collect()
-    exp = _expected(rows)
-    flat = {(c, t): (r, s, k) for c, h in exp.items() for t, r, s, k in h}
+    _check_trace(sc.schedule_trace(df, num_partitions=parts).collect(), rows)
+
+
+def _check_trace(got, rows):
+    flat = {(c, t): (r, s, k) for c, h in _expected(rows).items() for t, r, s, k in h}
     assert len(got) == len(flat)
     for row in got:
-        assert flat[(row.card_id, row.review_date)] == (row.remembered, row.review_after_secs, row.streak), row
+        remembered, secs, streak = flat[(row.card_id, row.review_date)]
+        assert (row.remembered, row.review_after_secs, row.streak, row.overflow) == (remembered, secs, streak, secs is None), row
+        try:
+            due = row.review_date + dt.timedelta(seconds=secs) if secs is not None else None
+        except OverflowError:
+            due = None
+        assert row.next_due == (due if due is None or due <= dt.datetime(9999, 12, 31, 23, 59, 59) else None), row
 
 
-@pytest.mark.parametrize("seed,fanout", [(5, 100_000), (6, 3)])
-def test_state_matches_sequential_fold(spark, seed, fanout):
+@pytest.mark.parametrize("parts", [1, 5])
+def test_trace_of_long_streaks(spark, parts):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, t0 + dt.timedelta(hours=i), i != 3) for i in range(70)] + [(2, t0 + dt.timedelta(days=i), True) for i in range(60)]
+    _check_trace(sc.schedule_trace(spark.createDataFrame(rows, REVIEW), num_partitions=parts).collect(), rows)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_state_matches_sequential_fold(spark, seed):
     rows = _history(seed)
     df = spark.createDataFrame(rows, REVIEW)
-    got = {r.card_id: r for r in sc.replay(df, hot_fanout=fanout).select(
+    got = {r.card_id: r for r in sc.replay(df).select(
         "card_id", F.col("last_review").alias("last_reviewed"), "streak",
         sc.interval_after(F.lit(43200), F.col("last_fail").isNotNull(), F.col("streak")).alias(
             "review_after_secs")).collect()}
@@ -61,12 +76,15 @@ def test_state_is_order_and_partition_invariant(spark):
     assert sorted(a) == sorted(b)
 
 
-def test_long_streak_is_capped(spark):
+@pytest.mark.parametrize("failed", [False, True])
+@pytest.mark.parametrize("streak", [16, 25, 40, 47, 48, 60])
+def test_long_streaks_double_exactly(spark, streak, failed):
+    """Every doubling counts; a value that no long can hold is null and marked, never a smaller one."""
     t0 = dt.datetime(2024, 1, 1)
-    rows = [(1, t0 + dt.timedelta(days=i), True) for i in range(40)]
+    rows = [(1, t0, False)] * failed + [(1, t0 + dt.timedelta(days=1 + i), True) for i in range(streak)]
     got = sc.schedule_state(spark.createDataFrame(rows, REVIEW)).collect()[0]
-    assert got.streak == 40
-    assert got.review_after_secs == 43200 << 24
+    secs = fold([(t, r) for _, t, r in rows], 43200)[-1][2]
+    assert (got.streak, got.review_after_secs, got.overflow) == (streak, secs, secs is None)
 
 
 def test_duplicate_review_fail_wins(spark):
@@ -84,8 +102,9 @@ def test_ok_appends_to_review_history(spark):
                                   "img string, last_reviewed timestamp_ntz, review_after_secs long, question_img string")
     history = spark.createDataFrame([], REVIEW)
     answers = spark.createDataFrame([(1, now, "y")], "card_id long, answered_at timestamp_ntz, answer string")
-    new_history, state = sc.reviews_apply(history, answers, cards)
-    h = new_history.collect()
+    added, state, rejected = sc.reviews_apply(history, answers, cards)
+    assert rejected.count() == 0
+    h = added.collect()
     assert [(r.card_id, r.review_date.date(), r.remembered) for r in h] == [(1, now.date(), True)]
     s = state.collect()[0]
     assert (s.last_reviewed, s.review_after_secs) == (now, 86400)
@@ -98,11 +117,10 @@ def test_answers_other_than_y_n_change_nothing(spark):
                                   "img string, last_reviewed timestamp_ntz, review_after_secs long, question_img string")
     answers = spark.createDataFrame([(1, now, "?"), (2, now, "y"), (1, now, "n"), (1, now, "n")],
                                     "card_id long, answered_at timestamp_ntz, answer string")
-    new_history, state = sc.reviews_apply(spark.createDataFrame([], REVIEW), answers, cards)
-    assert [(r.card_id, r.remembered) for r in new_history.collect()] == [(1, False)]  # card 2 unknown
+    added, state, rejected = sc.reviews_apply(spark.createDataFrame([], REVIEW), answers, cards)
+    assert [(r.card_id, r.remembered) for r in added.collect()] == [(1, False)]  # card 2 unknown
     assert state.collect()[0].review_after_secs == 21600
-    rejected = sorted((r.card_id, r.answer, r.reason) for r in sc.answers_quarantine(answers, cards).collect())
-    assert rejected == [(1, "?", "no_change"), (2, "y", "unknown_card")]
+    assert sorted((r.card_id, r.answer, r.reason) for r in rejected.collect()) == [(1, "?", "no_change"), (2, "y", "unknown_card")]
 
 
 from hypothesis import given, settings  # noqa: E402
@@ -128,10 +146,20 @@ def test_trace_carries_state_across_arrow_batches(spark):
     spark.conf.set(key, "7")
     try:
         rows = _history(11, n_cards=3, n=300)
-        got = sc.schedule_trace(spark.createDataFrame(rows, REVIEW), num_partitions=2).drop("next_due").collect()
+        got = sc.schedule_trace(spark.createDataFrame(rows, REVIEW), num_partitions=2).collect()
     finally:
         spark.conf.set(key, old)
-    flat = {(c, t): (r, s, k) for c, h in _expected(rows).items() for t, r, s, k in h}
-    assert len(got) == len(flat)
-    for row in got:
-        assert flat[(row.card_id, row.review_date)] == (row.remembered, row.review_after_secs, row.streak), row
+    _check_trace(got, rows)
+
+
+def test_answers_already_in_the_history_are_not_appended(spark):
+    t = dt.datetime(2024, 3, 1)
+    cards = spark.createDataFrame([(1, "q", "a", None, None, None, t, 43200, None)],
+                                  "id long, question string, answer string, examples string, source string, "
+                                  "img string, last_reviewed timestamp_ntz, review_after_secs long, question_img string")
+    history = spark.createDataFrame([(1, t, True), (9, t, True)], REVIEW)
+    answers = spark.createDataFrame([(1, t, "n"), (1, t + dt.timedelta(hours=1), "y")],
+                                    "card_id long, answered_at timestamp_ntz, answer string")
+    added, state, _ = sc.reviews_apply(history, answers, cards)
+    assert [(r.card_id, r.review_date) for r in added.collect()] == [(1, t + dt.timedelta(hours=1))]
+    assert [(r.card_id, r.streak, r.review_after_secs) for r in state.collect()] == [(1, 2, 4 * 43200)]
