@@ -22,6 +22,7 @@ from recall.session import build_session  # noqa: E402
 HEADLINE = [
     "schedule_state", "avg_reviews_per_month", "cards_due", "word_lookup_fallback", "new_word_sentences",
     "rich_text_blocks", "schedule_trace", "vocabulary_coverage", "review_queue", "words_from_cards",
+    "words_add_new", "reviews_apply", "cards_add",
 ]
 
 
