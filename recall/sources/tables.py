@@ -63,8 +63,8 @@ def scan_words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_words(words: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One vocabulary table, one folder per language (partition pruning on read)."""
-    words.write.mode(mode).partitionBy("lang").parquet(path)
+    """One vocabulary table, one folder of few files per language (partition pruning on read)."""
+    words.hint("rebalance", "lang").write.mode(mode).partitionBy("lang").parquet(path)
 
 
 def words_of_language(spark: SparkSession, path: str, lang: str) -> DataFrame:
