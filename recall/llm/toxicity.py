@@ -6,9 +6,10 @@ with x_i = 1 when a term hashing to i occurs in the text. The second sum lets a
 and a group's name) weigh more than the two alone, which additive weights miss; it costs one
 pass: ((sum v_i)^2 - sum v_i^2) / 2.
 
-The model is fitted on the driver from at most ``SAMPLE`` labelled documents outside fold 0: their hashed
-terms are collected, never their texts; the ``TERMS`` hashes that tell the labels apart best (chi-square,
-seen in at least ``MIN_DOCS`` sampled documents) get parameters, the others none. Scoring is one pass over whole
+The model is fitted from at most ``SAMPLE`` labelled documents outside fold 0. Spark counts their hashed
+terms by label; the ``TERMS`` hashes that tell the labels apart best (chi-square, seen in at least
+``MIN_DOCS`` sampled documents) get parameters, the others none. Only which of these each sampled document has
+reaches the driver, where the parameters are fitted. Scoring is one pass over whole
 texts with the parameters broadcast (``TERMS * (RANK + 1)`` numbers).
 
 Defined cases: a null or empty text scores by the bias alone; without labelled rows, or with one label only, all
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recall.llm.rows import fold, label_sample, located
+from recall.llm.rows import fold, label_sample, located, written
 
 HASH_BITS = 22
 STEMS = (4, 5, 6)  # bytes of a word's start that are terms too
@@ -75,25 +76,28 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30.0, 30.0)))
 
 
-def chosen_terms(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The hashes whose presence depends most on the label."""
-    hashes, at = np.unique(np.concatenate(docs), return_inverse=True)
-    label = np.repeat(y, [d.size for d in docs])
-    seen, toxic = np.bincount(at, minlength=hashes.size), np.bincount(at, weights=label, minlength=hashes.size)
-    expected = seen * y.mean()
-    chi = (toxic - expected) ** 2 / np.maximum(expected * (1 - y.mean()) * (1 - seen / len(docs)), 1e-9)
-    usable = np.flatnonzero((seen >= MIN_DOCS) & (seen < len(docs)))
-    best = usable[np.argsort(-chi[usable], kind="stable")[:TERMS]]
-    return np.sort(hashes[best])
+def chosen_terms(rows: DataFrame) -> np.ndarray:
+    """The ``TERMS`` hashes of ``rows(label, terms)`` whose presence depends most on the label (chi-square)."""
+    n, share = rows.agg(F.count(F.lit(1)), F.avg("label")).first()
+    if not n or not 0 < share < 1:
+        return np.empty(0, np.int64)
+    counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("seen"), F.sum("label").alias("toxic"))
+    expected = F.col("seen") * share
+    chi = (F.col("toxic") - expected) ** 2 / (expected * (1 - share) * (1 - F.col("seen") / n))
+    best = counts.filter(F.col("seen").between(MIN_DOCS, n - 1)).select("term", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(TERMS)
+    return np.sort(np.array([r["term"] for r in best.collect()], np.int64))
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray) -> Machine:
-    """Minimises the logistic loss by AdaGrad in small batches; deterministic for given rows in order."""
+def fit(docs: list[np.ndarray], y: np.ndarray, terms: np.ndarray) -> Machine:
+    """Minimises the logistic loss by AdaGrad in small batches; deterministic for given rows in order.
+
+    ``docs``: the hashes in each document; ``terms``: the sorted hashes that get parameters.
+    """
     none = np.empty(0, np.int64), np.empty(0), np.empty((0, RANK))
     if len(docs) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(docs) else 0.0
         return Machine(none[0], float(np.log((share + 1e-9) / (1 - share + 1e-9))), none[1], none[2])
-    terms = chosen_terms(docs, y) if sum(d.size for d in docs) else none[0]
     rng = np.random.default_rng(SEED)
     share = y.mean()
     m = Machine(terms, float(np.log(share / (1 - share))), np.zeros(terms.size), rng.normal(0, 0.01, (terms.size, RANK)))
@@ -124,18 +128,25 @@ def fit(docs: list[np.ndarray], y: np.ndarray) -> Machine:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Machine:
     """The machine fitted on a bounded sample of the labelled rows of ``docs(doc_id, text)``."""
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [term_hashes(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())],
-                names=["doc_id", "label", "terms"])
+            found = [term_hashes(t.as_py()).astype(np.int32) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))],
+                                             names=["doc_id", "label", "terms"])
 
     ids = F.broadcast(label_sample(labels, label, most))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-    got = rows.mapInArrow(terms, "doc_id long, label int, terms binary").toPandas()
-    got = got.drop_duplicates().sort_values(["doc_id", "terms"])
-    return fit([np.frombuffer(x, "<u4").astype(np.int64) for x in got["terms"]], got["label"].to_numpy(np.float64))
+    rows = written(rows.mapInArrow(hashes, "doc_id long, label int, terms array<int>").dropDuplicates(), "labelled-terms")
+    terms = chosen_terms(rows)
+
+    def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [np.intersect1d(np.asarray(t.values), terms).astype("<u4").tobytes() for t in batch.column("terms")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(kept, pa.binary())],
+                                             names=["doc_id", "label", "terms"])
+
+    got = rows.mapInArrow(usable, "doc_id long, label int, terms binary").toPandas().sort_values(["doc_id", "terms"])
+    return fit([np.frombuffer(x, "<u4").astype(np.int64) for x in got["terms"]], got["label"].to_numpy(np.float64), terms)
 
 
 def score(source: DataFrame, machine: Machine) -> DataFrame:

@@ -178,14 +178,33 @@ def test_machine_learns_an_interaction():
     rng = np.random.default_rng(2)
     docs = [np.unique(np.r_[rng.choice(30, 6, replace=False) + 10, np.flatnonzero(rng.random(2) < 0.5)]) for _ in range(1500)]
     y = np.array([float(0 in d and 1 in d) for d in docs])
-    m = toxicity.fit(docs, y)
+    m = toxicity.fit(docs, y, np.arange(40))
     right = [(m.logit(m.columns(d)) > 0) == bool(t) for d, t in zip(docs, y)]
     assert np.mean(right) > 0.95
 
 
+def test_terms_are_chosen_by_chi_square(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    docs = [(int(i % 4 == 0), sorted(set(rng.choice(50, 10).tolist()) | ({60} if i % 4 == 0 else set()) | {99})) for i in range(200)]
+    monkeypatch.setattr(toxicity, "TERMS", 8)
+    y, n = np.array([d[0] for d in docs]), len(docs)
+
+    def chi(term):
+        has = np.array([term in d[1] for d in docs])
+        table = np.array([[(has & (y == k)).sum() for k in (0, 1)], [(~has & (y == k)).sum() for k in (0, 1)]], float)
+        expected = table.sum(axis=1, keepdims=True) * table.sum(axis=0, keepdims=True) / n
+        return ((table - expected) ** 2 / expected).sum()
+
+    # Up to the factor of the 2 x 2 table, the largest statistics first; a term in every document tells nothing.
+    want = sorted(sorted([*range(50), 60], key=lambda t: -chi(t))[:8])
+    found = toxicity.chosen_terms(spark.createDataFrame(docs, "label int, terms array<int>"))
+    assert found.tolist() == want and 60 in found and 99 not in found
+    assert toxicity.chosen_terms(spark.createDataFrame([], "label int, terms array<int>")).size == 0
+
+
 def test_models_without_contrast():
-    assert toxicity.fit([], np.array([])).logit(np.empty(0, int)) < -10
-    assert toxicity.fit([np.array([1, 2])] * 3, np.ones(3)).logit(np.empty(0, int)) > 10
+    assert toxicity.fit([], np.array([]), np.empty(0, int)).logit(np.empty(0, int)) < -10
+    assert toxicity.fit([np.array([1, 2])] * 3, np.ones(3), np.arange(3)).logit(np.empty(0, int)) > 10
     chain = quality_rules.fit([], np.array([]))
     assert quality_rules.content_share(chain, "a b c\nd") == 1.0
 
