@@ -35,7 +35,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2                                  # trainer_spec.model_type
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types
 THREADS = 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000  # in each of two generations
 ROWS_PER_BATCH = 256
 
 
@@ -159,42 +159,59 @@ class Codec:
         self.apart = self.model.words_apart
         self.tokenizer = build(self.model, normalise=not self.apart)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.known: dict[str, tuple[bytes, bool]] = {}
-        self.surface = []
-        for piece, kind in zip(self.model.pieces, self.model.types):
-            self.surface.append(
-                bytes([int(piece[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL
-                else self.model.unknown_surface.encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode())
+        self.threads = threads
+        self.alone = [self.model.pieces.index(MARK)] if MARK in self.model.pieces else []
+        self.known: dict[str, bytes] = {}   # ids of parts seen lately
+        self.older: dict[str, bytes] = {}   # those of the generation before
+        self.odd: set[str] = set()          # parts on which the libraries disagree
+        self.surface = surfaces(self.model)
 
     def parts(self, text: str) -> list[str]:
         if not text:
             return []
         return re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK)) if self.apart else [text]
 
+    def learn(self, parts: set[str]) -> None:
+        """Ids of all ``parts`` into ``known``; encodes those of neither generation."""
+        if len(self.known) + len(parts) > CACHED_WORDS:
+            self.older, self.known = self.known, {}
+        for part in parts & self.older.keys():
+            self.known[part] = self.older[part]
+        fresh = list(parts.difference(self.known))
+        if not fresh:
+            return
+        ours = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+        theirs = self.original.encode([p[1:].replace(MARK, " ") if self.apart else p for p in fresh], num_threads=self.threads)
+        for part, own, other in zip(fresh, ours, theirs):
+            ids = own.ids
+            # The marker alone: the original library adds no prefix to an empty text.
+            if ids != other and not (self.apart and part == MARK and ids == self.alone):
+                self.odd.add(part)
+            self.known[part] = np.array(ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Ids (little-endian unsigned 32-bit) and parity of each text."""
         parts = [self.parts(t) for t in texts]
-        fresh = list({p for own in parts for p in own if p not in self.known})
-        if len(self.known) + len(fresh) > CACHED_WORDS:
-            self.known.clear()
-            fresh = list({p for own in parts for p in own})
-        if fresh:
-            ours = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-            theirs = self.original.encode([p[1:].replace(MARK, " ") if self.apart else p for p in fresh], num_threads=THREADS)
-            # The marker alone: the original library adds no prefix to an empty text.
-            for part, own, other in zip(fresh, ours, theirs):
-                same = own.ids == other or (self.apart and part == MARK and own.ids == self.original.encode(" x")[:1])
-                self.known[part] = (np.array(own.ids, "<u4").tobytes(), same)
-        return [(b"".join([self.known[p][0] for p in own]), all(self.known[p][1] for p in own)) for own in parts]
+        self.learn(set().union(*parts))
+        return [(b"".join(map(self.known.__getitem__, own)), self.odd.isdisjoint(own)) for own in parts]
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join([self.surface[i] for i in ids.tolist()])
-        if self.model.dummy_prefix and text.startswith(b" "):
-            text = text[1:]
-        return text.decode("utf-8", "replace")
+        return surface_text(self.surface, self.model.dummy_prefix, ids)
+
+
+def surfaces(m: Model) -> list[bytes]:
+    """What each id decodes to."""
+    return [bytes([int(piece[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL
+            else m.unknown_surface.encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
+            for piece, kind in zip(m.pieces, m.types)]
+
+
+def surface_text(surface: list[bytes], dummy_prefix: bool, ids: np.ndarray) -> str:
+    text = b"".join(map(surface.__getitem__, ids.tolist()))
+    return (text[1:] if dummy_prefix and text.startswith(b" ") else text).decode("utf-8", "replace")
 
 
-RESULT = "at struct<file:string,row:bigint>, doc_id long, text_crc32 long, ids binary, parity boolean"
+RESULT = "at struct<file:string,row:bigint>, doc_id long, text_crc32 long, ids binary, parity boolean, decoded_crc32 long"
 
 
 def model_bytes(path: str) -> bytes:
@@ -203,9 +220,10 @@ def model_bytes(path: str) -> bytes:
 
 
 def encode(source: DataFrame, model_path: str, threads: int = THREADS) -> DataFrame:
-    """``at, doc_id, text_crc32, ids, parity`` for each row of ``located(docs)``; ids are little-endian unsigned 32-bit.
+    """``at, doc_id, text_crc32, ids, parity, decoded_crc32`` for each row of ``located(docs)``; ids are little-endian unsigned 32-bit.
 
-    ``text_crc32`` is of the text that decoding should give: markers in the text count as spaces.
+    The ids are decoded again: ``decoded_crc32`` is of the text they give, ``text_crc32`` of the one
+    they should give (markers in the text count as spaces).
     The model file is read once on the driver and broadcast (its size is that of the vocabulary).
     """
     shared = source.sparkSession.sparkContext.broadcast(model_bytes(model_path))
@@ -218,21 +236,22 @@ def encode(source: DataFrame, model_path: str, threads: int = THREADS) -> DataFr
                 texts = [t.as_py() or "" for t in batch.column("text")]
                 out = codec.encode(texts)
                 sums = [zlib.crc32(t.replace(MARK, " ").encode()) for t in texts]
+                back = [zlib.crc32(codec.decode(np.frombuffer(x[0], "<u4")).encode()) for x in out]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("at"), batch.column("doc_id"), pa.array(sums, pa.int64()),
-                     pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.bool_())],
-                    names=["at", "doc_id", "text_crc32", "ids", "parity"])
+                     pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.bool_()),
+                     pa.array(back, pa.int64())], names=["at", "doc_id", "text_crc32", "ids", "parity", "decoded_crc32"])
 
     return source.select("at", F.col("doc.doc_id").cast("long").alias("doc_id"), "doc.text").mapInArrow(run, RESULT)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """``encoded`` (with ``ids``) and the ``decoded`` text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model_bytes(model_path))
+    model = parse_model(model_bytes(model_path))
+    shared = encoded.sparkSession.sparkContext.broadcast((surfaces(model), model.dummy_prefix))
 
     @F.pandas_udf("string")
     def text_of(ids: pd.Series) -> pd.Series:
-        codec = once_per_process(("sentencepiece", hash(shared.value), THREADS), lambda: Codec(shared.value))
-        return ids.map(lambda x: codec.decode(np.frombuffer(x, "<u4")))
+        return ids.map(lambda x: surface_text(*shared.value, np.frombuffer(x, "<u4")))
 
     return encoded.withColumn("decoded", text_of("ids"))

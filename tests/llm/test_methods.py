@@ -327,6 +327,26 @@ def test_whole_texts_agree_with_both_libraries(spark):
             assert whole.decode(own.tolist(), skip_special_tokens=False) == codec.original.decode(own.tolist()) == codec.decode(own)
 
 
+def test_decoding_gives_the_texts_back(spark, edge_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = spm_codec.decode(spm_codec.encode(located(documents(spark, edge_dir)), path), path).collect()
+    assert Counter((r["doc_id"], r["decoded"]) for r in found) == Counter(
+        (i, (t or "").replace(spm_codec.MARK, " ")) for i, t in rows_of(spark, edge_dir))
+    assert all(r["decoded_crc32"] == r["text_crc32"] for r in found)
+
+
+def test_words_are_kept_for_two_generations(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(spm_codec, "CACHED_WORDS", 5)
+    codec = spm_codec.Codec(spm_codec.model_bytes(public_tokenizers.path("piece_bpe_32k.model")))
+    for text in ["a b c d", "a e f g", "h i a", "b c d e f g h", "a"]:
+        assert np.frombuffer(codec.encode([text])[0][0], "<u4").tolist() == codec.original.encode(text)
+        assert len(codec.known) <= 5 + 7
+
+
 def test_byte_bpe_agrees_with_its_own_library():
     import public_tokenizers
     from hypothesis import given, settings
