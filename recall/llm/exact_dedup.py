@@ -83,7 +83,8 @@ def exact_groups(source: DataFrame, digest: Callable[[Column], Column] = sha256,
     log_rows = rows.select("at", "doc_id", digest(F.col("norm")).alias("digest"))
     log_rows.write.parquet(log_path)
     log = spark.read.schema(log_rows.schema).parquet(log_path)
-    state = digest_state(spark, log_path, log_rows.schema, files_per_batch)
+    # Written: a join of two plain tables can be split where a digest is hot, one with an aggregate cannot.
+    state = written(digest_state(spark, log_path, log_rows.schema, files_per_batch), "digest-state-rows")
 
     seen = log.join(state, "digest").select("at", "doc_id", "digest", "first", "n")
     hits = seen.filter("n > 1").select("at", "doc_id", "digest", "first")
