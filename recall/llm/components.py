@@ -3,8 +3,8 @@
 Each round replaces the edges by stars around smaller ids (first around each node's
 smallest neighbour for its larger neighbours, then for its smaller ones); the
 number of rounds grows with the logarithm of the longest path. A round is two
-aggregates with partial sums and two joins whose hot centres adaptive execution
-can split; each round's edges are written, so a lost executor repeats one round.
+aggregates with partial sums and two joins. The joins' sides are written tables, so adaptive
+execution can split a hot centre, and a lost executor repeats one step.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ def star_round(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(
         edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
     # Larger neighbours of each node go to the node's smallest neighbour.
-    low = both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("low"))
+    low = written(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("low")), "lows")
     large = (both.filter("other > node").join(low, "node")
              .select(F.col("other").alias("a"), F.col("low").alias("b")).filter("a > b"))
     # Each node and its smaller neighbours go to the smallest of them.
-    large = large.distinct()
-    low = large.groupBy("a").agg(F.min("b").alias("low"))
+    large = written(large.distinct(), "large-stars")
+    low = written(large.groupBy("a").agg(F.min("b").alias("low")), "lows")
     small = large.join(low, "a")
     return small.select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a > b").union(
         low.select("a", F.col("low").alias("b"))).distinct()

@@ -254,7 +254,7 @@ def near_groups(source: DataFrame, words_per_shingle: int = 4, most: int = 4, ch
     roots = components(fingerprint_links(distinct.select("fp"), most, chunk_rows))
     rooted = distinct.join(roots, distinct["fp"] == F.col("a"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    firsts = written(rooted.groupBy("root").agg(F.min("first").alias("first")), "component-firsts")
     of_print = rooted.select("fp", "root").join(firsts, "root").select("fp", "first")
     return prints.join(of_print, "fp").select(
         "at", "doc_id", "fp", F.col("first.doc_id").alias("component_id"), (F.col("at") == F.col("first.at")).alias("kept"))
