@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recall.llm.rows import label_sample, located
+from recall.llm.rows import label_sample
 
 SAMPLE = 4000
 TRAIN_LINES = 64
@@ -207,6 +207,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Chain:
     return fit(texts, 1 - got["label"].to_numpy())
 
 
+def keeps(chain: Chain, text: str | None, share: float) -> bool:
+    counts = base_counts(text)
+    return not base_failed(counts[0], counts[4]) and content_share(chain, text) >= share
+
+
 RESULT = ("at struct<file:string,row:bigint>, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
           "n_repeat_words long, base_failed boolean, content_share double, kept boolean")
 
@@ -230,8 +235,13 @@ def judge(source: DataFrame, chain: Chain, share: float = CONTENT_SHARE) -> Data
     return source.select("at", F.col("doc.doc_id").cast("long").alias("doc_id"), "doc.text").mapInArrow(run, RESULT)
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that fail the base rules or have too little content."""
-    source = located(docs)
-    gone = judge(source, learn(docs, labels)).filter(~F.col("kept")).select("at")
-    return source.join(gone, "at", "left_anti").select("doc.*")
+def drop_low_quality(docs: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE) -> DataFrame:
+    """``docs`` without the rows that fail the base rules or have too little content; one pass, rows stay where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([keeps(chain, t.as_py(), share) for t in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

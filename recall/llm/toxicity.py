@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recall.llm.rows import fold, label_sample, located, written
+from recall.llm.rows import fold, label_sample, written
 
 HASH_BITS = 22
 STEMS = (4, 5, 6)  # bytes of a word's start that are terms too
@@ -166,7 +166,13 @@ def score(source: DataFrame, machine: Machine) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more."""
-    source = located(docs)
-    toxic = score(source, learn(docs, labels)).filter(F.col("score") >= threshold).select("at")
-    return source.join(toxic, "at", "left_anti").select("doc.*")
+    """``docs`` without the rows that score ``threshold`` or more; one pass, rows stay where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            logits = np.array([m.logit(m.columns(term_hashes(t.as_py()))) for t in batch.column("text")], np.float64)
+            yield batch.filter(pa.array(sigmoid(logits) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
