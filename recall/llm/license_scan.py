@@ -1,22 +1,26 @@
 """License notices found by an exact set-similarity join of text blocks with templates.
 
-A block is a window of consecutive lines. Its token set is compared with a template's by
-containment: |block and template| / |template| >= threshold, that is an overlap of at least
-``need = ceil(threshold * |template|)`` tokens. The join avoids comparing all pairs:
+A template of ``n`` words is compared with every window of ``width = ceil(SPREAD * n / threshold)`` words of the
+text's word stream, whatever its line ends, by containment: |window and template| / |template| >= threshold, that is an
+overlap of at least ``need = ceil(threshold * |template|)`` distinct tokens. So a notice may be wrapped over any number of
+lines and may have words in between (comment marks, names), but words scattered more widely are no notice.
+
+A block is ``2 * W`` words, ``W`` the largest width, and one starts every ``W`` words: each window lies whole in one block.
+Blocks are joined with the templates as token sets, which avoids comparing all pairs:
 
 * tokens are in one global order, from rare to frequent over all blocks;
 * prefix filter: two sets with the overlap share a token among the first ``size - need + 1`` of each;
 * length filter: a block with fewer tokens than ``need`` cannot match;
 * positional filter: from a common token on, each side must still have ``need`` tokens.
 
-What passes is verified by the exact overlap. Only the templates' vocabulary takes part (other tokens
-add to no overlap), so the prefix index is as large as the templates and is the one
+What passes is verified by the exact overlap of the block and then of each of its windows of the template's width. Only the
+templates' vocabulary takes part (other tokens add to no overlap), so the prefix index is as large as the templates and is the one
 thing broadcast. All steps are DataFrame expressions.
 
 Beside that, phrases are found at their exact word positions.
 
 Defined cases: a null or empty text has no words, empty labels, null first and last word and score 0;
-a text without line ends is one block; blocks repeat freely; repeated rows each get their result; an empty
+line ends only separate words; blocks repeat freely; repeated rows each get their result; an empty
 table gives an empty result; further columns are left aside.
 """
 
@@ -33,8 +37,7 @@ from recall.llm.rows import written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
-BLOCK_LINES = 4  # lines of a window
-BLOCK_STEP = 2   # lines from one window to the next
+SPREAD = 2  # words of a window for each word that a notice needs
 
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
@@ -63,6 +66,11 @@ def needed(tokens: frozenset[str], threshold: float) -> int:
     return max(1, math.ceil(threshold * len(tokens) - 1e-9))
 
 
+def widths(templates: list[tuple[str, str]], threshold: float) -> list[int]:
+    """Words of the windows that each template is compared with."""
+    return [math.ceil(SPREAD * len(re.findall(WORD, text.lower())) / threshold - 1e-9) for _, text in templates]
+
+
 def starts_of(words: Column, phrase: str) -> Column:
     """Positions where the phrase's words stand one after the other."""
     parts = phrase.split(" ")
@@ -73,24 +81,22 @@ def starts_of(words: Column, phrase: str) -> Column:
     return F.when(inside & (F.size(words) >= len(parts)), here).otherwise(F.array().cast("array<int>"))
 
 
-def parsed(source: DataFrame, phrases: list[tuple[str, str]], vocabulary: list[str], least: int) -> DataFrame:
+def parsed(source: DataFrame, phrases: list[tuple[str, str]], vocabulary: list[str], least: int, width: int) -> DataFrame:
     """Per row of ``located(docs)``: at, doc_id, n_words, phrase positions and labels, blocks.
 
-    ``blocks``: the vocabulary tokens of each window that has at least ``least`` of them. Lower-casing
+    ``blocks``: the words of each block that has at least ``least`` vocabulary tokens, all other words null. Lower-casing
     beyond A-Z changes no phrase, template or word boundary: a letter stays a letter.
     """
-    lines = F.transform(F.split(F.lower(F.coalesce("doc.text", F.lit(""))), "\n"),
-                        lambda line: F.regexp_extract_all(line, F.lit(f"({WORD})"), 1))
-    tokens = source.select("at", F.col("doc.doc_id").alias("doc_id"), lines.alias("lines")) \
-        .select("at", "doc_id", "lines", F.flatten("lines").alias("words"))
+    words = F.regexp_extract_all(F.lower(F.coalesce("doc.text", F.lit(""))), F.lit(f"({WORD})"), 1)
+    tokens = source.select("at", F.col("doc.doc_id").alias("doc_id"), words.alias("words")) \
+        .select("at", "doc_id", "words", F.transform("words", lambda w: F.when(w.isin(vocabulary), w)).alias("known"))
     own = F.array(*[F.lit(t) for t in vocabulary])
-    windows = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("lines") - BLOCK_LINES + BLOCK_STEP), F.lit(BLOCK_STEP)),
-        lambda i: F.array_intersect(own, F.flatten(F.slice("lines", i, BLOCK_LINES))))
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.size("known") / width).cast("int") - 1)
+    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.slice("known", i * width + 1, 2 * width))
     found = tokens.select(
         "at", "doc_id", F.size("words").cast("long").alias("n_words"),
         *[starts_of(F.col("words"), phrase).alias(f"p{i}") for i, (phrase, _) in enumerate(phrases)],
-        F.filter(windows, lambda b: F.size(b) >= least).alias("blocks"))
+        F.filter(blocks, lambda b: F.size(F.array_intersect(own, b)) >= least).alias("blocks"))
     places = F.concat(*[F.col(f"p{i}") for i in range(len(phrases))])
     labels = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, label) for i, (_, label) in enumerate(phrases)]))
     return found.select(
@@ -99,8 +105,9 @@ def parsed(source: DataFrame, phrases: list[tuple[str, str]], vocabulary: list[s
         F.array_sort(F.array_distinct(labels)).alias("base_labels"), "blocks")
 
 
-def matches(blocks: DataFrame, templates: list[tuple[str, frozenset[str]]], threshold: float) -> DataFrame:
-    """``at, label, containment`` of every block ``(at, block)`` and template at or above the threshold."""
+def candidates(blocks: DataFrame, templates: list[tuple[str, frozenset[str]]], threshold: float) -> DataFrame:
+    """The columns of ``blocks`` and ``template, label, tokens, need, overlap``: one row for each block
+    (a set of tokens in ``block``) and template with the overlap."""
     spark = blocks.sparkSession
     counted = blocks.select(F.explode("block").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     frequency = {r["token"]: r["n"] for r in counted.collect()}  # at most the templates' vocabulary
@@ -111,16 +118,35 @@ def matches(blocks: DataFrame, templates: list[tuple[str, frozenset[str]]], thre
         for pos, token in enumerate(ordered[:len(ordered) - need + 1]):
             index.append((token, i, label, ordered, need, pos))
     index = spark.createDataFrame(index, "token string, template int, label string, tokens array<string>, need int, t_pos int")
-    ranked = blocks.select("at", F.array_intersect(F.array(*[F.lit(t) for t in order]), "block").alias("block"))
+    ranked = blocks.withColumn("block", F.array_intersect(F.array(*[F.lit(t) for t in order]), "block"))
     least = min(needed(tokens, threshold) for _, tokens in templates)
-    prefix = ranked.select("at", "block", F.posexplode(F.slice("block", F.lit(1), F.size("block") - least + 1)).alias("pos", "token"))
-    candidates = prefix.join(F.broadcast(index), "token").filter(
+    prefix = ranked.select("*", F.posexplode(F.slice("block", F.lit(1), F.greatest(F.lit(0), F.size("block") - least + 1))).alias("pos", "token"))
+    found = prefix.join(F.broadcast(index), "token").filter(
         (F.size("block") >= F.col("need"))
         & (F.col("pos") <= F.size("block") - F.col("need"))
         & (F.least(F.size("block") - F.col("pos"), F.size("tokens") - F.col("t_pos")) >= F.col("need")))
-    overlap = F.size(F.array_intersect("block", "tokens"))
-    return candidates.withColumn("overlap", overlap).filter("overlap >= need").select(
-        "at", "label", (F.col("overlap") / F.size("tokens")).alias("containment"))
+    common = F.array_intersect("block", "tokens")
+    # A pair meets at each common token of its prefixes; the first of them stands for it.
+    return found.withColumn("overlap", F.size(common)).filter((F.col("overlap") >= F.col("need")) & (F.get(common, F.lit(0)) == F.col("token")))
+
+
+def containment() -> Column:
+    return F.col("overlap") / F.size("tokens")
+
+
+def matches(blocks: DataFrame, templates: list[tuple[str, frozenset[str]]], threshold: float) -> DataFrame:
+    """``at, label, containment`` of every block ``(at, block)`` and template at or above the threshold."""
+    return candidates(blocks, templates, threshold).select("at", "label", containment().alias("containment"))
+
+
+def notices(blocks: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """``at, label, containment``: the best window of each block ``(at, words)`` and template, where it reaches the threshold."""
+    found = candidates(blocks.withColumn("block", F.array_compact("words")), template_sets(templates), threshold)
+    width = F.get(F.array(*[F.lit(w) for w in widths(templates, threshold)]), F.col("template"))
+    # A best window may be moved to start with one of the template's words.
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains("tokens", F.coalesce(F.get("words", i - 1), F.lit(""))))
+    best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect("tokens", F.slice("words", i, width)))))
+    return found.withColumn("overlap", best).filter("overlap >= need").select("at", "label", containment().alias("containment"))
 
 
 def scan(source: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES,
@@ -132,8 +158,8 @@ def scan(source: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates:
     sets = template_sets(templates)
     vocabulary = sorted({t for _, tokens in sets for t in tokens})
     least = min(needed(tokens, threshold) for _, tokens in sets)
-    rows = written(parsed(source, phrases, vocabulary, least), "license-tokens")
-    found = matches(rows.select("at", F.explode("blocks").alias("block")), sets, threshold)
+    rows = written(parsed(source, phrases, vocabulary, least, max(widths(templates, threshold))), "license-tokens")
+    found = notices(rows.select("at", F.explode("blocks").alias("words")), templates, threshold)
     by_row = found.groupBy("at").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
     none = F.array().cast("array<string>")
     return rows.drop("blocks").join(by_row, "at", "left").select(

@@ -1,6 +1,7 @@
 """The operators' methods: second paths, bounds and models, each against a direct computation."""
 
 import itertools
+import re
 import struct
 from collections import Counter
 
@@ -105,6 +106,46 @@ def test_notice_without_a_phrase(spark, tmp_path):
     assert found[2]["labels"] == "" and found[3]["labels"] == "cc-by-nc"
 
 
+def notice_labels(text):
+    """Labels and best containment over every window of each template's width, one by one."""
+    words, found, score = re.findall(license_scan.WORD, text.lower()), set(), 0.0
+    for (label, template), width in zip(license_scan.TEMPLATES, license_scan.widths(license_scan.TEMPLATES, license_scan.THRESHOLD)):
+        own = set(re.findall(license_scan.WORD, template))
+        best = max((len(own & set(words[i:i + width])) for i in range(max(1, len(words)))), default=0) / len(own)
+        if best >= license_scan.THRESHOLD:
+            found.add(label)
+            score = max(score, best)
+    return ",".join(sorted(found)), score
+
+
+def test_notices_at_any_wrapping_and_start(spark):
+    bsd = dict(license_scan.TEMPLATES)["bsd"].split(" ")
+    texts = {}
+    for lines in range(2, 13):
+        cuts = [round(i * len(bsd) / lines) for i in range(lines + 1)]
+        wrapped = [" ".join(bsd[a:b]) for a, b in zip(cuts, cuts[1:])]
+        for before in range(8):
+            for mark in ("", "# ", "\n * "):
+                texts["\n".join([f"head line {i}" for i in range(before)] + [mark + w for w in wrapped] + ["tail"])] = "bsd"
+    for before in range(0, 240, 7):  # on one line, at any place against the blocks
+        texts["word " * before + " ".join(bsd) + " word" * 100] = "bsd"
+    texts[(" " + "word " * 12).join(bsd)] = ""  # scattered over one long line
+    rng = np.random.default_rng(5)
+    vocabulary = sorted({w for _, t in license_scan.TEMPLATES for w in t.split(" ")})
+    for _ in range(40):  # templates with words lost and put in between
+        out = rng.choice(vocabulary, rng.integers(0, 90)).tolist()
+        for _, t in [license_scan.TEMPLATES[k] for k in rng.integers(0, len(license_scan.TEMPLATES), 3)]:
+            for w in t.split(" "):
+                out += [w] * bool(rng.random() > 0.15) + ["other"] * int(rng.integers(0, 4))
+            out += ["other"] * int(rng.integers(0, 90))
+        texts["\n".join(out)] = None
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    found = {r["doc_id"]: r for r in license_scan.scan(located(docs), phrases=[("no such phrase", "none")]).collect()}
+    for i, (text, label) in enumerate(texts.items()):
+        assert (found[i]["labels"], found[i]["score"]) == notice_labels(text)
+        assert label is None or found[i]["labels"] == label
+
+
 def test_license_scan_is_native(spark, edge_dir):
     plan = license_scan.scan(located(documents(spark, edge_dir)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
