@@ -9,13 +9,15 @@ made of boundary records from both sides, joined by their sequence id only where
 sequences are assembled. No text or token is shuffled, only the last window
 has padding, and no task sees more than one Arrow batch.
 
-Defined cases: a null or empty text is the single id 0; null ids and repeated rows are packed like
-any other; an empty table gives an empty result; further columns are left aside.
+Defined cases: an added token's string in a text is that token's id, as in the file's library; a null or empty
+text is the single id 0; null ids and repeated rows are packed like any other; an empty table gives an empty
+result; further columns are left aside.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +38,8 @@ def byte_bpe(path: str):
     """The tokenizer of a byte-level BPE file, as an encoder of ordinary text.
 
     The file's own library builds an object with offsets and strings for each token; the same merges run
-    several times faster from the ranks in the file's vocabulary (ids in merge order).
+    several times faster from the ranks in the file's vocabulary (ids in merge order). Added tokens are no part
+    of it: ``encoder`` cuts the text at them.
     """
     import tiktoken
 
@@ -50,6 +53,16 @@ def byte_bpe(path: str):
     return tiktoken.Encoding("from_file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the tokens that the file's library finds in the text itself, before any other splitting."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    for t in added:
+        if any(t.get(flag) for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token {t['content']!r} of {path} has a flag that is not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself if printable, else from 256 up."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -74,13 +87,16 @@ class Words(dict):
 def encoder(path: str) -> Callable[[str], bytes]:
     """Text to ids (little-endian unsigned 32-bit).
 
-    A space after a character that is no white space starts a new pre-token, so the text is cut
+    The text is cut at the file's added tokens first, the longest of those that begin at a place. In what is
+    between them, a space after a character that is no white space starts a new pre-token, so the text is cut
     before each of them and the pieces are encoded on their own.
     """
+    added = {content: np.array([i], "<u4").tobytes() for content, i in added_tokens(path).items()}
+    cuts = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))))
     encode = byte_bpe(path).encode_ordinary
     first, later = Words(encode, ""), Words(encode, " ")
 
-    def ids_of(text: str) -> bytes:
+    def ordinary(text: str) -> bytes:
         pieces = text.split(" ")
         if all(pieces) and not any(p[-1].isspace() for p in pieces[:-1]):
             return first[pieces[0]] + b"".join([later[p] for p in pieces[1:]])
@@ -94,7 +110,14 @@ def encoder(path: str) -> Callable[[str], bytes]:
             return b""
         return first[joined[0]] + b"".join([later[p] for p in joined[1:]])
 
-    return ids_of
+    def ids_of(text: str) -> bytes:
+        out, at = [], 0
+        for found in cuts.finditer(text):
+            out += [ordinary(text[at:found.start()]), added[found[0]]]
+            at = found.end()
+        return b"".join([*out, ordinary(text[at:])])
+
+    return ids_of if added else ordinary
 
 
 def tokens(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -406,6 +406,39 @@ def test_byte_bpe_agrees_with_its_own_library():
     check()
 
 
+def test_added_tokens_are_found_in_texts():
+    import public_tokenizers
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, ids_of, end = Tokenizer.from_file(path), packing.encoder(path), "<|endoftext|>"
+
+    def check(text):
+        assert np.frombuffer(ids_of(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+
+    assert np.frombuffer(ids_of(f"a {end} b"), "<u4").tolist() == [64, 220, 50256, 275]
+    for text in (end, end * 3, f"{end}a", f"a{end}", f"a{end}b", f" {end}", f"{end} ", f"a  {end}  b", f"a\n\n{end}\nb", f"<|{end}|>", f"{end[:-1]} {end}",
+                 end.upper(), f"don{end}'t", f"1{end}2 3"):
+        check(text)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.one_of(st.just(end), st.sampled_from([" ", "  ", "\n", " a", "b ", "'s", "1", "<|", "|>", "\u3000", "é"]), st.text(max_size=5)), max_size=12))
+    def mixed(parts):
+        check("".join(parts))
+
+    mixed()
+
+
+def test_added_token_in_the_packed_pieces(spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    found = packing.digests(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))).collect()
+    assert [(r["doc_tokens"], r["ids_crc32"]) for r in found] == [(5, brute.packed_ids([64, 220, 50256, 275, 0]))]
+
+
 def test_sequences_hold_every_id(spark, edge_dir):
     import public_tokenizers
 
