@@ -5,10 +5,10 @@ a line seen before, and so on) give it a score, neighbouring labels a transition
 decoding finds the best labelling of the whole text. The share of characters in
 content lines decides: a document with less than ``CONTENT_SHARE`` of them goes.
 
-The weights are fitted by maximum likelihood (forward-backward) on the lines of at most
+The weights are fitted by maximum likelihood (forward-backward) on all lines of at most
 ``SAMPLE`` labelled documents outside fold 0, drawn by a hash of the id; a document's quality label counts for all
-its lines. Only line features reach the driver, never texts, and of one document at most
-``TRAIN_LINES`` lines (a bound of the fit alone: scoring takes all lines).
+its lines. Only line features reach the driver, two bytes a line, never texts; the fit works on ``GROUP_LINES`` lines
+at a time (or one text that is longer).
 
 Defined cases: a null text has no words and fails the base rules, as does any text under ten words;
 without labelled rows all lines are content; ids and labels that are null are not learnt from; repeated rows
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from recall.llm.rows import label_sample
 
 SAMPLE = 4000
-TRAIN_LINES = 64
+GROUP_LINES = 1 << 20
 CONTENT_SHARE = 0.5
 STEPS = 150
 RATE = 0.2
@@ -141,47 +141,78 @@ def content_share(chain: Chain, text: str | None) -> float:
     return float(sizes[~chain.boilerplate(features)].sum() / sizes.sum())
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray) -> Chain:
-    """Weights of the highest likelihood for the lines of each text all being labelled ``y``."""
+def line_codes(features: np.ndarray) -> np.ndarray:
+    """Each line's features as the bits of one number, the first feature highest."""
+    return np.packbits(features.astype(bool), axis=1).view(">u2").ravel().astype(np.uint16)
+
+
+CODES = 1 << 16  # len(FEATURES) bits
+
+
+def groups_of(texts: list[np.ndarray], y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts (line codes), longest first, in groups of about ``GROUP_LINES`` lines: (codes, ends, labels).
+
+    A group's codes are all first lines, then all second lines, and so on; position ``p`` is
+    ``codes[ends[p]:ends[p + 1]]``, the first so many of the group's texts, so nothing is padded.
+    """
+    order = np.argsort([-len(t) for t in texts], kind="stable")
+    lengths = np.array([len(texts[i]) for i in order])
+    number = (np.cumsum(lengths) - lengths) // GROUP_LINES
+    out = []
+    for own in np.split(np.arange(len(order)), np.flatnonzero(np.diff(number)) + 1):
+        size = lengths[own]
+        position = np.concatenate([np.arange(n) for n in size])
+        codes = np.concatenate([texts[i] for i in order[own]])[np.argsort(position, kind="stable")]
+        out.append((codes, np.concatenate([[0], np.cumsum(np.bincount(position))]), y[order[own]].astype(bool)))
+    return out
+
+
+def expected(own: np.ndarray, steps: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's probability of label 1, and the expected number of steps from label to label, by forward-backward.
+
+    ``own``: the lines' scores in the order of ``groups_of``. Messages are log odds of label 1 against 0.
+    """
+    (s00, s01), (s10, s11) = steps
+    forward, ahead = own.copy(), own.copy()  # what the lines up to one say of it; what those from one on say of it
+    cuts = ends.tolist()
+    for a, b, c in zip(cuts, cuts[1:], cuts[2:]):
+        before = forward[a:a + c - b]
+        forward[b:c] += np.logaddexp(s01, before + s11) - np.logaddexp(s00, before + s10)
+    for a, b, c in reversed(list(zip(cuts, cuts[1:], cuts[2:]))):
+        after = ahead[b:c]
+        ahead[a:a + c - b] += np.logaddexp(s10, after + s11) - np.logaddexp(s00, after + s01)
+    share = 1 / (1 + np.exp(-np.clip(forward + ahead - own, -500, 500)))
+    live = np.diff(ends)
+    came = np.arange(ends[1], ends[-1]) - np.repeat(live[:-1], live[1:])  # the line before each later line
+    f, g = forward[came], ahead[ends[1]:]
+    pairs = np.stack([np.full(len(f), s00), s01 + g, f + s10, f + s11 + g])
+    pairs = np.exp(pairs - pairs.max(axis=0)) if len(f) else pairs
+    return share, (pairs / pairs.sum(axis=0)).sum(axis=1).reshape(2, 2)
+
+
+def fit_codes(texts: list[np.ndarray], y: np.ndarray) -> Chain:
+    """Weights of the highest likelihood for the lines (as codes) of each text all being labelled ``y``."""
     n_features = len(FEATURES)
     chain = Chain(np.zeros(n_features), np.zeros((2, 2)))
     if len(texts) == 0 or y.min() == y.max():
         chain.weights[0] = -1.0  # no contrast to learn from: all content
         return chain
-    order = np.argsort([-len(t) for t in texts], kind="stable")
-    texts, y = [texts[i] for i in order], y[order].astype(bool)
-    lengths = np.array([len(t) for t in texts])
-    longest = lengths[0]
-    x = np.zeros((len(texts), longest, n_features))
-    for i, t in enumerate(texts):
-        x[i, :len(t)] = t
-    live = [int((lengths > p).sum()) for p in range(longest)]  # texts that reach a position come first
-    total = lengths.sum()
+    groups = groups_of(texts, y)
+    used = np.flatnonzero(sum(np.bincount(codes, minlength=CODES) for codes, _, _ in groups))
+    bits = np.unpackbits(used.astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, :n_features].astype(np.float64)
+    total = sum(len(t) for t in texts)
     moment = [[np.zeros(n_features), np.zeros(n_features)], [np.zeros((2, 2)), np.zeros((2, 2))]]
     for step in range(1, STEPS + 1):
-        score = np.zeros((len(texts), longest, 2))
-        score[:, :, 1] = x @ chain.weights
-        forward, backward = np.zeros_like(score), np.zeros_like(score)
-        forward[:, 0] = score[:, 0]
-        for p in range(1, longest):
-            k = live[p]
-            forward[:k, p] = score[:k, p] + np.logaddexp(forward[:k, p - 1, 0, None] + chain.steps[0], forward[:k, p - 1, 1, None] + chain.steps[1])
-        for p in range(longest - 2, -1, -1):
-            k = live[p + 1]
-            ahead = score[:k, p + 1] + backward[:k, p + 1]
-            backward[:k, p] = np.logaddexp(ahead[:, 0, None] + chain.steps[:, 0], ahead[:, 1, None] + chain.steps[:, 1])
-        norm = np.logaddexp(*forward[np.arange(len(texts)), lengths - 1].T)
-        inside = np.arange(longest)[None, :] < lengths[:, None]
-        share = np.where(inside, np.exp(np.minimum(forward[:, :, 1] + backward[:, :, 1] - norm[:, None], 0)), 0)
-        d_weights = np.einsum("ip,ipf->f", np.where(inside, y[:, None], 0) - share, x)
-        d_steps = np.zeros((2, 2))
-        pairs = inside[:, 1:]
-        for a in (0, 1):
-            for b in (0, 1):
-                expected = np.exp(np.minimum(
-                    forward[:, :-1, a] + chain.steps[a, b] + score[:, 1:, b] + backward[:, 1:, b] - norm[:, None], 0))
-                seen = pairs.sum(axis=1)[y == a].sum() if a == b else 0
-                d_steps[a, b] = seen - expected[pairs].sum()
+        score = np.zeros(CODES)
+        score[used] = bits @ chain.weights
+        d_weights, d_steps = np.zeros(n_features), np.zeros((2, 2))
+        for codes, ends, own in groups:
+            share, steps = expected(score[codes], chain.steps, ends)
+            live = np.diff(ends)
+            label = np.concatenate([own[:n] for n in live.tolist()])
+            d_weights += np.bincount(codes, label - share, CODES)[used] @ bits
+            same = label[ends[1]:].sum()
+            d_steps += np.diag([len(label) - ends[1] - same, same]) - steps
         for value, gradient, (m, v) in ((chain.weights, d_weights / total - RIDGE * chain.weights, moment[0]),
                                         (chain.steps, d_steps / total - RIDGE * chain.steps, moment[1])):
             m += 0.1 * (gradient - m)        # Adam
@@ -190,11 +221,16 @@ def fit(texts: list[np.ndarray], y: np.ndarray) -> Chain:
     return chain
 
 
+def fit(texts: list[np.ndarray], y: np.ndarray) -> Chain:
+    """``fit_codes`` of line features."""
+    return fit_codes([line_codes(t) for t in texts], y)
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Chain:
     """The chain fitted on a bounded sample of the labelled rows of ``docs(doc_id, text)``."""
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.packbits(line_features(t.as_py())[0][:TRAIN_LINES].astype(bool), axis=1).tobytes() for t in batch.column("text")]
+            found = [line_codes(line_features(t.as_py())[0]).astype("<u2").tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())],
                                              names=["doc_id", "label", "lines"])
 
@@ -202,9 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Chain:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
     got = rows.mapInArrow(features, "doc_id long, label int, lines binary").toPandas()
     got = got.drop_duplicates().sort_values(["doc_id", "lines"])
-    width = -(-len(FEATURES) // 8)
-    texts = [np.unpackbits(np.frombuffer(x, np.uint8).reshape(-1, width), axis=1)[:, :len(FEATURES)].astype(np.float64) for x in got["lines"]]
-    return fit(texts, 1 - got["label"].to_numpy())
+    return fit_codes([np.frombuffer(x, "<u2") for x in got["lines"]], 1 - got["label"].to_numpy())
 
 
 def keeps(chain: Chain, text: str | None, share: float) -> bool:

@@ -271,6 +271,48 @@ def test_chain_separates_junk_lines():
     assert not chain.boilerplate(good).any() and chain.boilerplate(junk).all()
 
 
+def test_expected_labels_and_steps_against_all_labellings():
+    rng = np.random.default_rng(12)
+    steps, lengths = rng.normal(size=(2, 2)), [5, 3, 3, 1]
+    codes = [np.arange(n, dtype=np.uint16) + 10 * i for i, n in enumerate(lengths)]
+    (order, ends, _), = quality_rules.groups_of(codes, np.array([0, 1, 0, 1]))
+    score = rng.normal(size=quality_rules.CODES)
+    share, found = quality_rules.expected(score[order], steps, ends)
+    want, pairs = {}, np.zeros((2, 2))
+    for own in codes:
+        every = list(itertools.product((0, 1), repeat=len(own)))
+        p = np.exp([sum(score[c] for c, b in zip(own, x) if b) + sum(steps[a, b] for a, b in zip(x, x[1:])) for x in every])
+        for x, q in zip(every, p / p.sum()):
+            for c, b in zip(own.tolist(), x):
+                want[c] = want.get(c, 0) + q * b
+            for a, b in zip(x, x[1:]):
+                pairs[a, b] += q
+    assert share == pytest.approx([want[c] for c in order.tolist()]) and found == pytest.approx(pairs)
+
+
+def test_groups_do_not_change_the_fit(monkeypatch):
+    rng = np.random.default_rng(13)
+    texts = [rng.integers(0, 2, (n, len(quality_rules.FEATURES))) for n in rng.integers(1, 60, 30)]
+    y = np.arange(30) % 2
+    whole = quality_rules.fit(texts, y)
+    monkeypatch.setattr(quality_rules, "GROUP_LINES", 50)
+    assert len(quality_rules.groups_of([quality_rules.line_codes(t) for t in texts], y)) > 5
+    parts = quality_rules.fit(texts, y)
+    assert parts.weights == pytest.approx(whole.weights, abs=1e-3) and parts.steps == pytest.approx(whole.steps, abs=1e-3)
+
+
+def test_lines_late_in_a_text_are_learnt(spark):
+    def plain(i, n):
+        return [f"This is the plain line number {k} of text {i}." for k in range(n)]
+
+    junk = [f"*** ### $$$ ||| {k}" for k in range(40)]
+    rows = [(i, "\n".join(plain(i, 64) + junk if i % 2 else plain(i, 104))) for i in range(60)]
+    labelled = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    chain = quality_rules.learn(spark.createDataFrame(rows, "doc_id long, text string"), labelled)
+    assert chain.boilerplate(quality_rules.line_features("\n".join(junk))[0]).all()
+    assert not chain.boilerplate(quality_rules.line_features("\n".join(plain(99, 64)))[0]).any()
+
+
 def test_repeated_windows():
     rng = np.random.default_rng(6)
     for _ in range(50):
