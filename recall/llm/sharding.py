@@ -1,7 +1,7 @@
 """Sharding by sampled splitters: near-equal bytes, neighbouring keys together.
 
-Records are ordered by (hash of the text, id), so copies of a text are
-neighbours and yet a text with many copies can be cut anywhere. Splitters are
+Records are ordered by (hash of the text, id, hash of the row's address), so copies of a text are
+neighbours and yet a text with many copies can be cut anywhere, also where rows repeat or ids are null. Splitters are
 quantiles of a key sample drawn with probability proportional to record size;
 records are range-partitioned by them. Every range is then measured: one that
 holds more than twice its share is subdivided by splitters from a denser
@@ -29,6 +29,7 @@ from recall.llm.rows import text_or_empty, written
 
 OVERHEAD = 16        # bytes counted per record beside its text
 RANGE_BYTES = 64 << 20
+KEY = ("key", "tie", "spot")
 MAX_RANGES = 10_000
 OVERSAMPLE = 20      # expected sampled keys per range
 OVERFULL = 2         # times its share
@@ -36,46 +37,49 @@ REFINE_ROUNDS = 8
 
 
 def record_keys(source: DataFrame) -> DataFrame:
-    """``at, key, tie, doc_id, size, text_crc32`` of each row of ``located(docs)``."""
+    """``at, key, tie, spot, doc_id, size, text_crc32`` of each row of ``located(docs)``."""
     text = text_or_empty("doc.text")
     return source.select(
         "at", F.xxhash64(text).alias("key"),
         F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(-(1 << 63))).alias("tie"),
+        F.xxhash64("at").alias("spot"),
         F.col("doc.doc_id").alias("doc_id"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"))
 
 
 def sampled(records: DataFrame, rate: float, seed: int) -> np.ndarray:
-    """Sorted keys (n, 2), each record drawn with probability ``min(1, size * rate)``, by hash."""
-    u = F.pmod(F.xxhash64("key", "tie", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    rows = records.filter(u < F.col("size") * F.lit(rate)).select("key", "tie").toPandas()
-    return np.unique(rows.to_numpy(dtype=np.int64).reshape(-1, 2), axis=0)
+    """Sorted keys (n, 3), each record drawn with probability ``min(1, size * rate)``, by hash."""
+    u = F.pmod(F.xxhash64(*KEY, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    rows = records.filter(u < F.col("size") * F.lit(rate)).select(*KEY).toPandas()
+    return np.unique(rows.to_numpy(dtype=np.int64).reshape(-1, len(KEY)), axis=0)
 
 
 def quantiles(keys: np.ndarray, parts: int) -> np.ndarray:
     if len(keys) == 0 or parts < 2:
-        return np.empty((0, 2), np.int64)
+        return keys[:0]
     picks = np.arange(1, parts) * len(keys) // parts
     return np.unique(keys[picks], axis=0)
 
 
 def in_ranges(records: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """Adds ``range``: how many splitters are at or below the record's (key, tie)."""
-    keys, ties = np.ascontiguousarray(splitters[:, 0]), np.ascontiguousarray(splitters[:, 1])
+    """Adds ``range``: how many splitters are at or below the record's key, of as many columns as the splitters have."""
+    keys, *ties = [np.ascontiguousarray(c) for c in splitters.T]
 
     @F.pandas_udf("int")
-    def range_of(key: pd.Series, tie: pd.Series) -> pd.Series:
-        k, t = key.to_numpy(), tie.to_numpy()
+    def range_of(*columns: pd.Series) -> pd.Series:
+        k, *t = [c.to_numpy() for c in columns]
         low, high = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
-        while (open_ := np.flatnonzero(low < high)).size:  # splitters with this very key: search by tie
+        while (open_ := np.flatnonzero(low < high)).size:  # splitters with this very key: search by the other columns
             mid = (low[open_] + high[open_]) // 2
-            below = ties[mid] <= t[open_]
+            below = np.ones(len(open_), bool)
+            for split, own in reversed(list(zip(ties, t))):
+                below = (split[mid] < own[open_]) | ((split[mid] == own[open_]) & below)
             low[open_[below]] = mid[below] + 1
             high[open_[~below]] = mid[~below]
         return pd.Series(low.astype(np.int32))
 
-    return records.withColumn("range", range_of("key", "tie"))
+    return records.withColumn("range", range_of(*KEY[:splitters.shape[1]]))
 
 
 def range_totals(ranged: DataFrame) -> pd.DataFrame:
@@ -99,8 +103,8 @@ def ranges_of(records: DataFrame, ranges: int | None = None, shards: int = 40) -
             break
         more = [splitters]
         dense = sampled(ranged.filter(F.col("range").isin([int(x) for x in over["range"]])), rate * 4 ** i, i)
-        cut = np.array([tuple(x) for x in splitters], dtype="i8,i8")
-        place = np.searchsorted(cut, np.array([tuple(x) for x in dense], dtype="i8,i8"), "right")
+        cut = np.array([tuple(x) for x in splitters], dtype="i8,i8,i8")
+        place = np.searchsorted(cut, np.array([tuple(x) for x in dense], dtype="i8,i8,i8"), "right")
         for r, size in zip(over["range"], over["bytes"]):
             more.append(quantiles(dense[place == r], int(-(-size // share))))
         grown = np.unique(np.concatenate(more), axis=0)
@@ -120,7 +124,7 @@ def shards(source: DataFrame, n: int = 40, ranges: int | None = None) -> DataFra
     offsets = spark.createDataFrame(
         [tuple(map(int, x)) for x in before[["range", "bytes", "rows"]].itertuples(index=False)],
         "range int, bytes_before long, rows_before long")
-    order = Window.partitionBy("range").orderBy("key", "tie", "at")
+    order = Window.partitionBy("range").orderBy(*KEY, "at")
     running = order.rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.select(
         "range", "at", "doc_id", "size", "text_crc32",

@@ -44,6 +44,16 @@ def test_overfull_ranges_are_subdivided(spark):
     assert all(tuple(x["b"]) < tuple(y["a"]) for x, y in zip(spans, spans[1:]))
 
 
+def test_repeated_rows_are_subdivided(spark):
+    rows = [(1, "same text")] * 1500 + [(None, "another")] * 1500 + [(i, f"text {i}") for i in range(3000, 4000)]
+    records = sharding.record_keys(located(spark.createDataFrame(rows, "doc_id long, text string"))).cache()
+    ranged, totals = sharding.ranges_of(records, ranges=30)
+    assert totals["rows"].sum() == 4000 and totals["bytes"].max() <= sharding.OVERFULL * totals["bytes"].sum() / 30
+    assert len(sharding.sampled(records, 1.0, 0)) == 4000
+    spans = ranged.groupBy("range").agg(F.min(F.struct(*sharding.KEY)).alias("a"), F.max(F.struct(*sharding.KEY)).alias("b")).orderBy("range").collect()
+    assert all(tuple(x["b"]) < tuple(y["a"]) for x, y in zip(spans, spans[1:]))
+
+
 def test_splitter_search_on_equal_keys(spark):
     splitters = np.array([(1, 5), (2, -3), (2, 0), (2, 9), (7, 1)], np.int64)
     keys = [(k, t) for k in (0, 1, 2, 3, 7, 8) for t in (-4, -3, 0, 5, 8, 9, 10)]
