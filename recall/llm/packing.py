@@ -48,6 +48,10 @@ def byte_bpe(path: str):
     special = {t["content"] for t in spec.get("added_tokens", [])}
     byte_of = {c: b for b, c in byte_letters().items()}
     ranks = {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    made = [spec["model"]["vocab"][a + b] for a, b in merges]
+    if any(x >= y for x, y in zip(made, made[1:])):
+        raise ValueError(f"the merges of {path} are not in the order of their pieces' ids")
     # The pre-tokenizer's split; a fixed value of byte-level BPE files with this pre-tokenizer.
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     return tiktoken.Encoding("from_file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +76,45 @@ def label_sample(labels_df: DataFrame, label: str, most: int) -> DataFrame:
     one = one.withColumn("_u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32))
     n = one.count()
     return one.filter(F.col("_u") <= F.lit(2.0 * most / max(n, 1))).orderBy("_u", "doc_id").limit(most).drop("_u")
+
+
+BLOCK_BYTES = 1 << 18
+
+
+def text_views(column: pa.Array) -> Iterator[memoryview]:
+    """The UTF-8 bytes of each text, in place (a null text is empty)."""
+    for value in column:
+        yield memoryview(value.as_buffer() or b"")
+
+
+def word_blocks(text: memoryview, table: bytes | None = None, block: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in lists of about ``block`` bytes, mapped through ``table``.
+
+    However long the text, little more than a block (or the longest word) is held at once.
+    """
+    begun: list[bytes] = []  # parts of a word that goes on
+    for at in range(0, len(text), block):
+        part = bytes(text[at:at + block])
+        part = part.translate(table) if table else part
+        words = part.split()
+        if not words:
+            if begun:
+                yield [b"".join(begun)]
+                begun = []
+            continue
+        open_, ended = not part[:1].isspace(), part[-1:].isspace()
+        if begun:
+            if open_:
+                begun.append(words[0])
+                if len(words) == 1 and not ended:
+                    continue
+                words[0] = b"".join(begun)
+            else:
+                words.insert(0, b"".join(begun))
+            begun = []
+        if not ended:
+            begun.append(words.pop())
+        if words:
+            yield words
+    if begun:
+        yield [b"".join(begun)]

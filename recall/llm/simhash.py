@@ -20,7 +20,8 @@ and no task holds more than two chunks.
 
 Defined cases: a null or blank text has fingerprint 0, which links like any other; fewer words than
 the shingle length make one shingle; repeated rows are in one component; null ids never name a
-component unless it has no other; an empty table gives an empty result.
+component unless it has no other; an empty table gives an empty result; a very long text is read in blocks, in
+place. Only the rows' ``doc_id`` and ``text`` are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,36 +35,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall.llm.components import components
-from recall.llm.rows import located, written
+from recall.llm.rows import located, text_views, word_blocks, written
 
 BITS = 64
 SEED = 42
 SEGMENTS = ((0, 23, 1), (23, 23, 1), (46, 18, 0))  # first bit, width, radius of the ball
 CHUNK = 4096
 BLOCK = 1 << 21  # pairs compared at once
-HASHES_AT_ONCE = 1 << 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def shingle_hashes(text: str | None, words_per_shingle: int) -> Iterator[np.ndarray]:
-    """XXH64 of the word shingles, in blocks."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return
-    joined = b" ".join(words)
-    if len(words) <= words_per_shingle:
-        yield np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-        return
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts = np.r_[0, gaps[:len(gaps) + 1 - words_per_shingle] + 1]
-    ends = np.r_[gaps[words_per_shingle - 1:], len(joined)]
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, len(starts), HASHES_AT_ONCE):
-        spans = zip(starts[at:at + HASHES_AT_ONCE].tolist(), ends[at:at + HASHES_AT_ONCE].tolist())
-        yield np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
-
-
-def fingerprint(text: str | None, words_per_shingle: int) -> int:
+def shingle_hashes(text: memoryview, words_per_shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles, block by block: the last words of a block start the next one's shingles."""
+    digest, last, any_yet = xxhash.xxh64_intdigest, [], False
+    for words in word_blocks(text, LOWER):
+        words = last + words
+        if len(words) >= words_per_shingle:
+            any_yet = True
+            joined = b" ".join(words)
+            gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+            starts = np.r_[0, gaps[:len(gaps) + 1 - words_per_shingle] + 1]
+            ends = np.r_[gaps[words_per_shingle - 1:], len(joined)]
+            yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
+        last = words[-(words_per_shingle - 1):] if words_per_shingle > 1 else []
+        if not any_yet:
+            last = words
+    if last and not any_yet:
+        yield np.array([digest(b" ".join(last), SEED)], np.uint64)
+
+
+def fingerprint(text: memoryview, words_per_shingle: int) -> int:
     ones, n = np.zeros(BITS, np.int64), 0
     for hashes in shingle_hashes(text, words_per_shingle):
         bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -77,7 +78,7 @@ def fingerprints(source: DataFrame, words_per_shingle: int) -> DataFrame:
     """``at, doc_id, fp`` (the 64 bits as a signed long) for each row of ``located(docs)``."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), words_per_shingle) for t in batch.column(2)], np.uint64)
+            fp = np.array([fingerprint(t, words_per_shingle) for t in text_views(batch.column(2))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))],
                                              names=["at", "doc_id", "fp"])
 
@@ -85,20 +86,43 @@ def fingerprints(source: DataFrame, words_per_shingle: int) -> DataFrame:
         rows, "at struct<file:string,row:bigint>, doc_id long, fp long")
 
 
-def entries(distinct: DataFrame) -> DataFrame:
-    """``value, fp, stored``: the table rows (stored) and the ball look-ups of each fingerprint.
+def own_values(distinct: DataFrame) -> DataFrame:
+    """``fp, table, own``: the segments of each fingerprint."""
+    by_table = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(SEGMENTS) - 1))).alias("table"))
+    own = F.coalesce(*[
+        F.when(F.col("table") == k, F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1)))
+        for k, (first, width, _) in enumerate(SEGMENTS)])
+    return by_table.withColumn("own", own)
+
+
+def reached(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``table, own``) under each value of their ball: ``value`` and ``stored`` (their own value) are added.
 
     ``value`` has the table's number above the segment's bits.
     """
-    probes = []
-    for k, (first, width, radius) in enumerate(SEGMENTS):
-        own = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(k << 60))
-        probes.append(F.array(F.struct(own.alias("value"), F.lit(True).alias("stored"))))
-        if radius:
-            bits = F.array(*[F.lit(1 << i).cast("long") for i in range(width)])
-            clear = F.filter(bits, lambda b: own.bitwiseAND(b) == 0)  # noqa: B023
-            probes.append(F.transform(clear, lambda b: F.struct(own.bitwiseOR(b).alias("value"), F.lit(False).alias("stored"))))  # noqa: B023
-    return distinct.select("fp", F.explode(F.concat(*probes)).alias("e")).select("e.value", "fp", "e.stored")
+    flips = F.coalesce(*[F.when(F.col("table") == k, F.lit(radius * width)) for k, (_, width, radius) in enumerate(SEGMENTS)])
+    stepped = rows.withColumn("step", F.explode(F.sequence(F.lit(0), flips)))
+    bit = F.expr("if(step = 0, 0L, shiftleft(1L, step - 1))")
+    return stepped.filter((F.col("step") == 0) | (F.col("own").bitwiseAND(bit) == 0)).withColumn(
+        "value", F.col("own").bitwiseOR(bit).bitwiseOR(F.expr("shiftleft(cast(table AS long), 60)"))).withColumn(
+        "stored", F.col("step") == 0).drop("step", "table", "own")
+
+
+def entries(distinct: DataFrame) -> DataFrame:
+    """``fp, value, stored``: the table rows (stored) and the ball look-ups of each fingerprint."""
+    return reached(own_values(distinct))
+
+
+def crowded_values(distinct: DataFrame, chunk_rows: int) -> DataFrame:
+    """``value, chunks`` of the values that more than ``chunk_rows`` entries may have.
+
+    Counted from the segments' own values, not from all look-ups. A value is reached from its own rows and from
+    fewer than 64 other values, so those of under ``chunk_rows / 128`` rows add at most half of
+    ``chunk_rows``, which is allowed for; only the others are followed to the values that they reach.
+    """
+    many = own_values(distinct).groupBy("table", "own").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") * 128 >= chunk_rows)
+    members = reached(many).groupBy("value").agg(F.sum("rows").alias("members")).filter(F.col("members") * 2 > chunk_rows)
+    return members.select("value", F.ceil(F.col("members") / chunk_rows + 0.5).cast("int").alias("chunks"))
 
 
 def forest(fp: np.ndarray, most: int) -> np.ndarray:
@@ -228,8 +252,7 @@ def fingerprint_links(distinct: DataFrame, most: int, chunk_rows: int = CHUNK) -
     if most > 4:
         raise ValueError("the segments hold for up to 4 differing bits")
     rows = entries(distinct)
-    crowded = rows.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > chunk_rows)
-    crowded = written(crowded.select("value", F.ceil(F.col("members") / chunk_rows).cast("int").alias("chunks")), "crowded-values")
+    crowded = written(crowded_values(distinct, chunk_rows), "crowded-values")
     if crowded.isEmpty():
         keyed = rows.select(F.col("value").alias("key"), "fp", "stored")
         return written(links_within(keyed, most), "fingerprint-links")

@@ -125,7 +125,6 @@ def check_pieces(found, rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     # Rows of one id are told apart by the place of their first piece.
     by_id, windows = defaultdict(list), defaultdict(list)
     for r in found:

@@ -3,6 +3,8 @@
 import itertools
 import re
 import struct
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recall.llm import (components, exact_dedup, license_scan, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash,
-                        spm_codec, toxicity)
+                        rows, spm_codec, toxicity)
 from recall.llm.rows import documents, located
 from tests.llm import brute
 from tests.llm.test_contracts import rows_of
@@ -209,9 +211,55 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert found == {i: 0 for i in range(1, n + 1)} | {10_000 + i: 10_000 for i in range(1, 400)} | {20_001: 20_000}
 
 
-def test_few_words_and_long_texts_have_the_plain_fingerprint():
-    for text in (None, "", "one", "one two three four", "A b  c\td e f", "w " * 70_000):
-        assert simhash.fingerprint(text, 4) == brute.fingerprint(text, 4)
+def test_few_words_and_long_texts_have_the_plain_fingerprint(monkeypatch):
+    for text in (None, "", "a", "a b c", "a b c d", "A  b\tc d\ne", "w" * 70_000, " ".join(f"w{i % 977}" for i in range(70_000))):
+        assert simhash.fingerprint(memoryview((text or "").encode()), 4) == brute.fingerprint(text, 4)
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1 << 18])
+def test_word_blocks_are_the_words_of_the_text(block):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.text(st.sampled_from("aBü \t\n\x0b\x1c."), max_size=30))
+    def check(text):
+        found = [w.decode() for words in rows.word_blocks(memoryview(text.encode()), block=block) for w in words]
+        assert found == brute.words(text)
+
+    check()
+
+
+def test_a_very_long_text_takes_little_memory():
+    """In a process of its own: a text of 64 MB raises the peak by less than 200 MB."""
+    code = """
+import resource
+import numpy as np
+from recall.llm import simhash
+words = [b"w%d" % i for i in range(50_000)]
+part = b" ".join(words)
+text = memoryview(b" ".join([part] * (64_000_000 // len(part))))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+simhash.fingerprint(text, 4)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 200
+
+
+def test_bpe_files_with_another_merge_order_are_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    merges = spec["model"]["merges"]
+    merges[0], merges[-1] = merges[-1], merges[0]
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="merge"):
+        packing.byte_bpe(str(other))
 
 
 # models
@@ -448,7 +496,6 @@ def test_byte_bpe_agrees_with_its_own_library():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     own, ids_of = Tokenizer.from_file(path), packing.encoder(path)
-    own.encode_special_tokens = True
 
     @settings(max_examples=300, deadline=None)
     @given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t 　 'a1.")), max_size=40))
