@@ -7,7 +7,8 @@ the signatures around it, and boilerplate has few anchors, so few signatures.
 
 Anchors are the words most documents of a language have, counted over all documents; which
 language a text is said to have plays no part in its own fingerprint, so equal texts
-have equal ones. Where anchors are rare (under one word in ``SPARSE``) every word is one too.
+have equal ones. In a stretch without anchors, each run of ``CHAIN + 1`` content words is a signature too; a text
+with fewer than ``FEW`` signatures has its words as further ones.
 
 Fingerprints are compared by length first: lengths fall into partitions in the ratio ``1 / least``, and two sets
 more than one partition apart cannot be alike by ``least``, so their likeness is 0 without a look at them.
@@ -36,7 +37,7 @@ from recall.llm.rows import text_or_empty
 WORD = r"[\p{L}\p{M}\p{N}]+"
 CHAIN = 3             # content words of a signature, at most
 SKIPPED = 8           # further anchors in a row that a chain passes over
-SPARSE = 20
+FEW = 16
 SHARE = 0.25          # of a language's documents have an anchor
 ANCHORS = 50          # of a language, at most
 LANGUAGES = 64        # with the most documents; texts of others use these languages' anchors, or every word
@@ -71,12 +72,13 @@ def signatures(text: Column, anchors: list[str]) -> Column:
     content = rf"(?: {MARK}\S+){{0,{SKIPPED}}}+ [^{MARK} ]\S*+"
     spots = F.transform(F.regexp_extract_all(marked, F.lit(rf"{MARK}(?=(\S+(?:{content}){{1,{CHAIN}}}+))"), F.lit(1)),
                         lambda s: F.regexp_replace(s, rf" {MARK}\S+", ""))
-    plain = F.array_join(own, " ")
-    every = F.regexp_extract_all(plain, F.lit(rf"(?<![^ ])(?=(\S++(?: \S++){{0,{CHAIN}}}+))"), F.lit(1))
-    hashed = lambda chains: F.transform(chains, lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("long"))
-    chains = F.when(F.size(spots) * SPARSE < F.size(own), F.concat(spots, every)).otherwise(spots)
-    whole = F.array(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.when(F.size(own) == 0, whole).otherwise(F.array_sort(F.array_distinct(hashed(chains))))
+    runs = F.regexp_extract_all(marked, F.lit(rf"(?<![^ ])(?=([^{MARK} ]\S*+(?: [^{MARK} ]\S*+){{{CHAIN}}}))"), F.lit(1))
+    chains = F.array_distinct(F.concat(spots, runs))
+    chains = F.when(F.size(chains) < FEW, F.concat(chains, own)).otherwise(chains)
+    # A text without words has one, itself.
+    chains = F.when(F.size(own) == 0, F.array(text)).otherwise(chains)
+    hashed = F.transform(chains, lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.array_sort(F.array_distinct(hashed))
 
 
 def as_text(found: Column) -> Column:

@@ -101,3 +101,106 @@ def license_base(text):
 
 def packed_ids(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
+def filter_audit(rows, labels):
+    """Rows of the audit, every order run over all documents; ``rows``: (doc_id, text, part)."""
+    from itertools import permutations
+
+    lowest = {}
+    for i, t, _ in rows:
+        if i is not None:
+            lowest[t or ""] = min(i, lowest.get(t or "", i))
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, x in labels if x == 1 and i is not None}
+    docs = []
+    for i, t, part in rows:
+        t = t or ""
+        w = words(t)
+        fails = "".join(f for f, failed in zip("ABCDE", (
+            len(w) < 50, 100 * len(set(w)) < 65 * len(w), 100 * sum("A" <= c <= "Z" for c in t) > 5 * len(t),
+            any(c in "#$%&*|" for c in t), i is not None and lowest[t] < i)) if failed)
+        docs.append((part or "", i, fails))
+    out = {}
+    for part in {p for p, _, _ in docs}:
+        own = [d for d in docs if d[0] == part]
+        for order in map("".join, permutations("ABCDE")):
+            left = own
+            for k, f in enumerate(order):
+                gone = [d for d in left if f in d[2]]
+                left = [d for d in left if f not in d[2]]
+                failing = [d for d in own if f in d[2]]
+                out[(part, order, k + 1)] = [len(left), len(gone), len(failing) - len(gone), sum(d[2] == f for d in own),
+                                             sum(d[1] in good for d in gone), sum(d[1] in toxic for d in gone)]
+    shapley = Counter()
+    for (part, order, step), r in out.items():
+        shapley[(part, order[step - 1])] += r[1]
+    return Counter((*key, *r, shapley[(key[0], key[1][key[2] - 1])]) for key, r in out.items())
+
+
+def collocations(rows, most_words, least, percent, most):
+    """Rows (lang, rank, phrase, a, l, r, n, score); ``rows``: (lang, text)."""
+    count, size = Counter(), Counter()
+    for lang, t in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\n\x0b\x0c\r]", (t or "").translate(LOWER)):
+            w = [x for x in re.split(r"[ \t]+", piece) if x]
+            size[lang] += len(w)
+            for k in range(1, most_words + 1):
+                count.update((lang, tuple(w[i:i + k])) for i in range(len(w) - k + 1))
+    chosen = {key: a for key, a in count.items() if len(key[1]) > 1 and a >= least}
+    found = defaultdict(list)
+    for (lang, w), a in chosen.items():
+        longer = [b for (x, v), b in chosen.items() if x == lang and len(v) > len(w)
+                  and any(v[i:i + len(w)] == w for i in range(len(v) - len(w) + 1)) and 100 * b >= percent * a]
+        if longer:
+            continue
+        cuts = []
+        for k in range(1, len(w)):
+            left, right = count[(lang, w[:k])], count[(lang, w[k:])]
+            cuts.append((1_000_000 * a * a // (left * right), k, left, right))
+        score, _, left, right = min(cuts)
+        found[lang].append((-score, -a, " ".join(w).encode(), left, right))
+    return Counter((lang, i + 1, p.decode(), -a, left, right, size[lang], -score)
+                   for lang, rows in found.items() for i, (score, a, p, left, right) in enumerate(sorted(rows)[:most]))
+
+
+def spots(text, anchors, chain=3, skipped=8, few=16):
+    """The signatures of a text, as strings."""
+    import regex
+
+    w = regex.findall(r"[\p{L}\p{M}\p{N}]+", (text or "").lower())
+    if not w:
+        return {text or ""}
+    out = set()
+    for i, x in enumerate(w):
+        if x in anchors:
+            taken, passed = [], 0
+            for y in w[i + 1:]:
+                if y in anchors:
+                    passed += 1
+                    if passed > skipped:
+                        break
+                    continue
+                passed = 0
+                taken.append(y)
+                if len(taken) == chain:
+                    break
+            if taken:
+                out.add(" ".join([x, *taken]))
+        elif i + chain < len(w) and not any(y in anchors for y in w[i:i + chain + 1]):
+            out.add(" ".join(w[i:i + chain + 1]))
+    return out | set(w) if len(out) < few else out
+
+
+def spot_rows(rows, anchors):
+    """Per row in order of ids: (doc_id, n_chars, sha of the edited text, near_edited, near_next, signatures, edited ones)."""
+    out = []
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    texts = [t or "" for _, t in rows]
+    for (i, _), t, nxt in zip(rows, texts, texts[1:] + texts[:1]):
+        k = len(t) // 4
+        edited = t[:len(t) - k] + nxt[:k]
+        a, b, c = (spots(x, anchors) for x in (t, edited, nxt))
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), likeness(a, b), likeness(a, c), a, b))
+    return out
