@@ -20,6 +20,7 @@ are read in blocks, in place; only ``lang`` and ``text`` are read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -333,12 +334,15 @@ def without_contained(candidates: DataFrame, percent: int) -> DataFrame:
 def best_of_language(candidates: DataFrame, most: int) -> DataFrame:
     """Each language's first ``most``, with ``rank``.
 
-    The candidates of a language are cut to ``most`` in as many parts as there are shuffle partitions before they meet.
+    The candidates of a language are cut to ``most`` in as many parts as there are shuffle partitions, then in the
+    square root of so many, before they meet.
     """
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = candidates.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
-    few = salted.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).filter(F.col("_n") <= most)
+    few = candidates
+    for n in (parts, math.isqrt(parts)):
+        salted = few.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(n)))
+        few = salted.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).filter(F.col("_n") <= most)
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(
         F.col("rank") <= most).drop("_part", "_n")
 
