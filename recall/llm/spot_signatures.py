@@ -43,6 +43,7 @@ ANCHORS = 50          # of a language, at most
 LANGUAGES = 64        # with the most documents; texts of others use these languages' anchors, or every word
 LEAST = 0.1
 MARK = "\x01"
+ROWS_PER_RANGE = 50_000
 
 
 def words(text: Column) -> Column:
@@ -63,22 +64,26 @@ def anchor_words(docs: DataFrame) -> list[str]:
     return sorted({r["word"] for r in common.withColumn("place", place).filter(F.col("place") <= ANCHORS).select("word").collect()})
 
 
-def signatures(text: Column, anchors: list[str]) -> Column:
-    """The sorted set of the text's signatures (never empty)."""
-    own = words(text)
+def with_signatures(rows: DataFrame, text: str, name: str, anchors: list[str]) -> DataFrame:
+    """``rows`` with the sorted set of the text's signatures (never empty) as ``name``.
+
+    The steps are columns of their own, so that none is computed again wherever the next one uses it.
+    """
     is_anchor = lambda w: w.isin(anchors) if anchors else F.lit(False)
-    marked = F.array_join(F.transform(own, lambda w: F.when(is_anchor(w), F.concat(F.lit(MARK), w)).otherwise(w)), " ")
-    # From each mark on: the anchor, and up to CHAIN content words with the anchors between them, which are then left out.
-    content = rf"(?: {MARK}\S+){{0,{SKIPPED}}}+ [^{MARK} ]\S*+"
-    spots = F.transform(F.regexp_extract_all(marked, F.lit(rf"{MARK}(?=(\S+(?:{content}){{1,{CHAIN}}}+))"), F.lit(1)),
-                        lambda s: F.regexp_replace(s, rf" {MARK}\S+", ""))
-    runs = F.regexp_extract_all(marked, F.lit(rf"(?<![^ ])(?=([^{MARK} ]\S*+(?: [^{MARK} ]\S*+){{{CHAIN}}}))"), F.lit(1))
-    chains = F.array_distinct(F.concat(spots, runs))
-    chains = F.when(F.size(chains) < FEW, F.concat(chains, own)).otherwise(chains)
-    # A text without words has one, itself.
-    chains = F.when(F.size(own) == 0, F.array(text)).otherwise(chains)
+    mark = lambda w: F.when(is_anchor(w), F.concat(F.lit(MARK), w)).otherwise(w)
+    # From each word on: an anchor and up to CHAIN content words, with the anchors between them; or CHAIN + 1 content words.
+    between = rf"(?: {MARK}[^ ]++){{0,{SKIPPED}}}+ [^{MARK} ][^ ]*+"
+    spot = rf"(?=({MARK}[^ ]++(?:{between}){{1,{CHAIN}}}+|[^{MARK} ][^ ]*+(?: [^{MARK} ][^ ]*+){{{CHAIN}}}|))[^ ]++ ?"
+    passed = f" {MARK}"
+    without = lambda c: F.when(F.contains(c, F.lit(passed)), F.regexp_replace(c, rf"{passed}[^ ]++", "")).otherwise(c)
+    rows = rows.withColumn("_words", words(F.col(text)))
+    rows = rows.withColumn("_marked", F.array_join(F.transform("_words", mark), " "))
+    found = F.array_remove(F.array_distinct(F.regexp_extract_all("_marked", F.lit(spot), F.lit(1))), "")
+    rows = rows.withColumn("_chains", F.array_distinct(F.transform(found, without)))
+    chains = (F.when(F.size("_words") == 0, F.array(F.col(text)))  # a text without words has one, itself
+              .when(F.size("_chains") < FEW, F.concat("_chains", "_words")).otherwise(F.col("_chains")))
     hashed = F.transform(chains, lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.array_sort(F.array_distinct(hashed))
+    return rows.withColumn(name, F.sort_array(F.array_distinct(hashed))).drop("_words", "_marked", "_chains")
 
 
 def as_text(found: Column) -> Column:
@@ -108,10 +113,10 @@ def range_of(key: Column, firsts: Column, n: int) -> Column:
 def with_next(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
     """``rows`` with ``next_<column>`` of the row with the next ``key`` (of the first one, for the last).
 
-    ``keys`` are the keys alone, whose ranges give the splitters: one for each shuffle partition.
+    ``keys`` are the keys alone, whose ranges give the splitters: as many as shuffle partitions, more if a range would
+    have over ``ROWS_PER_RANGE`` rows.
     """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // ROWS_PER_RANGE))
     ranged = keys.select("key.*").repartitionByRange(n, *[F.col(f) for f in keys.schema["key"].dataType.names])
     found = ranged.groupBy(F.spark_partition_id().alias("_p")).agg(F.min(F.struct("*")).alias("first")).select("first").orderBy("first").collect()
     kind = keys.schema["key"].dataType
@@ -126,7 +131,8 @@ def with_next(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame
     place = lambda at, is_next: F.struct(at.cast("int").alias("range"), F.lit(is_next).alias("is_next"))
     sent = own.withColumn("_place", F.explode(F.when(first, F.array(place(F.col("_range"), False), place(before, True))).otherwise(
         F.array(place(F.col("_range"), False)))))
-    order = Window.partitionBy("_place.range").orderBy("_place.is_next", "key")
+    sent = sent.withColumn("_range", F.col("_place.range")).repartition(n, "_range")
+    order = Window.partitionBy("_range").orderBy("_place.is_next", "key")
     led = sent.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
     return led.filter(~F.col("_place.is_next")).drop("_range", "_place")
 
@@ -140,12 +146,12 @@ def fingerprints(source: DataFrame, anchors: list[str], least: float = LEAST) ->
     key = F.struct(doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.col("at.file").alias("file"), F.col("at.row").alias("row"))
     keys = source.select(key.alias("key"))
     rows = source.select(key.alias("key"), F.coalesce("doc.text", F.lit("")).alias("text"))
-    rows = rows.withColumn("sigs", signatures(F.col("text"), anchors))
+    rows = with_signatures(rows, "text", "sigs", anchors)
     led = with_next(rows, keys, ["text", "sigs"]).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = led.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars AS int) - cast(floor(n_chars / 4) AS int))"),
                                                F.left(F.col("next_text"), cut)))
-    edited = edited.withColumn("edited_sigs", signatures(F.col("edited"), anchors))
+    edited = with_signatures(edited, "edited", "edited_sigs", anchors)
     return edited.select(
         F.when(~F.col("key.no_id"), F.col("key.id")).alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("sigs")).alias("fingerprint"), as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
