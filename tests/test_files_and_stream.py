@@ -1,4 +1,6 @@
+import collections
 import datetime as dt
+import math
 import os
 import tempfile
 
@@ -121,7 +123,7 @@ def test_stream_equals_batch_in_any_split(spark):
         paths = rs.ReviewStreamPaths.under(spark)
         rs.stream_reviews(spark, src, cards, paths, files_per_batch=files, compact_every=every).awaitTermination()
         assert sorted(rs.current_state(spark, paths).collect()) == batch
-        assert sorted(r[:3] for r in rs.history(spark, paths).select(*REVIEW.fieldNames()).collect()) == sorted(rows)
+        assert sorted(r[:3] for r in rs.history(spark, paths, every).select(*REVIEW.fieldNames()).collect()) == sorted(rows)
         due.append(sorted(rs.stream_due(spark, paths).collect()))
         assert all(r.due_at < r.as_of for r in due[-1])
     assert due[0] == due[1]  # compaction changes where state is read from, never the answer
@@ -161,7 +163,7 @@ def test_state_does_not_grow_with_a_run(spark):
     rows = [(1, hours(h), True) for h in range(40)]
     paths = run_batches(spark, [rows[:20], rows[20:]], cards_of(spark, [1]))
     state = spark.read.parquet(paths.state)
-    assert state.count() == 2 and all("array" not in t for _, t in state.dtypes)
+    assert state.count() == 2 and all(len(r.reported) <= 1 for r in state.collect())
     assert rs.current_state(spark, paths).first().streak == 40
 
 
@@ -171,3 +173,87 @@ def test_a_repeated_batch_changes_nothing(spark):
     before = [sorted(x.collect(), key=str) for x in (rs.current_state(spark, paths), rs.history(spark, paths), rs.stream_due(spark, paths))]
     rs._apply(spark, paths, 8, spark.createDataFrame([(1, hours(0), False)], REVIEW), 1)
     assert before == [sorted(x.collect(), key=str) for x in (rs.current_state(spark, paths), rs.history(spark, paths), rs.stream_due(spark, paths))]
+
+
+def test_runs_are_the_digits_of_the_batch_id():
+    for every in (2, 3, 8):
+        for upto in range(200):
+            runs = rs._runs(upto, every)
+            assert [f for f, _ in runs] + [upto] == [0] * bool(runs) + [f + n for f, n in runs] + [upto] * (not runs)
+            assert len(runs) <= (every - 1) * max(1, math.ceil(math.log(upto + 1, every)))
+
+
+def test_forty_batches_read_no_more_than_ten(spark, monkeypatch):
+    """Folders read in a batch, with a late answer in each; the result is that of a batch job."""
+    every, read = 3, []
+    real = rs._read_folders
+
+    def counted(session, root, schema, names):
+        read.extend((root.rsplit("/", 1)[1], n) for n in names)
+        return real(session, root, schema, names)
+
+    monkeypatch.setattr(rs, "_read_folders", counted)
+    monkeypatch.setattr(rs, "BUCKETS", 4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    paths, per_batch, rows = rs.ReviewStreamPaths.under(spark), [], []
+    cards = cards_of(spark, range(4))
+    rs._write_snapshot(rs._stored(cards), paths, -1)
+    for k in range(40):
+        new = [(k % 3, hours(5 * k), k % 4 != 0)] + ([(k % 3, hours(5 * (k - 3) + 1), k % 5 != 0)] if k >= 3 else [])
+        rows += new
+        del read[:]
+        rs._apply(spark, paths, every, spark.createDataFrame(new, REVIEW), k)
+        per_batch.append(collections.Counter(root for root, _ in read))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    peak = lambda root, batches: max(per_batch[k][root] for k in batches)
+    for root in ("state", "snapshot", "due"):
+        assert peak(root, range(24, 40)) <= peak(root, range(3, 10))
+    assert peak("history", range(40)) <= 1 + 6 * 3 and max(p["due"] for p in per_batch) == 1
+    assert len(rs._batches(spark, paths.state)) <= 2 * every and len(rs._batches(spark, paths.snapshot)) <= 3
+    want = sc.schedule_state(spark.createDataFrame(rows, REVIEW), cards.where("id < 3")).select(*rs.STATE_COLS)
+    assert sorted(rs.current_state(spark, paths).collect()) == sorted(want.collect())
+    assert rs.history(spark, paths, every).count() == len(set(r[:2] for r in rows))
+    assert len(os.listdir(paths.history.replace("file:", ""))) <= len(rs._runs(40, every)) + 2 * every
+
+
+def _partition_filters(df):
+    plan = df._jdf.queryExecution().toString()
+    return [line for line in plan.splitlines() if "FileScan" in line]
+
+
+def test_late_answers_read_only_their_buckets(spark):
+    paths = run_batches(spark, [[(c, hours(c), True) for c in range(50)]], cards_of(spark, range(50)))
+    rows = rs._history(spark, paths, [(0, 1)], [3, 5])
+    scan = _partition_filters(rows)
+    assert scan and all("PartitionFilters: [bucket" in line and "IN (3,5)" in line for line in scan)
+    assert {r[0] for r in rows.select(rs._bucket().alias("b")).collect()} <= {3, 5}
+
+
+def test_the_due_window_reads_only_its_days(spark):
+    state = rs._stored(cards_of(spark, range(40))).withColumn(
+        "due_at", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(card_id * 20 AS int))"))
+    paths = rs.ReviewStreamPaths.under(spark)
+    rs._write_snapshot(state, paths, 7, as_of=T0 + dt.timedelta(days=50))
+    snapshot = rs._read(spark, paths.snapshot, rs.SNAPSHOT, [7])
+    for since, end in ((50, 51), (60, 101), (100, 700), (450, 470)):
+        window = rs._due_between(snapshot, T0 + dt.timedelta(days=since), T0 + dt.timedelta(days=end))
+        assert sorted(r.card_id for r in window.collect()) == [c for c in range(40) if since <= 20 * c < end]
+        assert all("PartitionFilters: [" in line and "due_day" in line.split("PartitionFilters")[1] for line in _partition_filters(window))
+    days = {r[0] for r in snapshot.select("due_day").distinct().collect()}
+    assert rs.ALREADY_DUE in days and rs.LATER in days and len(days) < 25
+
+
+def test_a_due_time_that_comes_back_is_not_reported_again(spark):
+    """Two late answers move the due time away and back to one that was reported before."""
+    first = [(1, hours(h), True) for h in (10, 20, 30)] + [(9, hours(2000), True)]     # 43200 * 8
+    away = [(1, hours(15), True)]                                                      # 43200 * 16
+    back = [(1, hours(5), False), (1, hours(1), True)]                                 # 21600 * 16 = 43200 * 8
+    paths = run_batches(spark, [first, away, back], cards_of(spark, (1, 9)), compact_every=2)
+    got = [(r.batch_id, r.due_at) for r in rs.stream_due(spark, paths).collect() if r.card_id == 1]
+    assert sorted(got) == [(0, hours(30 + 96)), (1, hours(30 + 192))]
+
+
+def test_a_stream_without_batches_has_no_state(spark):
+    paths = rs.ReviewStreamPaths.under(spark)
+    assert rs.current_state(spark, paths).collect() == [] and rs.history(spark, paths).collect() == []
