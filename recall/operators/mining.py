@@ -7,11 +7,13 @@ length bounds) so only short candidate sentences are exploded and joined.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall.functions.text import word_normalise
 from recall.operators.vocab import articles_of
+from recall.session import shared_dir
+from recall.sources.tables import materialize
 
 # --- fixed values: greetings a generated sentence must not start with ---
 GREETINGS = ["hola", "hello", "bonjour", "hallo"]
@@ -80,6 +82,67 @@ def next_words(sentences: DataFrame, k: int = 50) -> DataFrame:
     return counts.orderBy(F.desc("n_sentences"), "lang", "new_word").limit(k)
 
 
+EXPANSION_BUCKETS = 64
+
+
+def expansion_plan(docs: DataFrame, words: DataFrame, steps: int, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
+    """The order in which to learn new words: (lang, step, word, n_unlocked, n_readable).
+
+    Every step learns, in each language, the word that makes the most further sentences readable (all their words
+    known); of equal ones the first by spelling. Words learnt before count as known, so a sentence with three unknown words
+    can be unlocked by the third. Articles are never learnt. A language ends early when no single word unlocks a
+    sentence. Sentences are those that ``new_word_sentences`` may choose; ``n_readable`` is the running sum of ``n_unlocked``.
+
+    An inverted index, partitioned by a hash of (lang, word), gives each unknown word its sentences with their
+    unknown words. The words' counts are made once; a step reads the index of the chosen words alone, and
+    adds one to the last unknown word of each sentence that now lacks one. As counts of words not yet learnt only rise, a
+    step's best word is among the first ``steps`` of the first counts or has been raised since. The
+    driver holds the words learnt: one per language and step.
+    """
+    spark = docs.sparkSession
+    s = sentence_lines(docs).select("doc_id", "lang", "line_no", "words").where(
+        F.col("lang").isNotNull() & F.size("words").between(min_words, max_words)
+        & ~F.coalesce(F.get("words", 0).isin(*GREETINGS), F.lit(False)))
+    each = s.select("doc_id", "lang", "line_no", F.explode("words").alias("word"))
+    unknown = each.join(words.select("lang", "word").distinct(), ["lang", "word"], "left_anti")
+    # A sentence has at most max_words unknown words; those with more than steps cannot be unlocked.
+    sentences = unknown.groupBy("lang", "doc_id", "line_no").agg(F.sort_array(F.collect_list("word")).alias("unknown")).where(
+        F.size("unknown") <= steps)
+    bucket = lambda word: F.pmod(F.xxhash64("lang", word), F.lit(EXPANSION_BUCKETS)).cast("int")
+    path = shared_dir(spark, "work", "unknown_word_index")
+    sentences.select("lang", F.explode("unknown").alias("word"), "unknown").withColumn("bucket", bucket("word")).hint(
+        "rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+    index = spark.read.schema("lang string, word string, unknown array<string>, bucket int").parquet(path)
+    learnable = ~F.array_contains(articles_of(F.col("lang")), F.col("word"))
+    order = [F.desc("n"), F.asc("word")]
+    first = materialize(index.where(F.size("unknown") == 1).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).where(learnable), "first_counts")
+    top = materialize(first.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_r") <= steps).drop("_r"), "first_best")
+    learnt, plan, raised = {}, [], None
+    for step in range(1, steps + 1):
+        known = spark.createDataFrame([(lang, w) for lang, ws in learnt.items() for w in ws], "lang string, word string")
+        counts = top
+        if raised is not None:
+            again = raised.select("lang", "word").distinct()
+            counts = top.unionByName(first.join(again, ["lang", "word"], "left_semi")).distinct().unionByName(raised)
+        counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).join(F.broadcast(known), ["lang", "word"], "left_anti")
+        best = counts.groupBy("lang").agg(F.min(F.struct((-F.col("n")).alias("n"), "word")).alias("b")).collect()
+        if not best:
+            break
+        for r in best:
+            plan.append((r["lang"], step, r["b"]["word"], -r["b"]["n"]))
+            learnt.setdefault(r["lang"], []).append(r["b"]["word"])
+        # The sentences of the words just learnt, and what they still lack.
+        chosen = spark.createDataFrame([(r["lang"], r["b"]["word"]) for r in best], "lang string, word string")
+        buckets = [x[0] for x in chosen.select(bucket("word")).distinct().collect()]
+        now = F.broadcast(spark.createDataFrame(list(learnt.items()), "lang string, _learnt array<string>"))
+        touched = index.where(F.col("bucket").isin(buckets)).join(F.broadcast(chosen), ["lang", "word"], "left_semi").join(now, "lang")
+        lacking = touched.select("lang", F.array_except("unknown", "_learnt").alias("_rest")).where(F.size("_rest") == 1)
+        more = lacking.select("lang", F.get("_rest", 0).alias("word")).where(learnable).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+        raised = materialize(more if raised is None else raised.unionByName(more).groupBy("lang", "word").agg(F.sum("n").alias("n")), "raised_counts")
+    out = spark.createDataFrame(plan, "lang string, step int, word string, n_unlocked long")
+    return out.withColumn("n_readable", F.sum("n_unlocked").over(Window.partitionBy("lang").orderBy("step")))
+
+
 def doc_word_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, word, n): occurrences of each normalised word in each document.
 

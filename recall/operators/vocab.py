@@ -32,6 +32,11 @@ def articles_of(lang_col) -> F.Column:
     return F.coalesce(F.element_at(m, lang_col), F.array().cast("array<string>"))
 
 
+# --- fixed values: languages that write common nouns with a capital, where it tells nothing about names ---
+CAPITALISED_NOUNS = ["de"]
+SENTENCE_END = r"[.!?:…][^\p{L}]*$"
+CAPITAL = r"^[^\p{L}]*\p{Lu}"
+
 ARRIVAL_DIGITS = (19, 10, 9)  # of up to three whole numbers, most significant first
 
 
@@ -101,18 +106,55 @@ def word_lookup_fallback(tokens: DataFrame, words: DataFrame, dictionary: DataFr
                     by.alias("resolved_by"))
 
 
+def cards_by_language(cards: DataFrame, tags: DataFrame) -> DataFrame:
+    """(lang, answer) of the cards tagged with a language name."""
+    lang_tags = tags.where(F.col("tag").isin(*LANGUAGE_CODES)).select(
+        F.col("card_id").alias("id"), language_code(F.col("tag")).alias("lang"))
+    return cards.select("id", "answer").join(lang_tags, "id", "inner").select("lang", "answer")
+
+
+def word_case_counts(texts: DataFrame, text: str = "answer") -> DataFrame:
+    """(lang, word, n_capital, n_lower): how often a word stands inside a sentence with and without a capital.
+
+    The first word of a line, and one after a word that ends a sentence, are left out: any word has a capital
+    there. Counts of parts of the texts add up (``merge_case_counts``).
+    """
+    lines = texts.select("lang", F.explode(F.split(text, "\n", -1)).alias("_line"))
+    tokens = lines.select("lang", F.filter(F.split("_line", " ", -1), lambda t: t.rlike(r"\p{L}")).alias("_t"))
+    inside = F.filter(F.transform("_t", lambda t, i: F.when(
+        (i > 0) & ~F.get("_t", i - 1).rlike(SENTENCE_END), t)), lambda t: t.isNotNull())
+    each = tokens.select("lang", F.explode(inside).alias("_token")).select(
+        "lang", word_normalise("_token").alias("word"), F.col("_token").rlike(CAPITAL).alias("_capital"))
+    return each.groupBy("lang", "word").agg(
+        F.count(F.when(F.col("_capital"), 1)).alias("n_capital"), F.count(F.when(~F.col("_capital"), 1)).alias("n_lower"))
+
+
+def merge_case_counts(*parts: DataFrame) -> DataFrame:
+    """The counts of all texts from those of their parts, e.g. a stored table and a day's new cards."""
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("lang", "word").agg(F.sum("n_capital").alias("n_capital"), F.sum("n_lower").alias("n_lower"))
+
+
+def likely_names(counts: DataFrame, least: int = 3, percent: int = 80) -> DataFrame:
+    """(lang, word) of names and places: ``least`` times or more with a capital inside a sentence, and ``percent`` of the time.
+
+    No word of a language that writes all nouns with a capital is taken for a name.
+    """
+    n, all_ = F.col("n_capital"), F.col("n_capital") + F.col("n_lower")
+    return counts.where(~F.col("lang").isin(*CAPITALISED_NOUNS) & (n >= least) & (100 * n >= percent * all_)).select("lang", "word")
+
+
 def words_from_cards(cards: DataFrame, tags: DataFrame, words: DataFrame, created_at,
                      exclude: DataFrame | None = None) -> DataFrame:
     """Add the words of each language's cards to its vocabulary (empty translation).
 
     Cards tagged with a language name feed that language. Words are the
-    normalised tokens of the answers minus articles (and minus ``exclude``,
-    e.g. a table of names); existing words keep their row.
+    normalised tokens of the answers minus articles and minus ``exclude``
+    (e.g. ``likely_names`` of the cards); existing words keep their row.
     """
-    lang_tags = tags.where(F.col("tag").isin(*LANGUAGE_CODES)).select(
-        F.col("card_id").alias("id"), language_code(F.col("tag")).alias("lang"))
-    per_lang = cards.select("id", "answer").join(lang_tags, "id", "inner")
-    toks = per_lang.select("lang", F.explode(F.split("answer", "[ \n]", -1)).alias("t"))
+    toks = cards_by_language(cards, tags).select("lang", F.explode(F.split("answer", "[ \n]", -1)).alias("t"))
     extracted = toks.select("lang", word_normalise("t").alias("word")).where(F.col("word") != F.lit(""))
     extracted = extracted.where(~F.array_contains(articles_of(F.col("lang")), F.col("word"))).distinct()
     if exclude is not None:

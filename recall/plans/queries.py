@@ -36,6 +36,7 @@ CARD_BY_ID = 42
 TAG = "spanish"
 WORDS_LANG = "es"
 NEXT_WORDS_K = 50
+EXPANSION_STEPS = 6
 
 
 def query(name: str, sql: str | None):
@@ -450,6 +451,36 @@ def q_words_from_cards(spark, sf):
     return vo.words_from_cards(tb.spread(fx.cards(spark, sf), "id"), fx.flashcard_tags(spark, sf), fx.words(spark, sf), as_of())
 
 
+def _without_names_sql() -> str:
+    names = ", ".join(f"'{k}'" for k in tx.LANGUAGE_CODES)
+    return f"""
+    , lines AS (
+      SELECT lang, list_filter(string_split(line, ' '), lambda x: regexp_matches(x, '\\p{{L}}')) AS l FROM (
+        SELECT {lang_code_sql('t.tag')} AS lang, unnest(string_split(c.answer, chr(10))) AS line
+        FROM cards c JOIN flashcard_tags t ON c.id = t.card_id WHERE t.tag IN ({names})))
+    , inside AS (
+      SELECT lang, l[i] AS token FROM (SELECT lang, l, unnest(range(2, len(l) + 1)) AS i FROM lines)
+      WHERE NOT regexp_matches(l[i - 1], '[.!?:…][^\\p{{L}}]*$'))
+    , names AS (
+      SELECT lang, {norm('token')} AS word, count(*) FILTER (regexp_matches(token, '^[^\\p{{L}}]*\\p{{Lu}}')) AS upper, count(*) AS n
+      FROM inside GROUP BY 1, 2)
+    SELECT f.* FROM ({{body}}) f
+    WHERE NOT (translation IS NOT NULL AND translation = '' AND created_at = {AS_OF} AND EXISTS (
+      SELECT 1 FROM names x WHERE x.lang = f.lang AND x.word = f.word AND x.lang <> 'de' AND upper >= 3 AND 100 * upper >= 80 * n))"""
+
+
+def _words_without_names_sql() -> str:
+    ctes, body = _words_from_cards_sql().split("    SELECT lang, word, translation, created_at FROM words", 1)
+    return ctes + _without_names_sql().replace("{body}", "SELECT lang, word, translation, created_at FROM words" + body)
+
+
+@query("words_from_cards_no_names", with_ctes(["cards", "flashcard_tags", "words"], _words_without_names_sql()))
+def q_words_from_cards_no_names(spark, sf):
+    cards, tags = tb.spread(fx.cards(spark, sf), "id"), fx.flashcard_tags(spark, sf)
+    names = vo.likely_names(vo.word_case_counts(vo.cards_by_language(cards, tags)))
+    return vo.words_from_cards(cards, tags, fx.words(spark, sf), as_of(), exclude=names)
+
+
 # --- 2.6 windows, ordering --------------------------------------------------------------------
 
 
@@ -689,3 +720,36 @@ def q_new_word_sentences(spark, sf):
     ORDER BY n_sentences DESC, lang, new_word LIMIT {NEXT_WORDS_K}"""))
 def q_next_words(spark, sf):
     return mi.next_words(_mined(spark, sf), NEXT_WORDS_K)
+
+
+def _expansion_sql(steps: int) -> str:
+    """The greedy choice, step by step; ``learnt`` holds each language's words so far."""
+    ctes = [f"""
+    , lacking AS MATERIALIZED (
+      SELECT lang, list(word) AS unknown FROM (
+        SELECT e.* FROM (SELECT doc_id, lang, line_no, unnest(words) AS word FROM sentence_lines
+                         WHERE len(words) BETWEEN 3 AND 12 AND NOT list_contains(['hola', 'hello', 'bonjour', 'hallo'], words[1])) e
+        LEFT JOIN words w ON e.lang = w.lang AND e.word = w.word WHERE w.word IS NULL)
+      GROUP BY lang, doc_id, line_no)
+    , learnt0 AS MATERIALIZED (SELECT DISTINCT lang, []::VARCHAR[] AS known FROM lacking)"""]
+    for i in range(1, steps + 1):
+        ctes.append(f"""
+    , pick{i} AS MATERIALIZED (
+      SELECT lang, word, count(*) AS n FROM (
+        SELECT lang, list_filter(unknown, lambda x: NOT list_contains(known, x)) AS rest FROM lacking JOIN learnt{i - 1} USING (lang)),
+        LATERAL (SELECT rest[1] AS word) t
+      WHERE len(rest) = 1 AND NOT list_contains({articles_sql('lang')}, word) GROUP BY lang, word
+      QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) = 1)
+    , learnt{i} AS MATERIALIZED (
+      SELECT l.lang, CASE WHEN p.word IS NULL THEN known ELSE list_append(known, p.word) END AS known
+      FROM learnt{i - 1} l LEFT JOIN pick{i} p USING (lang))""")
+    picks = " UNION ALL ".join(f"SELECT lang, {i} AS step, word, n FROM pick{i}" for i in range(1, steps + 1))
+    return "".join(ctes) + f"""
+    SELECT lang, CAST(step AS INTEGER) AS step, word, n AS n_unlocked,
+           CAST(sum(n) OVER (PARTITION BY lang ORDER BY step) AS BIGINT) AS n_readable FROM ({picks}) p"""
+
+
+@query("next_words_plan", with_ctes(["sentence_lines", "words"], _expansion_sql(EXPANSION_STEPS)))
+def q_next_words_plan(spark, sf):
+    docs = fx.documents(spark, sf)
+    return mi.expansion_plan(docs, tb.materialize(fx.words(spark, sf), "vocabulary"), EXPANSION_STEPS)
