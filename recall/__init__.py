@@ -18,7 +18,7 @@ from recall.operators.cards import (  # noqa: E402,F401
 )
 from recall.operators.maintenance import cards_add, cards_update  # noqa: E402,F401
 from recall.operators.mining import (  # noqa: E402,F401
-    new_word_sentences, next_words, story_tokens, vocabulary_coverage,
+    expansion_plan, new_word_sentences, next_words, story_tokens, vocabulary_coverage,
 )
 from recall.operators.ordering import rank_within  # noqa: E402,F401
 from recall.operators.schedule import (  # noqa: E402,F401
@@ -26,5 +26,5 @@ from recall.operators.schedule import (  # noqa: E402,F401
 )
 from recall.operators.stats import avg_reviews_per_month, sentences_corpus, word_count  # noqa: E402,F401
 from recall.operators.vocab import (  # noqa: E402,F401
-    word_lookup, word_lookup_fallback, words_add_new, words_delete, words_from_cards, words_update,
+    likely_names, merge_case_counts, word_case_counts, word_lookup, word_lookup_fallback, words_add_new, words_delete, words_from_cards, words_update,
 )

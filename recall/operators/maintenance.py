@@ -16,10 +16,14 @@ from recall.schema import CARD_COLUMNS, CONTENT_COLUMNS
 def last_edits(edits: DataFrame, keys: list[str], order: list[str] | None) -> DataFrame:
     """One edit per key: the last by ``order``, as sequential updates would leave it.
 
-    Without ``order`` a key may only be repeated by equal rows.
+    Without ``order`` a key may only be repeated by equal rows: two different edits of a key fail the job.
     """
     if order is None:
-        return edits.dropDuplicates()
+        values = F.struct(*[c for c in edits.columns if c not in keys])
+        one = edits.groupBy(*keys).agg(F.min(values).alias("_v"), F.max(values).alias("_w"))
+        clash = F.raise_error(F.concat(F.lit("different edits of one key and no order: "), F.to_json(F.struct(*keys))))
+        checked = one.withColumn("_v", F.when(F.col("_v").eqNullSafe(F.col("_w")), F.col("_v")).otherwise(clash))
+        return checked.select(*keys, "_v.*")
     values = [c for c in edits.columns if c not in keys and c not in order]
     last = edits.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v"))
     return last.select(*keys, "_v.*")

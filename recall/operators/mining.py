@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall.functions.text import word_normalise
-from recall.operators.vocab import articles_of
+from recall.operators.vocab import arrival_order, articles_of
 from recall.session import shared_dir
 from recall.sources.tables import materialize
 
@@ -33,6 +33,15 @@ def story_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return toks.where(F.col("token") != F.lit(""))
 
 
+def first_tokens(tokens: DataFrame) -> DataFrame:
+    """(lang, token, first): the distinct tokens of each language and the earliest place of each, as one number.
+
+    Rules about words then run on these rows, not on every token of the corpus.
+    """
+    place = arrival_order(["doc_id", "line_no", "word_no"])
+    return tokens.groupBy("lang", "token").agg(F.min(place).alias("first"))
+
+
 def _line_words(line) -> F.Column:
     """Distinct normalised words of a line in first-seen order."""
     normed = F.transform(F.split(line, " ", -1), word_normalise)

@@ -40,7 +40,7 @@ CAPITAL = r"^[^\p{L}]*\p{Lu}"
 ARRIVAL_DIGITS = (19, 10, 9)  # of up to three whole numbers, most significant first
 
 
-def _arrival_order(arrival: list[str]) -> F.Column:
+def arrival_order(arrival: list[str]) -> F.Column:
     """Up to three non-negative whole numbers as one decimal with the same order (a fixed-width aggregate buffer)."""
     if len(arrival) > len(ARRIVAL_DIGITS):
         raise ValueError("at most three arrival columns")
@@ -54,19 +54,17 @@ def words_add_new(words: DataFrame, new_rows: DataFrame, arrival: list[str] | No
     """Insert-if-absent: a stored row wins, else one new row of the key.
 
     With ``arrival`` (up to three non-negative whole numbers that identify a new row) it is
-    the earliest: new rows are reduced to each key's smallest arrival by a hash aggregate, stored keys
-    are taken out, and only the winners' translations are fetched by a join on the
-    arrival. Without it, it is the row with the smallest translation.
+    the earliest: rows with one translation become one by a hash aggregate, then the few translations
+    of a key. Without it, it is the row with the smallest translation.
     """
     stored = words.select("lang", "word", "translation", "created_at")
     if arrival is None:
         fresh = new_rows.groupBy("lang", "word").agg(F.min("translation").alias("translation"))
-        fresh = fresh.join(words.select("lang", "word"), ["lang", "word"], "left_anti")
     else:
-        rows = new_rows.select("lang", "word", "translation", _arrival_order(arrival).alias("_arrival"))
-        first = rows.groupBy("lang", "word").agg(F.min("_arrival").alias("_arrival"))
-        first = first.join(words.select("lang", "word"), ["lang", "word"], "left_anti")
-        fresh = rows.join(first, ["lang", "word", "_arrival"]).select("lang", "word", "translation")
+        rows = new_rows.groupBy("lang", "word", "translation").agg(F.min(arrival_order(arrival)).alias("_arrival"))
+        first = rows.groupBy("lang", "word").agg(F.min(F.struct("_arrival", "translation")).alias("_first"))
+        fresh = first.select("lang", "word", F.col("_first.translation").alias("translation"))
+    fresh = fresh.join(words.select("lang", "word"), ["lang", "word"], "left_anti")
     return stored.unionByName(fresh.select("lang", "word", "translation", created_at.alias("created_at")))
 
 
@@ -154,7 +152,8 @@ def words_from_cards(cards: DataFrame, tags: DataFrame, words: DataFrame, create
     normalised tokens of the answers minus articles and minus ``exclude``
     (e.g. ``likely_names`` of the cards); existing words keep their row.
     """
-    toks = cards_by_language(cards, tags).select("lang", F.explode(F.split("answer", "[ \n]", -1)).alias("t"))
+    # Most tokens repeat: only distinct ones are normalised.
+    toks = cards_by_language(cards, tags).select("lang", F.explode(F.split("answer", "[ \n]", -1)).alias("t")).distinct()
     extracted = toks.select("lang", word_normalise("t").alias("word")).where(F.col("word") != F.lit(""))
     extracted = extracted.where(~F.array_contains(articles_of(F.col("lang")), F.col("word"))).distinct()
     if exclude is not None:

@@ -28,6 +28,7 @@ from recall.plans.oracle import (
 from recall.session import shared_dir
 from recall.sources import fixtures as fx
 from recall.sources import tables as tb
+from recall.sources.bucket_store import CardStore, WordStore
 from recall.schema import DRAFT_SOURCE
 
 QUERIES: dict[str, tuple] = {}
@@ -37,6 +38,7 @@ TAG = "spanish"
 WORDS_LANG = "es"
 NEXT_WORDS_K = 50
 EXPANSION_STEPS = 6
+STORE_BUCKETS = 16
 
 
 def query(name: str, sql: str | None):
@@ -394,10 +396,10 @@ def _new_word_rows_sql() -> str:
     SELECT n.lang, n.word, n.translation, {AS_OF} AS created_at FROM ({_new_word_rows_sql()}) n
     WHERE NOT EXISTS (SELECT 1 FROM words w WHERE w.lang = n.lang AND w.word = n.word)"""))
 def q_words_add_new(spark, sf):
-    toks = mi.story_tokens(fx.documents(spark, sf))
-    rows = toks.select("lang", tx.word_normalise("token").alias("word"), tx.unicode_trim("token").alias("translation"),
-                       "doc_id", "line_no", "word_no").where(F.col("word") != F.lit(""))
-    return vo.words_add_new(fx.words(spark, sf), rows, ["doc_id", "line_no", "word_no"], as_of())
+    toks = mi.first_tokens(mi.story_tokens(fx.documents(spark, sf)))
+    rows = toks.select("lang", tx.word_normalise("token").alias("word"), tx.unicode_trim("token").alias("translation"), "first").where(
+        F.col("word") != F.lit(""))
+    return vo.words_add_new(fx.words(spark, sf), rows, ["first"], as_of())
 
 
 @query("words_update", with_ctes(["words", "dictionary"], """
@@ -481,6 +483,48 @@ def q_words_from_cards_no_names(spark, sf):
     return vo.words_from_cards(cards, tags, fx.words(spark, sf), as_of(), exclude=names)
 
 
+# --- the same jobs on tables in hash buckets: one folder read, or only touched folders rewritten
+
+
+def _card_store(spark, sf) -> CardStore:
+    store = CardStore(shared_dir(spark, "card_store"), buckets=STORE_BUCKETS)
+    store.save(fx.cards(spark, sf), fx.flashcard_tags(spark, sf))
+    return store
+
+
+def _word_store(spark, sf, stats) -> WordStore:
+    store = WordStore(shared_dir(spark, "word_store"), buckets=STORE_BUCKETS)
+    store.save(fx.words(spark, sf, stats))
+    return store
+
+
+@query("card_by_id_stored", QUERIES["card_by_id"][1])
+def q_card_by_id_stored(spark, sf):
+    return joined_tags(_card_store(spark, sf).card_by_id(spark, CARD_BY_ID))
+
+
+@query("cards_update_stored", QUERIES["cards_update"][1])
+def q_cards_update_stored(spark, sf):
+    store = _card_store(spark, sf)
+    store.update(fx.card_edits(spark, sf), ["edit_no"])
+    return joined_tags(co.cards_all(store.cards.read(spark).drop("bucket"), store.tags.read(spark).drop("bucket")))
+
+
+@query("words_update_stored", QUERIES["words_update"][1])
+def q_words_update_stored(spark, sf):
+    stats = fx.word_stats(spark, sf)
+    store = _word_store(spark, sf, stats)
+    store.update(fx.word_edits(spark, sf, stats), ["edit_no"])
+    return store.all(spark)
+
+
+@query("words_delete_stored", QUERIES["words_delete"][1])
+def q_words_delete_stored(spark, sf):
+    store = _word_store(spark, sf, fx.word_stats(spark, sf))
+    store.delete(_benchmark_words(spark, sf))
+    return store.all(spark)
+
+
 # --- 2.6 windows, ordering --------------------------------------------------------------------
 
 
