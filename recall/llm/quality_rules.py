@@ -5,14 +5,16 @@ a line seen before, and so on) give it a score, neighbouring labels a transition
 decoding finds the best labelling of the whole text. The share of characters in
 content lines decides: a document with less than ``CONTENT_SHARE`` of them goes.
 
-The weights are fitted by maximum likelihood (forward-backward) on all lines of at most
-``SAMPLE`` labelled documents outside fold 0, drawn by a hash of the id; a document's quality label counts for all
-its lines. Only line features reach the driver, two bytes a line, never texts; the fit works on ``GROUP_LINES`` lines
-at a time (or one text that is longer).
+The weights are fitted by maximum likelihood (forward-backward) on the lines of at most ``SAMPLE`` labelled documents
+outside fold 0, drawn by a hash of the id: as many whole ones, in the hashes' order, as have ``SAMPLE_LINES`` lines together. A
+document's quality label counts for all its lines. As labelled documents are all content or all boilerplate, the switches between
+the two are learnt from mixtures: into every other good document a run of lines of a bad one is
+spliced, at its beginning, end or anywhere between. Only line features reach the driver, two bytes a line, never texts.
 
 Defined cases: a null text has no words and fails the base rules, as does any text under ten words;
 without labelled rows all lines are content; ids and labels that are null are not learnt from; repeated rows
-are judged alike; an empty table gives an empty result; further columns are carried along.
+are judged alike; of several texts of a sampled id the smallest is learnt from; an empty table gives an empty result; further
+columns, whatever their names, are carried along. Very long texts: all lines of one text are held at once, none is left out.
 """
 
 from __future__ import annotations
@@ -22,13 +24,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recall.llm.rows import label_sample
+from recall.llm.rows import label_sample, written
 
 SAMPLE = 4000
+SAMPLE_LINES = 1 << 20
 GROUP_LINES = 1 << 20
+PIECE_LINES = 1024  # a longer text is fitted in pieces: all its lines, without the steps between the pieces
+SEED = 11
 CONTENT_SHARE = 0.5
 STEPS = 150
 RATE = 0.2
@@ -149,24 +154,51 @@ def line_codes(features: np.ndarray) -> np.ndarray:
 CODES = 1 << 16  # len(FEATURES) bits
 
 
-def groups_of(texts: list[np.ndarray], y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def groups_of(texts: list[np.ndarray], y) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Texts (line codes), longest first, in groups of about ``GROUP_LINES`` lines: (codes, ends, labels).
 
-    A group's codes are all first lines, then all second lines, and so on; position ``p`` is
-    ``codes[ends[p]:ends[p + 1]]``, the first so many of the group's texts, so nothing is padded.
+    ``y``: each text's label, or its lines' labels. A group's codes and labels are all first lines, then all second lines, and so on;
+    position ``p`` is ``codes[ends[p]:ends[p + 1]]``, the first so many of the group's texts, so nothing is padded.
     """
+    lines = [np.broadcast_to(label, len(t)).astype(bool) for label, t in zip(y, texts)]
     order = np.argsort([-len(t) for t in texts], kind="stable")
     lengths = np.array([len(texts[i]) for i in order])
     number = (np.cumsum(lengths) - lengths) // GROUP_LINES
     out = []
     for own in np.split(np.arange(len(order)), np.flatnonzero(np.diff(number)) + 1):
-        size = lengths[own]
-        position = np.concatenate([np.arange(n) for n in size])
-        codes = np.concatenate([texts[i] for i in order[own]])[np.argsort(position, kind="stable")]
-        out.append((codes, np.concatenate([[0], np.cumsum(np.bincount(position))]), y[order[own]].astype(bool)))
+        position = np.concatenate([np.arange(n) for n in lengths[own]])
+        by_position = np.argsort(position, kind="stable")
+        codes, labels = (np.concatenate([x[i] for i in order[own]])[by_position] for x in (texts, lines))
+        out.append((codes, np.concatenate([[0], np.cumsum(np.bincount(position))]), labels))
     return out
 
 
+def lines_before(ends: np.ndarray) -> np.ndarray:
+    """For each line after the texts' first ones, the place of the line before it."""
+    live = np.diff(ends)
+    return np.arange(ends[1], ends[-1]) - np.repeat(live[:-1], live[1:])
+
+
+def mixtures(texts: list[np.ndarray], y: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Texts with runs of boilerplate lines spliced in, and their lines' labels: one for every other text of content."""
+    rng = np.random.default_rng(SEED)
+    good, bad = [t for t, label in zip(texts, y) if not label], [t for t, label in zip(texts, y) if label]
+    out, labels = [], []
+    for i, t in enumerate(good[::2] if bad else []):
+        junk = bad[i % len(bad)]
+        first = rng.integers(0, len(junk))
+        run = junk[first:first + rng.integers(1, len(junk) - first + 1)]
+        at = int(rng.choice([0, len(t), rng.integers(0, len(t) + 1)]))
+        out.append(np.concatenate([t[:at], run, t[at:]]))
+        labels.append(np.concatenate([np.zeros(at), np.ones(len(run)), np.zeros(len(t) - at)]))
+    return out, labels
+
+
+def pieces(texts: list[np.ndarray], labels: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    cut = [(t[a:a + PIECE_LINES], label[a:a + PIECE_LINES]) for t, label in zip(texts, labels) for a in range(0, len(t), PIECE_LINES)]
+    return [t for t, _ in cut], [label for _, label in cut]
+
+
 def expected(own: np.ndarray, steps: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each line's probability of label 1, and the expected number of steps from label to label, by forward-backward.
 
@@ -182,19 +214,17 @@ def expected(own: np.ndarray, steps: np.ndarray, ends: np.ndarray) -> tuple[np.n
         after = ahead[b:c]
         ahead[a:a + c - b] += np.logaddexp(s10, after + s11) - np.logaddexp(s00, after + s01)
     share = 1 / (1 + np.exp(-np.clip(forward + ahead - own, -500, 500)))
-    live = np.diff(ends)
-    came = np.arange(ends[1], ends[-1]) - np.repeat(live[:-1], live[1:])  # the line before each later line
-    f, g = forward[came], ahead[ends[1]:]
+    f, g = forward[lines_before(ends)], ahead[ends[1]:]
     pairs = np.stack([np.full(len(f), s00), s01 + g, f + s10, f + s11 + g])
     pairs = np.exp(pairs - pairs.max(axis=0)) if len(f) else pairs
     return share, (pairs / pairs.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
 
-def fit_codes(texts: list[np.ndarray], y: np.ndarray) -> Chain:
-    """Weights of the highest likelihood for the lines (as codes) of each text all being labelled ``y``."""
+def fit_codes(texts: list[np.ndarray], y) -> Chain:
+    """Weights of the highest likelihood for the lines (as codes) of each text being labelled ``y`` (for a text, or for each of its lines)."""
     n_features = len(FEATURES)
     chain = Chain(np.zeros(n_features), np.zeros((2, 2)))
-    if len(texts) == 0 or y.min() == y.max():
+    if len(texts) == 0 or min(np.min(label) for label in y) == max(np.max(label) for label in y):
         chain.weights[0] = -1.0  # no contrast to learn from: all content
         return chain
     groups = groups_of(texts, y)
@@ -208,11 +238,9 @@ def fit_codes(texts: list[np.ndarray], y: np.ndarray) -> Chain:
         d_weights, d_steps = np.zeros(n_features), np.zeros((2, 2))
         for codes, ends, own in groups:
             share, steps = expected(score[codes], chain.steps, ends)
-            live = np.diff(ends)
-            label = np.concatenate([own[:n] for n in live.tolist()])
-            d_weights += np.bincount(codes, label - share, CODES)[used] @ bits
-            same = label[ends[1]:].sum()
-            d_steps += np.diag([len(label) - ends[1] - same, same]) - steps
+            d_weights += np.bincount(codes, own - share, CODES)[used] @ bits
+            seen = np.bincount(2 * own[lines_before(ends)] + own[ends[1]:], minlength=4)
+            d_steps += seen.reshape(2, 2) - steps
         for value, gradient, (m, v) in ((chain.weights, d_weights / total - RIDGE * chain.weights, moment[0]),
                                         (chain.steps, d_steps / total - RIDGE * chain.steps, moment[1])):
             m += 0.1 * (gradient - m)        # Adam
@@ -236,9 +264,15 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Chain:
 
     ids = F.broadcast(label_sample(labels, "quality", most))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-    got = rows.mapInArrow(features, "doc_id long, label int, lines binary").toPandas()
-    got = got.drop_duplicates().sort_values(["doc_id", "lines"])
-    return fit_codes([np.frombuffer(x, "<u2") for x in got["lines"]], 1 - got["label"].to_numpy())
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one row an id, however often it is repeated
+    rows = written(rows.mapInArrow(features, "doc_id long, label int, lines binary"), "labelled-lines")
+    # At most ``most`` rows; those that fit are collected.
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fitting = rows.select("doc_id", F.sum(F.octet_length("lines") / 2).over(so_far).alias("n")).filter(F.col("n") <= SAMPLE_LINES)
+    got = rows.join(F.broadcast(fitting.select("doc_id")), "doc_id").toPandas().sort_values("doc_id")
+    texts, y = [np.frombuffer(x, "<u2") for x in got["lines"]], 1 - got["label"].to_numpy()
+    mixed, labels_ = mixtures(texts, y)
+    return fit_codes(*pieces(texts + mixed, [np.full(len(t), label) for t, label in zip(texts, y)] + labels_))
 
 
 def keeps(chain: Chain, text: str | None, share: float) -> bool:

@@ -166,7 +166,7 @@ def test_pipeline(spark, place):
     docs = documents(spark, place)
     machine, chain = toxicity.learn(docs, labels(spark, place)), None
     rows = [(i, t) for i, t in rows_of(spark, place)
-            if toxicity.sigmoid(machine.logit(machine.columns(toxicity.term_hashes(t)))) < 0.5]
+            if toxicity.sigmoid(machine.logit(machine.columns(toxicity.term_hashes(memoryview((t or "").encode()))))) < 0.5]
     kept = spark.createDataFrame(rows, "doc_id long, text string")
     chain = quality_rules.learn(kept, labels(spark, place))
     rows = [(i, t) for i, t in rows

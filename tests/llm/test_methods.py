@@ -5,6 +5,7 @@ import re
 import struct
 import subprocess
 import sys
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from recall.llm import (components, exact_dedup, license_scan, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash,
                         rows, spm_codec, toxicity)
-from recall.llm.rows import documents, located
+from recall.llm.rows import documents, labels, located
+from tests.conftest import SF01
 from tests.llm import brute
 from tests.llm.test_contracts import rows_of
 
@@ -282,23 +284,36 @@ def test_machine_learns_an_interaction():
     assert np.mean(right) > 0.95
 
 
-def test_terms_are_chosen_by_chi_square(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    docs = [(int(i % 4 == 0), sorted(set(rng.choice(50, 10).tolist()) | ({60} if i % 4 == 0 else set()) | {99})) for i in range(200)]
-    monkeypatch.setattr(toxicity, "TERMS", 8)
-    y, n = np.array([d[0] for d in docs]), len(docs)
-
-    def chi(term):
-        has = np.array([term in d[1] for d in docs])
-        table = np.array([[(has & (y == k)).sum() for k in (0, 1)], [(~has & (y == k)).sum() for k in (0, 1)]], float)
-        expected = table.sum(axis=1, keepdims=True) * table.sum(axis=0, keepdims=True) / n
-        return ((table - expected) ** 2 / expected).sum()
-
-    # Up to the factor of the 2 x 2 table, the largest statistics first; a term in every document tells nothing.
-    want = sorted(sorted([*range(50), 60], key=lambda t: -chi(t))[:8])
-    found = toxicity.chosen_terms(spark.createDataFrame(docs, "label int, terms array<int>"))
-    assert found.tolist() == want and 60 in found and 99 not in found
-    assert toxicity.chosen_terms(spark.createDataFrame([], "label int, terms array<int>")).size == 0
+def test_a_pair_without_effects_of_its_own_is_learnt(spark):
+    """Toxic with both of two words or with neither: each alone is as common in toxic as in clean texts."""
+    rng = np.random.default_rng(6)
+    noise = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)]
+    rows, marks = [], []
+    for i in range(2500):
+        a, b = rng.random(2) < 0.5
+        words = [w for w in noise if rng.random() < 0.1] + ["xqz"] * int(a) + ["vkj"] * int(b)
+        rows.append((i, " ".join(rng.permutation(words))))
+        marks.append((i, int(a == b)))
+    m = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    right = [(m.logit(m.columns(toxicity.term_hashes(memoryview(t.encode())))) > 0) == bool(y) for (i, t), (_, y) in zip(rows, marks)
+             if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(right) > 400 and np.mean(right) > 0.95
+
+
+def test_every_frequent_term_has_parameters(spark):
+    rows = spark.createDataFrame([([1, 2, 3],), ([1, 2],), ([1, 3],), ([1, 9],), ([1, 2],)], "terms array<int>")
+    assert toxicity.frequent_terms(rows, 2).tolist() == [2, 3]  # 1 is in all, 9 in one
+    assert toxicity.frequent_terms(rows.limit(0), 2).size == 0
+
+
+def test_a_repeated_id_is_learnt_from_once(spark):
+    """The smallest of its texts, however many rows it has."""
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    rows = [(i, ("bad thing " if i % 2 else "good day ") + str(i)) for i in range(60)]
+    hot = [(i, f"zzz {k} good bad") for i in (1, 2, 3) for k in range(200)]
+    one = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), marks)
+    many = toxicity.learn(spark.createDataFrame(hot + rows, "doc_id long, text string"), marks)
+    assert one.terms.tolist() == many.terms.tolist() and np.allclose(one.weights, many.weights) and one.bias == many.bias
 
 
 def test_models_without_contrast():
@@ -371,6 +386,53 @@ def test_lines_late_in_a_text_are_learnt(spark):
     assert not chain.boilerplate(quality_rules.line_features("\n".join(plain(99, 64)))[0]).any()
 
 
+def junk_of(text, n):
+    """Lines of a text, over and over, of ``n`` characters in all."""
+    lines = list(filter(None, text.split("\n"))) or [text]
+    out = "\n".join(lines * (1 + n // max(1, sum(map(len, lines)))))
+    return out[:n]
+
+
+def test_a_fitted_chain_finds_the_junk_in_mixed_texts(spark):
+    docs, marks = documents(spark, SF01), labels(spark, SF01)
+    chain = quality_rules.learn(docs, marks)
+    known = [tuple(r) for r in docs.join(marks, "doc_id").select("doc_id", "text", "quality").orderBy("doc_id").collect()]
+    held = [(t, q) for i, t, q in known if zlib.crc32(str(i).encode()) % 5 == 0 and t]
+    good = [t for t, q in held if q == 1 and t.count("\n") >= 5]
+    bad = [t for i, t, q in known if q == 0 and t and len(t) > 200]
+    size = lambda t: len("".join(t.split()))
+    for share in (0.3, 0.5, 0.7):
+        found, true = [], []
+        for i, t in enumerate(good):
+            junk = junk_of(bad[i % len(bad)], int(len(t) * share / (1 - share)))
+            found.append(1 - quality_rules.content_share(chain, t + "\n" + junk))
+            true.append(size(junk) / size(t + junk))
+        assert len(good) > 20 and abs(np.mean(found) - np.mean(true)) < 0.1
+        assert np.mean(np.abs(np.array(found) - true) < 0.1) > 0.9
+    judged = quality_rules.judge(located(docs), chain).collect()
+    assert any(0 < r["content_share"] < 1 for r in judged)
+    assert np.mean([quality_rules.keeps(chain, t, 0.5) == bool(q) for t, q in held]) > 0.95
+
+
+def test_mixtures_label_their_lines():
+    good, bad = [np.arange(10, 10 + n, dtype=np.uint16) for n in (1, 5, 9, 2)], [np.arange(1000, 1004, dtype=np.uint16)]
+    texts, marks = quality_rules.mixtures(good + bad, np.array([0, 0, 0, 0, 1]))
+    assert len(texts) == 2
+    for t, label in zip(texts, marks):
+        assert ((t >= 1000) == label.astype(bool)).all() and 0 < label.sum() <= 4 and (label == 0).any()
+    assert quality_rules.mixtures(good, np.zeros(4)) == ([], [])
+    cut, own = quality_rules.pieces([np.arange(3000)], [np.arange(3000) % 2])
+    assert [len(c) for c in cut] == [1024, 1024, 952] and np.concatenate(own).tolist() == (np.arange(3000) % 2).tolist()
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(spark):
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = [(i, "A plain line of words.\nAnd one more." if i % 2 else "### *** |||\n$$$ %%%") for i in range(40)]
+    many = rows + [(1, "zzz zzz\n" * 50)] * 300
+    one, two = (quality_rules.learn(spark.createDataFrame(r, "doc_id long, text string"), marks) for r in (rows, many))
+    assert np.allclose(one.weights, two.weights) and np.allclose(one.steps, two.steps)
+
+
 def test_repeated_windows():
     rng = np.random.default_rng(6)
     for _ in range(50):
