@@ -13,15 +13,17 @@ Blocks are joined with the templates as token sets, which avoids comparing all p
 * length filter: a block with fewer tokens than ``need`` cannot match;
 * positional filter: from a common token on, each side must still have ``need`` tokens.
 
-What passes is verified by the exact overlap of the block and then of each of its windows of the template's width. Only the
-templates' vocabulary takes part (other tokens add to no overlap), so the prefix index is as large as the templates and is the one
-thing broadcast. All steps are DataFrame expressions.
+What passes is verified by the exact overlap of the block and then of each of its windows of the template's width. Licences share
+most of their words, so a window must also have the template's ``DECIDING`` words (a notice without "mit" is no MIT notice, however
+alike), and may not begin with a variant's ("lesser", "sa"). Only the templates' and the variants' vocabulary takes part (other
+tokens add to no overlap), so the prefix index is as large as the templates and is the one thing broadcast. All steps are
+DataFrame expressions.
 
 Beside that, phrases are found at their exact word positions.
 
 Defined cases: a null or empty text has no words, empty labels, null first and last word and score 0;
 line ends only separate words; blocks repeat freely; repeated rows each get their result; an empty
-table gives an empty result; further columns are left aside.
+table gives an empty result; further columns, whatever their names, are left aside; a very long text is one array of words.
 """
 
 from __future__ import annotations
@@ -41,22 +43,56 @@ SPREAD = 2  # words of a window for each word that a notice needs
 
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-#: Heads of public licence notices, by label.
+#: Heads and passages of public licence notices, by label.
 TEMPLATES = [
     ("mit", "released under the mit license"),
+    ("mit", "licensed under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("apache", "released under the apache license"),
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at apache org"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("lgpl", "licensed under the gnu lesser general public license version 2 1"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", "licensed under the gnu affero general public license version 3"),
+    ("bsd", "released under the bsd license"),
+    ("bsd", "licensed under the bsd license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc", "this work is licensed under a creative commons attribution international license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("cc-by", "licensed under cc by 4 0"),
+    ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nd", "licensed under cc by nd 4 0"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0"),
+    ("cc-by", "this work is licensed under a creative commons attribution international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike international license"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial international license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "copyright all rights reserved no part may be reproduced without written permission"),
 ]
 
+#: Words that tell licences apart. Those of them that a template has must all be in its window; those that it
+#: lacks may not be among the window's first words, as many as the template has and one.
+DECIDING = {
+    "mit", "apache", "gnu", "general", "lesser", "affero", "bsd", "cc", "by", "sa", "nc", "nd", "creative", "commons", "sharealike",
+    "noncommercial", "noderivatives", "mozilla", "unencumbered", "granted", "fee", "redistribution", "permitted", "reserved", "reproduced",
+}
+#: Of these, the ones that make another licence of a template that lacks them.
+VARIANTS = {"lesser", "affero", "sa", "nc", "nd", "sharealike", "noncommercial", "noderivatives"}
+
+
+def deciding(text: str) -> list[str]:
+    """The words that must be in a template's window."""
+    return sorted(DECIDING & set(re.findall(WORD, text.lower())))
+
+
+def excluded(text: str) -> list[str]:
+    """The words that make it another licence: only a template with a deciding word has any."""
+    return sorted(VARIANTS - set(re.findall(WORD, text.lower()))) if deciding(text) else []
+
 
 def template_sets(templates: list[tuple[str, str]]) -> list[tuple[str, frozenset[str]]]:
     return [(label, frozenset(re.findall(WORD, text.lower()))) for label, text in templates]
@@ -141,11 +177,25 @@ def matches(blocks: DataFrame, templates: list[tuple[str, frozenset[str]]], thre
 
 def notices(blocks: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """``at, label, containment``: the best window of each block ``(at, words)`` and template, where it reaches the threshold."""
+    texts = [text for _, text in templates]
+    per_template = lambda values: F.get(F.array(*values), F.col("template"))
+    strings = lambda words: F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    must, never = (per_template([strings(rule(t)) for t in texts]) for rule in (deciding, excluded))
     found = candidates(blocks.withColumn("block", F.array_compact("words")), template_sets(templates), threshold)
-    width = F.get(F.array(*[F.lit(w) for w in widths(templates, threshold)]), F.col("template"))
+    # A block without the deciding words has no such window.
+    found = found.withColumn("must", must).filter(F.size(F.array_except("must", F.array_compact("words"))) == 0).withColumn("never", never)
+    found = found.withColumn("width", per_template([F.lit(w) for w in widths(templates, threshold)])).withColumn(
+        "head", per_template([F.lit(len(re.findall(WORD, t.lower())) + 1) for t in texts]))
     # A best window may be moved to start with one of the template's words.
     starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains("tokens", F.coalesce(F.get("words", i - 1), F.lit(""))))
-    best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect("tokens", F.slice("words", i, width)))))
+
+    def overlap(i: Column) -> Column:
+        window = F.slice("words", i, F.col("width"))
+        fits = (F.size(F.array_intersect("must", window)) == F.size("must")) & ~F.coalesce(
+            F.arrays_overlap("never", F.array_compact(F.slice("words", i, F.col("head")))), F.lit(False))
+        return F.when(fits, F.size(F.array_intersect("tokens", window))).otherwise(0)
+
+    best = F.array_max(F.transform(starts, overlap))
     return found.withColumn("overlap", best).filter("overlap >= need").select("at", "label", containment().alias("containment"))
 
 
@@ -156,7 +206,7 @@ def scan(source: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates:
     ``score`` is 1 with a phrase, else the largest containment of a matching template, else 0.
     """
     sets = template_sets(templates)
-    vocabulary = sorted({t for _, tokens in sets for t in tokens})
+    vocabulary = sorted({t for _, tokens in sets for t in tokens} | {t for _, text in templates for t in excluded(text)})
     least = min(needed(tokens, threshold) for _, tokens in sets)
     rows = written(parsed(source, phrases, vocabulary, least, max(widths(templates, threshold))), "license-tokens")
     found = notices(rows.select("at", F.explode("blocks").alias("words")), templates, threshold)

@@ -124,14 +124,54 @@ def notice_labels(text):
     """Labels and best containment over every window of each template's width, one by one."""
     words, found, score = re.findall(license_scan.WORD, text.lower()), set(), 0.0
     for (label, template), width in zip(license_scan.TEMPLATES, license_scan.widths(license_scan.TEMPLATES, license_scan.THRESHOLD)):
-        own = set(re.findall(license_scan.WORD, template))
-        best = max((len(own & set(words[i:i + width])) for i in range(max(1, len(words)))), default=0) / len(own)
+        listed = template.split(" ")
+        own, best = set(listed), 0
+        must = own & license_scan.DECIDING
+        for i in range(len(words)):
+            window, head = set(words[i:i + width]), set(words[i:i + len(listed) + 1])
+            if words[i] in own and must <= window and not (must and head & (license_scan.VARIANTS - own)):
+                best = max(best, len(own & window) / len(own))
         if best >= license_scan.THRESHOLD:
             found.add(label)
             score = max(score, best)
     return ",".join(sorted(found)), score
 
 
+NOTICES = {
+    "licensed under CC BY-SA 4.0": "cc-by-sa",
+    "Licensed under CC BY 4.0": "cc-by",
+    "This text is licensed under CC BY 3.0, see the file.": "cc-by",
+    "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+    "licensed under CC-BY-NC-SA 4.0": "cc-by-nc-sa",
+    "Licensed under CC BY-ND 4.0": "cc-by-nd",
+    "released under the BSD license": "bsd",
+    "Released under the Apache license": "apache",
+    "Released under the MIT license": "mit",
+    "Licensed under the Apache License, Version 2.0 (the License)": "apache",
+    "This work is licensed under the GNU General Public License version 3.": "gpl",
+    "This work is licensed under the GNU General Public License version 2.1.": "gpl",
+    "Licensed under the GNU Lesser General Public License, version 2.1": "gpl,lgpl",  # gpl by the phrase, not by a template
+    "licensed under the GNU Affero General Public License version 3": "agpl,gpl",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "Copyright 2020. All rights reserved. No part may be reproduced without written permission.": "proprietary",
+    "The film was released in May; tickets sell under the license of the venue.": "",
+    "The drug was released under the name of a license holder.": "",
+    "He was licensed under the old law by 4 of 10 votes.": "",
+    "Permission to use the pool is granted to any person without fee.": "",
+    "All rights of the tenant are reserved for the owner.": "",
+    "a copy of the license may be obtained in compliance with the file at the office": "",
+}
+
+
+def test_licences_are_told_apart(spark):
+    docs = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")
+    found = {r["doc_id"]: r["labels"] for r in license_scan.scan(located(docs)).collect()}
+    assert {t: found[i] for i, t in enumerate(NOTICES)} == NOTICES
+
+
 def test_notices_at_any_wrapping_and_start(spark):
     bsd = dict(license_scan.TEMPLATES)["bsd"].split(" ")
     texts = {}
