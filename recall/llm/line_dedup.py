@@ -2,21 +2,21 @@
 
 Pass 1 hashes each document's distinct line keys to 128 bits, counts them per
 Arrow batch and sums the counts in Spark (a line found everywhere is one row per
-batch). Pass 2 builds, for each shard of the hashes that reach the threshold, a
+batch). Pass 2 builds, for each shard of all distinct hashes, a
 minimal perfect hash with two arrays in its order: 64-bit fingerprints (the
-other half of the hash, so foreign lines are rejected) and document counts.
-Pass 3 streams the documents again: each line probes the arrays in memory; lines
+other half of the hash, so foreign lines are rejected) and document counts; besides them the hash itself takes a few bits a line.
+Pass 3 streams the documents again: each line probes the arrays for its count; lines
 are never joined or shuffled as text.
 
 The arrays are broadcast when their measured size is at most ``BROADCAST_BYTES``.
-Beyond that each line's hash travels to the task that holds its shard
-(``(shard, salt)``, so that no hot line meets one task), and only the numbers of
-the lines to drop come back to the documents.
+Beyond that each line's hash travels to the task that holds its shard, and only the numbers of
+the lines to drop come back to the documents. How many probes a shard gets is known from its counts:
+one with more than ``PROBES_PER_TASK`` (a line that every document has) is probed by so many tasks more.
 
 Defined cases: a null or empty text is one empty line; empty keys are never dropped when
 ``min_chars`` is 1 or more; a line repeated in a document counts once for it; repeated
 rows are separate documents; a document that loses all lines keeps the empty text; an
-empty table gives an empty result; further columns are carried along.
+empty table gives an empty result; further columns, whatever their names, are left aside; all lines of one text are held at once.
 """
 
 from __future__ import annotations
@@ -35,9 +35,10 @@ from recall.llm.rows import written
 
 BLANK = b" \t\n\x0b\x0c\r"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-KEYS_PER_SHARD = 1 << 20
-BROADCAST_BYTES = 64 << 20
-SALTS = 16
+KEYS_PER_SHARD = 1 << 18
+BROADCAST_BYTES = 4 << 20  # each Python worker holds its copy
+PROBES_PER_TASK = 1 << 22
+RANK_BITS = 512  # one rank is kept for so many bits
 GAMMA = 2.0
 
 
@@ -94,9 +95,24 @@ class PerfectHash:
     """
 
     def __init__(self, levels: list[np.ndarray]):
-        self.levels = [np.unpackbits(bits, bitorder="little") for bits in levels]
-        self.starts = np.cumsum([0] + [int(b.sum()) for b in self.levels])
-        self.ranks = [np.cumsum(b, dtype=np.int64) - 1 for b in self.levels]
+        self.levels = [np.concatenate([bits, np.zeros(-len(bits) % (RANK_BITS // 8), np.uint8)]) for bits in levels]
+        self.sizes = [8 * len(bits) for bits in levels]
+        per_block = [np.bitwise_count(bits).reshape(-1, RANK_BITS // 8).sum(axis=1, dtype=np.int64) for bits in self.levels]
+        self.ranks = [np.cumsum(n) - n for n in per_block]  # set bits before each block
+        self.starts = np.cumsum([0] + [int(n.sum()) for n in per_block])
+
+    def ranks_of(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Set bits before each position of a level."""
+        out = np.empty(at.size, np.int64)
+        for a in range(0, at.size, 1 << 16):
+            some = at[a:a + (1 << 16)]
+            block = some // RANK_BITS
+            own = self.levels[level].reshape(-1, RANK_BITS // 8)[block]
+            byte, bit = some % RANK_BITS // 8, (some % 8).astype(np.uint8)
+            before = np.where(np.arange(RANK_BITS // 8) < byte[:, None], np.bitwise_count(own), 0).sum(axis=1)
+            last = np.bitwise_count(own[np.arange(some.size), byte] & ((np.uint8(1) << bit) - np.uint8(1)))
+            out[a:a + (1 << 16)] = self.ranks[level][block] + before + last
+        return out
 
     @staticmethod
     def build(place: np.ndarray, check: np.ndarray) -> list[np.ndarray]:
@@ -114,9 +130,9 @@ class PerfectHash:
         out = np.full(place.size, -1, np.int64)
         open_ = np.arange(place.size)
         for i, bits in enumerate(self.levels):
-            at = positions(place[open_], check[open_], i, bits.size)
-            here = bits[at] == 1
-            out[open_[here]] = self.starts[i] + self.ranks[i][at[here]]
+            at = positions(place[open_], check[open_], i, self.sizes[i])
+            here = bits[at // 8] >> (at % 8).astype(np.uint8) & 1 == 1
+            out[open_[here]] = self.starts[i] + self.ranks_of(i, at[here])
             open_ = open_[~here]
         return out
 
@@ -129,7 +145,7 @@ class Shard:
         cuts = np.cumsum([0, *sizes])
         self.hash = PerfectHash([blob[a:b] for a, b in zip(cuts, cuts[1:])])
         self.prints = np.frombuffer(row["prints"], "<u8")
-        self.docs = np.frombuffer(row["docs"], "<u4")
+        self.docs = np.frombuffer(row["docs"], "<i8")
 
     def counts(self, place: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Documents that have the line; 0 for lines not in the index."""
@@ -146,7 +162,7 @@ def shard_of(shards: int) -> Column:
     return F.pmod(F.shiftrightunsigned("place", 32), F.lit(shards)).cast("int")
 
 
-INDEX = "shard int, sizes array<int>, bits binary, prints binary, docs binary"
+INDEX = "shard int, sizes array<int>, bits binary, prints binary, docs binary, probes long"
 
 
 def build_index(counts: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> tuple[DataFrame, int]:
@@ -158,11 +174,11 @@ def build_index(counts: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> tupl
         place, check = pdf["place"].to_numpy().view("<u8"), pdf["print"].to_numpy().view("<u8")
         levels = PerfectHash.build(place, check)
         slot = PerfectHash(levels).slots(place, check)
-        prints, docs = np.empty(place.size, "<u8"), np.empty(place.size, "<u4")
-        prints[slot], docs[slot] = check, np.minimum(pdf["docs"].to_numpy(), (1 << 32) - 1)
+        prints, docs = np.empty(place.size, "<u8"), np.empty(place.size, "<i8")
+        prints[slot], docs[slot] = check, pdf["docs"].to_numpy()
         return pd.DataFrame([{
             "shard": int(pdf["shard"].iloc[0]), "sizes": [len(x) for x in levels],
-            "bits": b"".join(x.tobytes() for x in levels), "prints": prints.tobytes(), "docs": docs.tobytes()}])
+            "bits": b"".join(x.tobytes() for x in levels), "prints": prints.tobytes(), "docs": docs.tobytes(), "probes": int(docs.sum())}])
 
     sharded = counts.withColumn("shard", shard_of(shards))
     return written(sharded.groupBy("shard").applyInPandas(build, INDEX), "line-index"), shards
@@ -180,7 +196,7 @@ def texts_of(source: DataFrame) -> DataFrame:
     return source.select("at", F.col("doc.doc_id").cast("long").alias("doc_id"), "doc.text")
 
 
-def drop_in_place(source: DataFrame, index: list[dict], shards: int, min_chars: int) -> DataFrame:
+def drop_in_place(source: DataFrame, index: list[dict], shards: int, min_chars: int, min_docs: int) -> DataFrame:
     """``at, doc_id, n_lines, n_dropped, kept_text``: every document probes the broadcast arrays."""
     shared = source.sparkSession.sparkContext.broadcast(index)
 
@@ -194,7 +210,7 @@ def drop_in_place(source: DataFrame, index: list[dict], shards: int, min_chars:
                 place, check = halves(flat)
                 for shard, ours in by_shard(place, shards):
                     if shard in arrays:
-                        gone[ours] = arrays[shard].counts(place[ours], check[ours]) > 0
+                        gone[ours] = arrays[shard].counts(place[ours], check[ours]) >= min_docs
             out, i = [], 0
             for lines, hashes in docs:
                 drop = np.zeros(len(lines), bool)
@@ -224,7 +240,8 @@ def slice_of(place: np.ndarray, shards: int) -> np.ndarray:
     return ((place >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-def drop_by_shard(source: DataFrame, index: DataFrame, shards: int, min_chars: int) -> DataFrame:
+def drop_by_shard(source: DataFrame, index: DataFrame, shards: int, min_chars: int, min_docs: int,
+                  probes_per_task: int = PROBES_PER_TASK) -> DataFrame:
     """The same result when the arrays are too large for one task: probes travel to their shard's task.
 
     Inside a partition the rows are sorted by (shard, salt), the arrays before the probes, and
@@ -258,17 +275,21 @@ def drop_by_shard(source: DataFrame, index: DataFrame, shards: int, min_chars: i
                 if is_index[a]:
                     here, arrays = shard[a], Shard({k: batch.column(k)[int(a)].as_py() for k in ("sizes", "bits", "prints", "docs")})
                 elif here == shard[a]:
-                    hit = np.flatnonzero(arrays.counts(place[a:b], check[a:b]) > 0) + a
+                    hit = np.flatnonzero(arrays.counts(place[a:b], check[a:b]) >= min_docs) + a
                     if hit.size:
                         yield pa.RecordBatch.from_arrays(
                             [batch.column("at").take(pa.array(hit)), line.take(pa.array(hit))], names=["at", "line"])
 
     probes = texts_of(source).mapInArrow(explode, f"{AT}, line int, place long, print long")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("sizes", "array<int>"), ("bits", "binary"), ("prints", "binary"), ("docs", "binary"))]
-    probes = probes.select(shard_of(shards).alias("shard"), F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int").alias("salt"),
-                           "at", "line", "place", "print", *none)
+    # Shards with many probes: at most one for each ``probes_per_task`` of all of them. A repeated line of a document is a probe
+    # each time, so the counts are a lower bound.
+    salts = F.ceil(F.col("probes") / probes_per_task).cast("int")
+    hot = F.broadcast(index.filter(F.col("probes") > probes_per_task).select("shard", salts.alias("salts")))
+    probes = probes.select(shard_of(shards).alias("shard"), "at", "line", "place", "print", *none).join(hot, "shard", "left")
+    probes = probes.withColumn("salt", F.pmod(F.xxhash64("at"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     arrays = index.select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+        "shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"),
         F.lit(None).cast("struct<file:string,row:bigint>").alias("at"), F.lit(None).cast("int").alias("line"),
         F.lit(None).cast("long").alias("place"), F.lit(None).cast("long").alias("print"), "sizes", "bits", "prints", "docs")
     routed = arrays.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("line").isNotNull())
@@ -290,15 +311,15 @@ def drop_by_shard(source: DataFrame, index: DataFrame, shards: int, min_chars: i
 
 
 def drop_shared_lines(source: DataFrame, min_docs: int = 10, min_chars: int = 1,
-                      broadcast_bytes: int = BROADCAST_BYTES, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
+                      broadcast_bytes: int = BROADCAST_BYTES, keys_per_shard: int = KEYS_PER_SHARD,
+                      probes_per_task: int = PROBES_PER_TASK) -> DataFrame:
     """``at, doc_id, n_lines, n_dropped, kept_text`` for each row of ``located(docs)``.
 
     Lines whose key (stripped, A-Z lower-cased) has at least ``min_chars`` code points and stands in
     at least ``min_docs`` documents are dropped everywhere.
     """
-    counts = line_counts(source.select("doc.text"), min_chars).filter(F.col("docs") >= min_docs)
-    index, shards = build_index(counts, keys_per_shard)
+    index, shards = build_index(line_counts(source.select("doc.text"), min_chars), keys_per_shard)
     size = index.agg(F.sum(F.octet_length("bits") + F.octet_length("prints") + F.octet_length("docs"))).first()[0] or 0
     if size <= broadcast_bytes:
-        return drop_in_place(source, [row.asDict() for row in index.collect()], shards, min_chars)
-    return drop_by_shard(source, index, shards, min_chars)
+        return drop_in_place(source, [row.asDict() for row in index.collect()], shards, min_chars, min_docs)
+    return drop_by_shard(source, index, shards, min_chars, min_docs, probes_per_task)

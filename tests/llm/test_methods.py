@@ -87,13 +87,29 @@ def test_perfect_hash_is_minimal_and_rejects_others():
     assert (empty.slots(place, check) == -1).all()
 
 
-@pytest.mark.parametrize("keys_per_shard", [1, 1000])
-def test_probes_routed_to_shards(spark, edge_dir, keys_per_shard):
-    found = line_dedup.drop_shared_lines(located(documents(spark, edge_dir)), 10, 1, broadcast_bytes=0, keys_per_shard=keys_per_shard)
+@pytest.mark.parametrize("keys_per_shard,probes_per_task", [(1, 1 << 22), (1000, 1 << 22), (100, 7)])
+def test_probes_routed_to_shards(spark, edge_dir, keys_per_shard, probes_per_task):
+    found = line_dedup.drop_shared_lines(located(documents(spark, edge_dir)), 10, 1, broadcast_bytes=0, keys_per_shard=keys_per_shard,
+                                         probes_per_task=probes_per_task)
     want = Counter(brute.shared_lines(rows_of(spark, edge_dir), 10))
     assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in found.collect()) == want
 
 
+def test_the_index_counts_every_distinct_line(spark, edge_dir):
+    docs = Counter()
+    for _, t in rows_of(spark, edge_dir):
+        docs.update({line.strip(brute.SPACES).translate(brute.LOWER) for line in (t or "").split("\n")} - {""})
+    index, shards = line_dedup.build_index(line_dedup.line_counts(documents(spark, edge_dir).select("text"), 1), 50)
+    arrays = {r["shard"]: (line_dedup.Shard(r.asDict()), r["probes"]) for r in index.collect()}
+    assert shards > 5 and sum(n for _, n in arrays.values()) == sum(docs.values())
+    place, check = line_dedup.halves([line_dedup.line_hashes(k, 1)[1][0] for k in docs])
+    found = np.zeros(len(docs), np.int64)
+    for shard, ours in line_dedup.by_shard(place, shards):
+        found[ours] = arrays[shard][0].counts(place[ours], check[ours])
+    assert found.tolist() == list(docs.values())
+    assert not any(a.counts(check, place).any() for a, _ in arrays.values())  # other hashes are in none
+
+
 def test_probes_over_several_broadcast_shards(spark, edge_dir):
     found = line_dedup.drop_shared_lines(located(documents(spark, edge_dir)), 2, 1, keys_per_shard=3)
     want = Counter(brute.shared_lines(rows_of(spark, edge_dir), 2))
