@@ -58,6 +58,11 @@ def term_hashes(text: memoryview) -> np.ndarray:
     return np.unique(np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) >> (32 - HASH_BITS))
 
 
+def known(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Those of the hashes that are terms."""
+    return hashes[terms[np.searchsorted(terms, hashes).clip(max=terms.size - 1)] == hashes] if terms.size else hashes[:0]
+
+
 @dataclass
 class Machine:
     terms: np.ndarray    # sorted hashes with parameters
@@ -117,7 +122,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, terms: np.ndarray) -> Machine:
     rng = np.random.default_rng(SEED)
     share = y.mean()
     m = Machine(terms, float(np.log(share / (1 - share))), np.zeros(terms.size, np.float32), rng.normal(0, 0.05, (terms.size, RANK)).astype(np.float32))
-    rows = [m.columns(d) for d in docs]
+    rows = [m.columns(d).astype(np.int32) for d in docs]
     less, less_factors = shrinkage(rows, y, terms.size)
     gb, gw, gv = 1e-8, np.full(terms.size, 1e-8), np.full(terms.size, 1e-8)
     for _ in range(EPOCHS):
@@ -161,12 +166,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [np.intersect1d(np.asarray(t.values), terms).astype("<u4").tobytes() for t in batch.column("terms")]
+            kept = [known(terms, np.asarray(t.values)).astype("<u4").tobytes() for t in batch.column("terms")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(kept, pa.binary())],
                                              names=["doc_id", "label", "terms"])
 
     got = rows.mapInArrow(usable, "doc_id long, label int, terms binary").toPandas().sort_values("doc_id")
-    return fit([np.frombuffer(x, "<u4").astype(np.int64) for x in got["terms"]], got["label"].to_numpy(np.float64), terms)
+    return fit([np.frombuffer(x, "<u4") for x in got["terms"]], got["label"].to_numpy(np.float64), terms)
 
 
 def score(source: DataFrame, machine: Machine) -> DataFrame:
