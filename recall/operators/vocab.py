@@ -54,16 +54,16 @@ def words_add_new(words: DataFrame, new_rows: DataFrame, arrival: list[str] | No
     """Insert-if-absent: a stored row wins, else one new row of the key.
 
     With ``arrival`` (up to three non-negative whole numbers that identify a new row) it is
-    the earliest: rows with one translation become one by a hash aggregate, then the few translations
-    of a key. Without it, it is the row with the smallest translation.
+    the earliest: rows with one translation become one by a hash aggregate, whose shuffle serves both the keys'
+    smallest arrivals and the translations that join them. Without it, it is the row with the smallest translation.
     """
     stored = words.select("lang", "word", "translation", "created_at")
     if arrival is None:
         fresh = new_rows.groupBy("lang", "word").agg(F.min("translation").alias("translation"))
     else:
         rows = new_rows.groupBy("lang", "word", "translation").agg(F.min(arrival_order(arrival)).alias("_arrival"))
-        first = rows.groupBy("lang", "word").agg(F.min(F.struct("_arrival", "translation")).alias("_first"))
-        fresh = first.select("lang", "word", F.col("_first.translation").alias("translation"))
+        first = rows.groupBy("lang", "word").agg(F.min("_arrival").alias("_arrival"))
+        fresh = rows.join(first, ["lang", "word", "_arrival"]).select("lang", "word", "translation")
     fresh = fresh.join(words.select("lang", "word"), ["lang", "word"], "left_anti")
     return stored.unionByName(fresh.select("lang", "word", "translation", created_at.alias("created_at")))
 
