@@ -18,9 +18,9 @@ from recall.operators.cards import (  # noqa: E402,F401
 )
 from recall.operators.maintenance import cards_add, cards_update  # noqa: E402,F401
 from recall.operators.mining import (  # noqa: E402,F401
-    expansion_plan, new_word_sentences, next_words, story_tokens, vocabulary_coverage,
+    expansion_plan, new_word_sentences, next_words, reading_list, story_tokens, vocabulary_coverage,
 )
-from recall.operators.ordering import rank_within  # noqa: E402,F401
+from recall.operators.ordering import first_within, rank_within  # noqa: E402,F401
 from recall.operators.schedule import (  # noqa: E402,F401
     answers_quarantine, replay, review_queue, reviews_apply, schedule_state, schedule_trace,
 )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall.functions.text import word_normalise
+from recall.operators.ordering import first_within
 from recall.operators.vocab import arrival_order, articles_of
 from recall.session import shared_dir
 from recall.sources.tables import materialize
@@ -180,3 +181,16 @@ def coverage_from_counts(per_word: DataFrame, words: DataFrame) -> DataFrame:
         F.count(F.when(is_known, F.lit(1))).alias("n_distinct_known"),
     )
     return per_doc.withColumn("known_share", F.col("n_known") / F.col("n_tokens"))
+
+
+def reading_list(coverage: DataFrame, k: int, min_tokens: int = 1) -> DataFrame:
+    """The ``k`` most readable texts of each language, from the rows of ``vocabulary_coverage``.
+
+    (lang, rank, doc_id, n_tokens, n_known, n_unknown, known_share): by share of known tokens, then by fewer distinct
+    unknown words to look up, then the longer text, then by id. Texts under ``min_tokens`` tokens are left out:
+    a text of one known word is wholly readable and no reading. A null language is a language of its own.
+    """
+    rows = coverage.where(F.col("n_tokens") >= min_tokens).select(
+        "lang", "doc_id", "n_tokens", "n_known", (F.col("n_distinct") - F.col("n_distinct_known")).alias("n_unknown"), "known_share")
+    order = [F.desc("known_share"), F.asc("n_unknown"), F.desc("n_tokens"), F.asc("doc_id")]
+    return first_within(rows, ["lang"], order, k)

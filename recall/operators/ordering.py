@@ -9,7 +9,9 @@ rows locally, and a per-(partition, group) summary — at most
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall.session import ensure_checkpoint_dir
@@ -31,6 +33,23 @@ def range_partitions(df: DataFrame) -> int:
     return max(least, -(-df.count() // ROWS_PER_RANGE))
 
 
+def first_within(df: DataFrame, group_cols: list[str], order_cols: list[Column], k: int, rank: str = "rank") -> DataFrame:
+    """The first ``k`` rows of each group, with their 1-based ``rank``.
+
+    ``order_cols`` must order a group's rows totally. No task sees a whole group: every input partition
+    keeps its own first ``k`` of a group, the square root of so many bundles of partitions do the
+    same, and the last window ranks what these left, ``k`` rows from each bundle. Up to ``k`` of
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000) rows are cut before each shuffle.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bundles = max(1, math.isqrt(max(parts, df.sparkSession.sparkContext.defaultParallelism)))
+    out = df.withColumn("_bundle", F.pmod(F.spark_partition_id(), F.lit(bundles)))
+    for keys in (["_bundle", *group_cols], group_cols):
+        at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols))
+        out = out.withColumn(rank, at.cast("long")).where(F.col(rank) <= k)
+    return out.drop("_bundle")
+
+
 def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], *,
                 num_partitions: int | None = None, position: str = "position",
                 total: str | None = "total") -> DataFrame:

@@ -37,6 +37,7 @@ CARD_BY_ID = 42
 TAG = "spanish"
 WORDS_LANG = "es"
 NEXT_WORDS_K = 50
+READING_K, READING_MIN_TOKENS = 100, 30
 EXPANSION_STEPS = 6
 STORE_BUCKETS = 16
 
@@ -106,6 +107,14 @@ def q_cards_due(spark, sf):
     return joined_tags(co.cards_due(fx.cards(spark, sf), fx.flashcard_tags(spark, sf), as_of()))
 
 
+@query("cards_due_stored", QUERIES["cards_due"][1])
+def q_cards_due_stored(spark, sf):
+    """The cards as a store clustered on the due time, whose scan takes the filter."""
+    path = shared_dir(spark, "cards_by_due")
+    tb.write_cards_by_due(fx.cards(spark, sf), path)
+    return joined_tags(co.cards_due(tb.scan_cards_by_due(spark, path), fx.flashcard_tags(spark, sf), as_of()))
+
+
 @query("cards_by_tag", with_ctes(["cards", "flashcard_tags"], f"""
     SELECT c.*, t.tag AS tags FROM cards c JOIN flashcard_tags t ON c.id = t.card_id WHERE t.tag = '{TAG}'"""))
 def q_cards_by_tag(spark, sf):
@@ -304,6 +313,16 @@ def q_vocabulary_coverage(spark, sf):
     return mi.coverage_from_counts(counts, fx.words(spark, sf, fx.word_stats(spark, sf, counts)))
 
 
+@query("reading_list", with_ctes(["doc_words", "words"], f"""
+    , coverage AS ({COVERAGE_SQL})
+    , ranked AS (SELECT *, n_distinct - n_distinct_known AS n_unknown FROM coverage WHERE n_tokens >= {READING_MIN_TOKENS})
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY known_share DESC, n_unknown, n_tokens DESC, doc_id) AS rank,
+           doc_id, n_tokens, n_known, n_unknown, known_share
+    FROM ranked QUALIFY rank <= {READING_K}"""))
+def q_reading_list(spark, sf):
+    return mi.reading_list(q_vocabulary_coverage(spark, sf), READING_K, READING_MIN_TOKENS)
+
+
 # --- 2.5 table maintenance ---------------------------------------------------------------
 
 

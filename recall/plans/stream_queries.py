@@ -15,6 +15,7 @@ from recall.plans.queries import query
 from recall.session import shared_dir
 from recall.sources import fixtures as fx
 from recall.streaming import reviews as rs
+from recall.streaming.months import MonthCounts
 
 BATCHES = 4
 COMPACT_EVERY = 3  # four batches: one snapshot is written and read
@@ -30,11 +31,11 @@ def arriving(spark, sf):
     return r.unionByName(unknown)
 
 
-def run_stream(spark, sf):
+def run_stream(spark, sf, months=None):
     src, paths, rows = shared_dir(spark, "review_source"), rs.ReviewStreamPaths.under(spark), arriving(spark, sf)
     for i in range(BATCHES):
         rows.where(F.col("batch") == i).drop("batch").write.mode("append").parquet(src)
-        q = rs.stream_reviews(spark, src, fx.cards(spark, sf), paths, files_per_batch=None, compact_every=COMPACT_EVERY)
+        q = rs.stream_reviews(spark, src, fx.cards(spark, sf), paths, files_per_batch=None, compact_every=COMPACT_EVERY, months=months)
         q.awaitTermination()
     return paths
 
@@ -68,3 +69,19 @@ def q_stream_reviews(spark, sf):
     WHERE due_at < as_of GROUP BY card_id, due_at"""))
 def q_stream_due(spark, sf):
     return rs.stream_due(spark, run_stream(spark, sf))
+
+
+@query("avg_reviews_per_month_stream", with_ctes(["reviews", "cards"], f"""
+    , arrived AS (
+        SELECT card_id, review_date,
+               min(least({BATCHES - 1}, CAST(floor((day(review_date) - 1) / 8) AS INTEGER)
+                   + CASE WHEN (card_id * 31 + second(review_date)) % 11 = 0 THEN 1 ELSE 0 END)) AS batch
+        FROM reviews WHERE card_id IN (SELECT id FROM cards) GROUP BY card_id, review_date)
+    , pairs AS (SELECT k, card_id, strftime(review_date, '%Y-%m') AS year_month, count(*) AS n
+                FROM range({BATCHES}) t(k) JOIN arrived ON batch <= k GROUP BY k, card_id, year_month)
+    SELECT k AS batch_id, count(*) AS n_pairs, CAST(sum(n) AS BIGINT) AS n_reviews, avg(n) AS avg_reviews_per_month
+    FROM pairs GROUP BY k"""))
+def q_avg_reviews_per_month_stream(spark, sf):
+    months = MonthCounts(shared_dir(spark, "review_months"), COMPACT_EVERY)
+    run_stream(spark, sf, months)
+    return months.averages(spark)

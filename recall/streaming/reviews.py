@@ -223,7 +223,7 @@ def _reported_by(spark: SparkSession, paths: ReviewStreamPaths, batch_id: int):
     return marker.agg(F.max("as_of")).first()[0]
 
 
-def _apply(spark: SparkSession, paths: ReviewStreamPaths, every: int, batch: DataFrame, batch_id: int) -> None:
+def _apply(spark: SparkSession, paths: ReviewStreamPaths, every: int, batch: DataFrame, batch_id: int, months=None) -> None:
     _delete_merged(spark, paths, batch_id, every)
     snapshot, since = _snapshot_before(batch_id, every), _reported_by(spark, paths, batch_id - 1)
     old, newest = _view(spark, paths, batch_id - 1, snapshot)
@@ -268,6 +268,8 @@ def _apply(spark: SparkSession, paths: ReviewStreamPaths, every: int, batch: Dat
     again_possible = F.filter(reported, lambda t: (t >= F.col("last_reviewed")) | (F.col("base_secs") < 0))
     _write(_with_schedule(folded.withColumn("reported", again_possible)), paths.state, batch_id)
     as_of = _log_due(spark, paths, batch_id, added, snapshot, since)
+    if months is not None:
+        months.add(batch_id, added)
     _merge_runs(spark, paths, batch_id + 1, every)
     if (batch_id + 1) % every == 0:
         old, newest = _view(spark, paths, batch_id, snapshot)
@@ -298,8 +300,12 @@ def _log_due(spark: SparkSession, paths: ReviewStreamPaths, batch_id: int, added
 
 
 def stream_reviews(spark: SparkSession, source_dir: str, cards: DataFrame, paths: ReviewStreamPaths,
-                   files_per_batch: int | None = 1, available_now: bool = True, compact_every: int = COMPACT_EVERY):
-    """Start the query; returns its handle. A new stream begins from the cards' stored schedules."""
+                   files_per_batch: int | None = 1, available_now: bool = True, compact_every: int = COMPACT_EVERY,
+                   months=None):
+    """Start the query; returns its handle. A new stream begins from the cards' stored schedules.
+
+    ``months`` (``months.MonthCounts``) is told of each batch's new rows; it must be given from the first batch on.
+    """
     if not _batches(spark, paths.snapshot):
         _write_snapshot(_stored(cards), paths, -1)
     reader = spark.readStream.schema(REVIEW)
@@ -307,7 +313,7 @@ def stream_reviews(spark: SparkSession, source_dir: str, cards: DataFrame, paths
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     trigger = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
     return (reader.parquet(source_dir).writeStream.trigger(**trigger)
-            .foreachBatch(lambda batch, i: _apply(batch.sparkSession, paths, compact_every, batch, i))
+            .foreachBatch(lambda batch, i: _apply(batch.sparkSession, paths, compact_every, batch, i, months))
             .option("checkpointLocation", paths.checkpoint).start())
 
 

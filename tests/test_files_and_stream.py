@@ -102,12 +102,12 @@ def cards_of(spark, ids, secs=43200):
     return spark.createDataFrame([(c, "q", "a", None, None, None, T0, secs, None) for c in ids], CARD)
 
 
-def run_batches(spark, batches, cards, compact_every=8):
+def run_batches(spark, batches, cards, compact_every=8, months=None):
     """One micro-batch for each list of rows."""
     paths, src = rs.ReviewStreamPaths.under(spark), tempfile.mkdtemp(prefix="src-") + "/reviews"
     for rows in batches:
         spark.createDataFrame(rows, REVIEW).coalesce(1).write.mode("append").parquet(src)
-        rs.stream_reviews(spark, src, cards, paths, files_per_batch=None, compact_every=compact_every).awaitTermination()
+        rs.stream_reviews(spark, src, cards, paths, files_per_batch=None, compact_every=compact_every, months=months).awaitTermination()
     return paths
 
 
