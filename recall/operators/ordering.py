@@ -28,7 +28,10 @@ ROWS_PER_RANGE = 2_000_000
 
 
 def range_partitions(df: DataFrame) -> int:
-    """Partitions for a range shuffle of ``df``: the session's count, more when that leaves too many rows in each."""
+    """Partitions for a range shuffle of ``df``: the session's count, more when that leaves too many rows in each.
+
+    Counts the rows: ``df`` should be a table, whose files' footers hold their numbers.
+    """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-df.count() // ROWS_PER_RANGE))
 

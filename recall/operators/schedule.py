@@ -30,6 +30,7 @@ from recall.operators.cards import accepted
 from recall.operators.ordering import range_partitions, rank_within
 from recall.schema import FIRST_INTERVAL_SECS
 from recall.session import ensure_checkpoint_dir
+from recall.sources.tables import materialize
 
 # The per-partition scan below runs in Python workers; ship it by value so
 # executors need numpy/pandas only, not this package.
@@ -175,7 +176,9 @@ def schedule_trace(reviews: DataFrame, base_secs: int | None = FIRST_INTERVAL_SE
         reviews = reviews.withColumn("base_secs", F.lit(base_secs).cast("long"))
     base = reviews.groupBy("card_id", "review_date").agg(
         F.bool_and("remembered").alias("remembered"), F.max("base_secs").alias("base_secs"))
-    n = num_partitions or range_partitions(reviews)
+    if not num_partitions:
+        base = materialize(base, "reviews_to_trace")  # counting, sampling and shuffling would each aggregate anew
+    n = num_partitions or range_partitions(base)
     # Both passes must see identical partitions, and range bounds are sampled
     # from shuffle output whose order is not fixed: cut the partitioned log into
     # a reliable checkpoint (shared storage).
@@ -247,4 +250,5 @@ def review_queue(cards: DataFrame, tags: DataFrame, as_of) -> DataFrame:
     due = cards.select("id", due_at("last_reviewed", "review_after_secs").alias("due_at")).where(
         F.col("due_at") < as_of)
     per_tag = due.join(tags.withColumnRenamed("card_id", "id"), "id", "inner")
-    return rank_within(per_tag, ["tag"], ["due_at", "id"], position="position", total="total")
+    # As a table: its rows are counted by the files' footers, and the join is made once.
+    return rank_within(materialize(per_tag, "due_by_tag"), ["tag"], ["due_at", "id"], position="position", total="total")
