@@ -16,6 +16,7 @@ from recall.operators.cards import (  # noqa: E402,F401
     card_by_id, card_count, card_listing, card_media_links, cards_all, cards_by_tag, cards_due,
     reviews_quarantine, tags_by_card, tags_quarantine,
 )
+from recall.operators.idsets import accepted_by_set, id_set, mark_known_by_set, with_membership  # noqa: E402,F401
 from recall.operators.maintenance import cards_add, cards_update  # noqa: E402,F401
 from recall.operators.mining import (  # noqa: E402,F401
     expansion_plan, new_word_sentences, next_words, reading_list, story_tokens, vocabulary_coverage,

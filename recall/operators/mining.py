@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall.functions.text import word_normalise
+from recall.operators.idsets import fetched
 from recall.operators.ordering import first_within
 from recall.operators.vocab import arrival_order, articles_of
 from recall.session import shared_dir
@@ -56,14 +57,15 @@ def sentence_lines(docs: DataFrame) -> DataFrame:
 
 
 def new_word_sentences(docs: DataFrame, words: DataFrame, min_words: int = MIN_WORDS,
-                       max_words: int = MAX_WORDS) -> DataFrame:
+                       max_words: int = MAX_WORDS, by_id_set: bool = False) -> DataFrame:
     """Sentences with exactly one distinct word missing from the vocabulary.
 
     The new word is not an article; the sentence is short and does not open
     with a greeting. Only keys and words go through the word join and the
     per-sentence aggregate (fixed-width buffers: a count and the unknown word's
     position); the surviving keys are joined back to their documents for the text.
-    ``doc_id`` identifies a document.
+    ``doc_id`` identifies a document. ``by_id_set`` leaves documents without such a sentence out before that
+    join (``idsets.fetched``): for corpora whose found keys are too many to broadcast, as it writes these first.
     """
     s = sentence_lines(docs).select("doc_id", "lang", "line_no", "words")
     s = s.where(F.size("words").between(min_words, max_words)
@@ -77,7 +79,8 @@ def new_word_sentences(docs: DataFrame, words: DataFrame, min_words: int = MIN_W
         F.max(F.when(unknown, F.col("_pos"))).alias("_pos"),
     ).where(F.col("_n_unknown") == 1)
     wanted = per.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "_pos")).alias("_wanted"))
-    found = docs.join(wanted, "doc_id").select("doc_id", "lang", F.split("text", "\n", -1).alias("_lines"), F.explode("_wanted").alias("_w"))
+    joined = fetched(docs.select("doc_id", "lang", "text"), wanted, "doc_id") if by_id_set else docs.join(wanted, "doc_id")
+    found = joined.select("doc_id", "lang", F.split("text", "\n", -1).alias("_lines"), F.explode("_wanted").alias("_w"))
     found = found.select("doc_id", "lang", F.col("_w.line_no").alias("line_no"),
                          F.get("_lines", F.col("_w.line_no")).alias("sentence"), F.col("_w._pos").alias("_pos"))
     found = found.withColumn("_words", _line_words(F.col("sentence"))).select(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from recall.functions import text as tx
 from recall.operators import cards as co
+from recall.operators import idsets as ids
 from recall.operators.maintenance import cards_add, cards_update
 from recall.operators import mining as mi
 from recall.operators import schedule as sc
@@ -237,6 +238,11 @@ def q_reviews_quarantine(spark, sf):
     return co.reviews_quarantine(fx.reviews_big(spark, sf), fx.cards(spark, sf))
 
 
+@query("reviews_quarantine_by_set", QUERIES["reviews_quarantine"][1])
+def q_reviews_quarantine_by_set(spark, sf):
+    return ids.mark_known_by_set(fx.reviews_big(spark, sf), fx.cards(spark, sf).select(F.col("id").alias("card_id")), "card_id")
+
+
 @query("tags_quarantine", with_ctes(["cards"], """
     SELECT p.p_partkey AS card_id, p.p_brand AS tag,
            CASE WHEN c.id IS NULL THEN 'quarantined' ELSE 'accepted' END AS status
@@ -245,6 +251,11 @@ def q_tags_quarantine(spark, sf):
     return co.tags_quarantine(fx.imported_tags(spark, sf), fx.cards(spark, sf))
 
 
+@query("tags_quarantine_by_set", QUERIES["tags_quarantine"][1])
+def q_tags_quarantine_by_set(spark, sf):
+    return ids.mark_known_by_set(fx.imported_tags(spark, sf), fx.cards(spark, sf).select(F.col("id").alias("card_id")), "card_id")
+
+
 # --- 2.4 aggregations -------------------------------------------------------------------
 
 
@@ -778,6 +789,12 @@ def q_new_word_sentences(spark, sf):
                                     F.col("n_words").cast("long"), "new_word")
 
 
+@query("new_word_sentences_by_set", QUERIES["new_word_sentences"][1])
+def q_new_word_sentences_by_set(spark, sf):
+    mined = mi.new_word_sentences(fx.documents(spark, sf), fx.words(spark, sf), by_id_set=True)
+    return mined.select("doc_id", "lang", F.col("line_no").cast("long"), "sentence", F.col("n_words").cast("long"), "new_word")
+
+
 @query("next_words", with_ctes(["new_word_sentences"], f"""
     SELECT lang, new_word, count(*) AS n_sentences FROM new_word_sentences GROUP BY lang, new_word
     ORDER BY n_sentences DESC, lang, new_word LIMIT {NEXT_WORDS_K}"""))
