@@ -174,7 +174,8 @@ def vocabulary_coverage(docs: DataFrame, words: DataFrame) -> DataFrame:
 
 def coverage_from_counts(per_word: DataFrame, words: DataFrame) -> DataFrame:
     per_word = per_word.withColumnRenamed("n", "_n")
-    known = words.select("lang", "word", F.lit(True).alias("_known"))
+    # One row a word: hashed, so that the far longer counts run past it and no task sorts its share of them.
+    known = words.select("lang", "word", F.lit(True).alias("_known")).hint("shuffle_hash")
     j = per_word.join(known, ["lang", "word"], "left")
     is_known = F.col("_known").isNotNull()
     per_doc = j.groupBy("doc_id", "lang").agg(

@@ -188,7 +188,7 @@ def q_drafts_from_sentences(spark, sf):
     FROM doc_lines WHERE line <> ''"""))
 def q_drafts_from_story(spark, sf):
     """Every line of every document as a story sentence; its reversal stands for the translation."""
-    lines = fx.documents(spark, sf).select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    lines = fx.documents(spark, sf, streamed=True).select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     s = lines.where(F.col("text") != "").select(
         "doc_id", F.col("line_no").cast("long").alias("line_no"), "text", F.reverse("text").alias("translation"),
         _lang_name(F.col("lang")).alias("language"))
@@ -480,7 +480,7 @@ def _words_from_cards_sql() -> str:
 
 @query("words_from_cards", with_ctes(["cards", "flashcard_tags", "words"], _words_from_cards_sql()))
 def q_words_from_cards(spark, sf):
-    return vo.words_from_cards(tb.spread(fx.cards(spark, sf), "id"), fx.flashcard_tags(spark, sf), fx.words(spark, sf), as_of())
+    return vo.words_from_cards(tb.spread(fx.cards(spark, sf), "id", "answer"), fx.flashcard_tags(spark, sf), fx.words(spark, sf), as_of())
 
 
 def _without_names_sql() -> str:
@@ -508,7 +508,7 @@ def _words_without_names_sql() -> str:
 
 @query("words_from_cards_no_names", with_ctes(["cards", "flashcard_tags", "words"], _words_without_names_sql()))
 def q_words_from_cards_no_names(spark, sf):
-    cards, tags = tb.spread(fx.cards(spark, sf), "id"), fx.flashcard_tags(spark, sf)
+    cards, tags = tb.spread(fx.cards(spark, sf), "id", "answer"), fx.flashcard_tags(spark, sf)
     names = vo.likely_names(vo.word_case_counts(vo.cards_by_language(cards, tags)))
     return vo.words_from_cards(cards, tags, fx.words(spark, sf), as_of(), exclude=names)
 
@@ -718,7 +718,7 @@ def q_prompt_words(spark, sf):
 @query("story_tokens", with_ctes(["doc_tokens"], """
     SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(word_no AS BIGINT) AS word_no, token FROM doc_tokens"""))
 def q_story_tokens(spark, sf):
-    t = mi.story_tokens(fx.documents(spark, sf, ("doc_id", "text")))
+    t = mi.story_tokens(fx.documents(spark, sf, ("doc_id", "text"), streamed=True))
     return t.select("doc_id", F.col("line_no").cast("long"), F.col("word_no").cast("long"), "token")
 
 

@@ -109,9 +109,9 @@ def history_before_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews(spark, sf_dir).where(F.col("review_date") < ts(ANSWERS_FROM))
 
 
-def documents(spark: SparkSession, sf_dir: str, columns=("doc_id", "lang", "text")) -> DataFrame:
-    """The corpus, spread on doc_id when the scan is under-partitioned."""
-    return spread(read_table(spark, sf_dir, "documents", list(columns)), "doc_id")
+def documents(spark: SparkSession, sf_dir: str, columns=("doc_id", "lang", "text"), streamed: bool = False) -> DataFrame:
+    """The corpus, spread on doc_id by the size of its texts (``streamed``: only when the scan is under-partitioned)."""
+    return spread(read_table(spark, sf_dir, "documents", list(columns)), "doc_id", streamed=streamed)
 
 
 def doc_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +165,7 @@ def word_list_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rich_text_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six shapes of inline math around whole document texts (which have no backticks)."""
-    d = documents(spark, sf_dir, ("doc_id", "text", "n_chars"))
+    d = documents(spark, sf_dir, ("doc_id", "text", "n_chars"), streamed=True)
     doc = F.col("doc_id")
     body = F.col("text")
     x = F.concat(F.col("n_chars").cast("string"), F.lit("/"), (doc + 1).cast("string"))

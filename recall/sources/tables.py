@@ -18,14 +18,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan of fewer files than the cluster has cores before heavy per-row work.
+# Text given to one task that splits it into words: what such a task gathers (counts, rows to be sorted or sent) takes
+# about thirty times as much memory, so the number of tasks follows the text, not the cores or the files.
+TASK_TEXT_BYTES = 8_000_000
 
-    One file of one row group cannot be split by the reader, so its text would be tokenised by
-    one task. A table of many files is returned as it is: at scale this adds no shuffle.
+
+def spread(df: DataFrame, key: str, text: str = "text", streamed: bool = False) -> DataFrame:
+    """Hash-spread ``df`` on ``key``: about ``TASK_TEXT_BYTES`` of ``text`` a task, and two tasks a core at least.
+
+    The bytes are summed by a pass over that column alone: files tell neither the text's size (they are compressed, and
+    copies take no room there) nor how finely a reader can split them. Groups by ``key`` and more need no further shuffle.
+    ``streamed``: per-row work that gathers nothing; a table of as many files as cores is then returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, key) if len(df.inputFiles()) < cores else df
+    if streamed and len(df.inputFiles()) >= cores:
+        return df
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return df.repartition(max(2 * cores, -(-size // TASK_TEXT_BYTES)), key)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
